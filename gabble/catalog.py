@@ -6,9 +6,12 @@ Everything here is a default argument somewhere else; nothing reads these names
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import astuple, dataclass
+from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 ENTITY_SCHEMA = (
     "persoon string, full_name string, description string, gender string, pronoun string, "
@@ -38,9 +41,14 @@ class Entity:
 
 
 def entity_frame(spark: SparkSession, entities: Iterable[Entity]) -> DataFrame:
-    """The catalog as a local relation: Spark knows its exact size and decides on broadcasting."""
-    rows = [tuple(list(v) if isinstance(v, tuple) else v for v in astuple(e)) for e in entities]
-    return spark.createDataFrame(rows, ENTITY_SCHEMA)
+    """The catalog as a local relation.
+
+    Spark then knows its exact size: it broadcasts a small catalog by itself and falls back to a
+    shuffled join for a large one.
+    """
+    rows = [asdict(e) for e in entities]
+    schema = StructType.fromDDL(ENTITY_SCHEMA)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)
 
 
 # --- Fixed values: these must equal the published study's for the same results --------------------
@@ -75,11 +83,11 @@ BOT_AUTHORS = (
 
 DELETED_BODIES = ("[deleted]", "[removed]")
 
-DELETED_PATTERN = (
-    r"^\[deleted\]$|^\[removed\]$|This post was mass deleted"
-    r"|This comment was removed|^\s*deleted\s*$|^\.\s*$"
-)
+DELETED_PHRASES = ("This post was mass deleted", "This comment was removed")
+
+DELETED_WHOLE = (r"\[deleted\]", r"\[removed\]", r"\s*deleted\s*", r"\.\s*")
 
+FOOTER_MARKER = "This post was mass deleted"
 FOOTER_PATTERN = r"\n*\*?This post was mass deleted.*?\*?$"
 
 CONTROL_PATTERN = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gabble import catalog
 
-# Python's notion of white space: the Unicode property plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
+# The characters Python's strip() removes.
+_WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 _SECONDS_PER_DAY = 86400
 
@@ -32,24 +36,22 @@ def default(value: Column, fallback) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case with the six accented letters of the name lists mapped to plain ones."""
-    return F.translate(F.lower(text), catalog.FOLD_FROM, catalog.FOLD_TO)
+    """Lower case with the six accented letters of the name lists mapped to plain ones.
 
-
-def contains_any(text: Column, variants: Column, prepare: Callable[[Column], Column]) -> Column:
-    """True where the prepared text contains any prepared variant as a substring; null is false."""
-    hit = bind(prepare(text), lambda t: F.exists(variants, lambda v: t.contains(prepare(v))))
-    return F.coalesce(hit, F.lit(False))
+    Pure ASCII text has none of them and skips the character-wise mapping.
+    """
+    mapped = F.translate(F.lower(text), catalog.FOLD_FROM, catalog.FOLD_TO)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(mapped)
 
 
-def contains_any_folded(text: Column, variants: Column) -> Column:
-    """Accent-insensitive substring match, used for titles and for naming a person."""
-    return contains_any(text, variants, fold)
+def contains_any(text: Column, variants: Column) -> Column:
+    """True where the text contains any of the variants as a substring; null is false.
 
-
-def contains_any_lower(text: Column, variants: Column) -> Column:
-    """Case-insensitive substring match without accent folding, used for the name flags."""
-    return contains_any(text, variants, F.lower)
+    Prepare both sides alike, with :func:`fold` for accent-insensitive or ``lower`` for
+    case-insensitive matching.
+    """
+    hit = bind(text, lambda t: F.exists(variants, lambda v: t.contains(v)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def mentions(text: Column, name: Column) -> Column:
@@ -59,12 +61,17 @@ def mentions(text: Column, name: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind, no-break space included, from both ends."""
-    return F.regexp_replace(text, _STRIP, "")
+    return F.btrim(text, F.lit(_WHITE_SPACE))
 
 
-def strip_footer(text: Column, pattern: str = catalog.FOOTER_PATTERN) -> Column:
-    """Remove a mass-deletion footer, then surrounding white space."""
-    return strip(F.regexp_replace(text, f"(?d){pattern}", ""))
+def strip_footer(text: Column, marker: str = catalog.FOOTER_MARKER,
+                 pattern: str = catalog.FOOTER_PATTERN) -> Column:
+    """Remove a mass-deletion footer, then surrounding white space.
+
+    The pattern only runs on texts with the marker, a literal every match contains.
+    """
+    cut = F.regexp_replace(text, f"(?d){pattern}", "")
+    return strip(F.when(text.contains(marker), cut).otherwise(text))
 
 
 def strip_control(text: Column) -> Column:
@@ -77,9 +84,15 @@ def truncate(text: Column, n: int | None) -> Column:
     return text if n is None else F.substring(text, 1, n)
 
 
-def is_deleted_text(text: Column, pattern: str = catalog.DELETED_PATTERN) -> Column:
-    """Case-insensitive search for a deletion marker; null text is no match."""
-    return F.coalesce(text.rlike(f"(?idU){pattern}"), F.lit(False))
+def is_deleted_text(text: Column, phrases: Iterable[str] = catalog.DELETED_PHRASES,
+                    whole: Iterable[str] = catalog.DELETED_WHOLE) -> Column:
+    """Case-insensitive search for a deletion marker; null text is no match.
+
+    Phrases count anywhere, the patterns only as the whole text (a final line end may follow).
+    """
+    anchored = text.rlike("(?idU)^(?:" + "|".join(f"{p}$" for p in whole) + ")")
+    anywhere = [F.lower(text).contains(p.lower()) for p in phrases]
+    return F.coalesce(reduce(Column.__or__, anywhere, anchored), F.lit(False))
 
 
 def is_live_body(text: Column, markers: Iterable[str] = catalog.DELETED_BODIES) -> Column:
@@ -109,9 +122,15 @@ def utc_date(seconds: Column) -> Column:
 
 
 def word_pattern(words: Iterable[str]) -> str:
-    """Regular expression for any of the words, bounded by non-letters on both sides."""
+    """Regular expression for any of the words, bounded by non-letters on both sides.
+
+    Looking at the first letter before anything else skips most positions of a text.
+    """
+    words = list(words)
+    first = "".join(sorted({rf"\Q{w[0]}\E" for w in words}))
     body = "|".join(rf"\Q{w}\E" for w in words)
-    return rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"
+    letter = r"[\p{L}\p{N}_]"
+    return f"(?=[{first}])(?<!{letter})(?:{body})(?!{letter})"
 
 
 def has_word(text: Column, words: Iterable[str]) -> Column:

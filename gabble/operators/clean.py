@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,31 +28,36 @@ def drop_duplicates(df: DataFrame, order: str = "ingest_order") -> DataFrame:
     return first_per_key(df, DUPLICATE_KEY, [F.col(order)])
 
 
-def drop_reason(author: Column, comment: Column, bots: Iterable[str] = catalog.BOT_AUTHORS,
-                pattern: str = catalog.DELETED_PATTERN, min_chars: int = 0) -> Column:
-    """First rule that hits: ``bot_author``, then ``deleted_text``; empty string for neither.
+@dataclass(frozen=True)
+class DropRules:
+    """What the cleaning step drops. ``min_chars`` is off at 0."""
 
-    ``min_chars`` adds a third reason, ``too_short``; 0 switches it off.
-    """
-    reason = F.when(T.member(author, bots), "bot_author").when(
-        T.is_deleted_text(comment, pattern), "deleted_text")
-    if min_chars > 0:
-        reason = reason.when(F.length(comment) < min_chars, "too_short")
+    bots: tuple[str, ...] = catalog.BOT_AUTHORS
+    phrases: tuple[str, ...] = catalog.DELETED_PHRASES
+    whole: tuple[str, ...] = catalog.DELETED_WHOLE
+    min_chars: int = 0
+
+
+def drop_reason(author: Column, comment: Column, rules: DropRules = DropRules()) -> Column:
+    """First rule that hits: ``bot_author``, ``deleted_text``, then ``too_short`` if switched on;
+    empty string for none."""
+    reason = F.when(T.member(author, rules.bots), "bot_author").when(
+        T.is_deleted_text(comment, rules.phrases, rules.whole), "deleted_text")
+    if rules.min_chars > 0:
+        reason = reason.when(F.length(comment) < rules.min_chars, "too_short")
     return reason.otherwise("")
 
 
-def tag(df: DataFrame, *, order: str = "ingest_order", bots: Iterable[str] = catalog.BOT_AUTHORS,
-        pattern: str = catalog.DELETED_PATTERN, min_chars: int = 0) -> DataFrame:
+def tag(df: DataFrame, rules: DropRules = DropRules(), order: str = "ingest_order") -> DataFrame:
     """Fill, dedupe, add ``drop_reason``, then strip the footer and white space.
 
     The reason is read before stripping, so footer texts are dropped, not repaired; the audit rows
     carry the stripped text.
     """
-    reason = drop_reason(F.col("author"), F.col("comment"), bots, pattern, min_chars)
     return (
         fill_text(df)
         .transform(drop_duplicates, order)
-        .withColumn("drop_reason", reason)
+        .withColumn("drop_reason", drop_reason(F.col("author"), F.col("comment"), rules))
         .withColumn("comment", T.strip_footer(F.col("comment")))
     )
 
@@ -70,8 +76,7 @@ def dropped(tagged: DataFrame) -> DataFrame:
     return tagged.filter(F.col("drop_reason") != "")
 
 
-def report(df: DataFrame, *, bots: Iterable[str] = catalog.BOT_AUTHORS,
-           pattern: str = catalog.DELETED_PATTERN, min_chars: int = 0) -> DataFrame:
+def report(df: DataFrame, rules: DropRules = DropRules()) -> DataFrame:
     """Row count per status (``kept``, a drop reason, ``duplicate``) and its share of the input.
 
     Author and text are part of the duplicate key, so one count per key carries both the reason and
@@ -83,7 +88,7 @@ def report(df: DataFrame, *, bots: Iterable[str] = catalog.BOT_AUTHORS,
         .select(
             "persoon", "author", "thread_url",
             F.sha2(F.col("comment"), 256).alias("digest"),
-            drop_reason(F.col("author"), F.col("comment"), bots, pattern, min_chars).alias("reason"))
+            drop_reason(F.col("author"), F.col("comment"), rules).alias("reason"))
         .groupBy("digest", "persoon", "author", "thread_url", "reason")
         .agg(F.count("*").alias("copies"))
     )

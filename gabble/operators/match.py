@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gabble import catalog
@@ -35,25 +35,34 @@ def described(df: DataFrame, entities: DataFrame, column: str = "description") -
         column, F.coalesce(F.col(column), F.col("persoon")))
 
 
+def with_variants(df: DataFrame, entities: DataFrame, columns: Iterable[str],
+                  prepare: Callable[[Column], Column]) -> DataFrame:
+    """Attach variant lists, prepared for matching once per person instead of once per row."""
+    columns = list(columns)
+    prepared = entities.withColumns({c: F.transform(c, prepare) for c in columns})
+    return attach_entity(df, prepared, columns)
+
+
 def flag_names(df: DataFrame, entities: DataFrame) -> DataFrame:
     """Add ``name_in_comment`` and ``name_in_thread`` from the loose variants, without folding."""
-    return attach_entity(df, entities, ["loose_variants"]).withColumns({
-        "name_in_comment": T.contains_any_lower(F.col("comment"), F.col("loose_variants")),
-        "name_in_thread": T.contains_any_lower(F.col("thread_title"), F.col("loose_variants")),
+    variants = F.col("loose_variants")
+    return with_variants(df, entities, ["loose_variants"], F.lower).withColumns({
+        "name_in_comment": T.contains_any(F.lower("comment"), variants),
+        "name_in_thread": T.contains_any(F.lower("thread_title"), variants),
     }).drop("loose_variants")
 
 
 def match_title(df: DataFrame, entities: DataFrame, title: str = "thread_title") -> DataFrame:
     """Add ``about``: the title contains a title variant of the row's person (folded)."""
-    return attach_entity(df, entities, ["title_variants"]).withColumn(
-        "about", T.contains_any_folded(F.col(title), F.col("title_variants"))
+    return with_variants(df, entities, ["title_variants"], T.fold).withColumn(
+        "about", T.contains_any(T.fold(F.col(title)), F.col("title_variants"))
     ).drop("title_variants")
 
 
 def match_comment(df: DataFrame, entities: DataFrame, comment: str = "comment") -> DataFrame:
     """Add ``mentioned``: the comment contains a strict variant of the row's person (folded)."""
-    return attach_entity(df, entities, ["strict_variants"]).withColumn(
-        "mentioned", T.contains_any_folded(F.col(comment), F.col("strict_variants"))
+    return with_variants(df, entities, ["strict_variants"], T.fold).withColumn(
+        "mentioned", T.contains_any(T.fold(F.col(comment)), F.col("strict_variants"))
     ).drop("strict_variants")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gabble import catalog
 from gabble.functions import rules
 from gabble.functions import text as T
+from gabble.operators.match import with_variants
 
 #: Scores a batch: texts and the candidate labels of each -> (best label, score) of each.
 BatchScorer = Callable[[list[str], list[list[str]]], Sequence[tuple[str, float]]]
@@ -25,8 +26,8 @@ def lexicon_sentiment(df: DataFrame, text: str = "comment",
                       positive: Iterable[str] = catalog.POSITIVE_WORDS) -> DataFrame:
     """Add ``negative``, ``sentiment_label`` and ``sentiment_score`` from two word lists.
 
-    The label is the side with more hits, ``neutral`` on a tie; the score is that side's share of
-    the hits. Missing text gives nulls, the same as a failing model.
+    The label is the side with more hits, ``neutral`` on a tie; the score is the larger side's
+    smoothed share of all hits. Missing text gives nulls, the same as a failing model.
     """
     return (
         df.withColumns({"_neg": T.count_words(F.col(text), negative),
@@ -59,9 +60,10 @@ def relevance(df: DataFrame, entities: DataFrame,
     A comment is relevant when it names the person, or when its thread title does. In off-topic
     subreddits only the full name inside the comment counts.
     """
-    named = T.contains_any_folded(F.col("comment"), F.col("strict_variants"))
-    full = T.contains_any_folded(F.col("comment"), F.col("title_variants"))
-    thread = T.contains_any_folded(F.col("thread_title"), F.col("title_variants"))
+    comment, title = T.fold(F.col("comment")), T.fold(F.col("thread_title"))
+    named = T.contains_any(comment, F.col("strict_variants"))
+    full = T.contains_any(comment, F.col("title_variants"))
+    thread = T.contains_any(title, F.col("title_variants"))
     case = (
         F.when(T.member(F.col("subreddit"), off_topic),
                F.when(full, "full name in comment").otherwise("off-topic subreddit"))
@@ -70,9 +72,8 @@ def relevance(df: DataFrame, entities: DataFrame,
         .otherwise("not named")
     )
     columns = ["strict_variants", "title_variants"]
-    keyed = entities.select("persoon", *columns)
     return (
-        df.join(keyed, "persoon", "left")
+        with_variants(df, entities, columns, T.fold)
         .withColumn("reason", case)
         .drop(*columns)
         .withColumns({

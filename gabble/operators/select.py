@@ -7,26 +7,27 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from gabble import catalog
 
-_SALTS = 32
+_PARTS = 64
 _SLICE_BUCKETS = 256
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
-                  spread_by: Sequence[str] = ()) -> DataFrame:
+                  *, few_groups: bool = False) -> DataFrame:
     """The first ``n`` rows of each group in the given (total) order.
 
-    Each map task already reduces every group to ``n`` rows before the shuffle. For few, large
-    groups name the columns to spread by: each group is then ranked in parts first, so the task
-    that ranks the whole group sees at most ``parts * n`` rows.
+    Each map task already reduces every group to ``n`` rows before the shuffle. With few groups
+    those survivors of all map tasks would still meet in few tasks, so they are ranked in parts
+    first. A map task writes to one part only, which keeps its survivors at ``n`` per group, and the
+    task that ranks a whole group sees at most ``n`` rows per part.
     """
-    if spread_by:
-        salted = df.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(_SALTS)))
-        return top_per_group(
-            top_per_group(salted, [*group, "_part"], order, n).drop("_part"), group, order, n)
+    if few_groups:
+        parted = df.withColumn("_part", F.spark_partition_id() % _PARTS)
+        df = top_per_group(parted, [*group, "_part"], order, n).drop("_part")
     window = Window.partitionBy(*group).orderBy(*order)
     return (
         df.withColumn("_rank", F.row_number().over(window))
@@ -65,13 +66,13 @@ def dedupe_by_priority(comments: DataFrame) -> DataFrame:
 def thread_budget(threads: DataFrame, limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
     """Per person the best ``limit`` threads by score; tier 1 fills the budget before tier 2."""
     order = [F.col("tier"), F.col("score").desc(), F.col("thread_id")]
-    return top_per_group(threads, ["persoon"], order, limit, spread_by=["thread_id"])
+    return top_per_group(threads, ["persoon"], order, limit, few_groups=True)
 
 
-def cap_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
-                  spread_by: Sequence[str]) -> DataFrame:
+def cap_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int
+                  ) -> DataFrame:
     """At most ``n`` rows per search query or thread, as the collecting site returns them."""
-    return top_per_group(df, group, order, n, spread_by)
+    return top_per_group(df, group, order, n, few_groups=True)
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], n: int, key: str = "comment_id",
@@ -83,7 +84,7 @@ def sample_per_group(df: DataFrame, group: Sequence[str], n: int, key: str = "co
     rank = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     return (
         df.withColumn("_draw", rank)
-        .transform(top_per_group, group, [F.col("_draw"), F.col(key)], n, [key])
+        .transform(top_per_group, group, [F.col("_draw"), F.col(key)], n, few_groups=True)
         .drop("_draw")
     )
 
@@ -111,9 +112,12 @@ def slice_rows(df: DataFrame, start: int | None, stop: int | None,
     start = start or 0
     steps = [i / _SLICE_BUCKETS for i in range(1, _SLICE_BUCKETS)]
     cuts = sorted(set(df.approxQuantile(order, steps, 1 / (4 * _SLICE_BUCKETS))))
-    column = F.col(order)
+    column, kind = F.col(order), df.schema[order].dataType
+    if isinstance(kind, IntegralType):
+        # Edges of the column's own type reach the scan as plain comparisons.
+        cuts = sorted({int(c) for c in cuts})
     if cuts:
-        edges = F.array(*[F.lit(c).cast("double") for c in cuts])
+        edges = F.array(*[F.lit(c).cast(kind) for c in cuts])
         bucket = F.size(F.filter(edges, lambda edge: edge < column))
     else:
         bucket = F.lit(0)
@@ -130,9 +134,9 @@ def slice_rows(df: DataFrame, start: int | None, stop: int | None,
     low, high = min(wanted), max(wanted)
     bounds = F.lit(True)
     if low > 0:
-        bounds = bounds & (column > cuts[low - 1])
+        bounds = bounds & (column > F.lit(cuts[low - 1]).cast(kind))
     if high < len(cuts):
-        bounds = bounds & (column <= cuts[high])
+        bounds = bounds & (column <= F.lit(cuts[high]).cast(kind))
     offset_of = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
     in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
     return (

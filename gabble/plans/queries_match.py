@@ -155,7 +155,7 @@ def topk_budget(spark, d):
 def limit_per_group(spark, d):
     return select.cap_per_group(
         B.found_threads(spark, d), ["persoon", "query_index"],
-        [F.col("score").desc(), F.col("thread_id")], _CAP, ["thread_id"],
+        [F.col("score").desc(), F.col("thread_id")], _CAP,
     ).select("persoon", "query_index", "thread_id", "score")
 
 
