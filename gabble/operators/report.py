@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def count_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows per key, largest first."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys)
+def count_by(df: DataFrame, *keys: str, by_key: bool = False) -> DataFrame:
+    """Rows per key, largest first or in key order."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.orderBy(*keys) if by_key else counts.orderBy(F.desc("n"), *keys)
 
 
 def label_counts(df: DataFrame, label: str, *, with_null: bool = False) -> DataFrame:

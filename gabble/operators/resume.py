@@ -44,16 +44,3 @@ def unlabelled(df: DataFrame, saved: DataFrame, label: str,
 def append_results(done: DataFrame, new: DataFrame) -> DataFrame:
     """Earlier and new results as one table; columns only one side has are null on the other."""
     return done.unionByName(new, allowMissingColumns=True)
-
-
-def read_state(spark, path: str, schema: str) -> DataFrame:
-    """Earlier results, or an empty table when nothing was saved yet.
-
-    ``schema`` is a DDL string. A missing folder is the normal first run.
-    """
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -141,16 +141,23 @@ def batch_score(df: DataFrame, load: Callable[[], BatchScorer], keys: Sequence[s
 
 def train_classifier(labelled: DataFrame, text: str = "comment", target: str = "target",
                      features: int = 1 << 16) -> PipelineModel:
-    """Fit a logistic regression on hashed, idf-weighted words. ``target`` is numeric."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=target, maxIter=20, regParam=0.01,
-                           rawPredictionCol="_raw", probabilityCol="_probability",
-                           predictionCol="_prediction"),
-    ]
-    return Pipeline(stages=stages).fit(labelled.select(text, target))
+    """Fit a logistic regression on hashed, idf-weighted words. ``target`` is numeric.
+
+    The word counts are kept while both fits read them; the texts are tokenised once.
+    """
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
+    counted = counts.transform(words.transform(labelled.select(text, target))).select(
+        "_tf", target).persist()
+    try:
+        weights = IDF(inputCol="_tf", outputCol="_features").fit(counted)
+        regression = LogisticRegression(
+            featuresCol="_features", labelCol=target, maxIter=20, regParam=0.01,
+            rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
+        ).fit(weights.transform(counted))
+    finally:
+        counted.unpersist()
+    return PipelineModel(stages=[words, counts, weights, regression])
 
 
 def apply_classifier(df: DataFrame, model: PipelineModel) -> DataFrame:

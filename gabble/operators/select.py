@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from gabble import catalog
+from gabble.sources.landed import read_state
 
 _PARTS = 64
 _SLICE_BUCKETS = 256
@@ -89,6 +90,16 @@ def sample_per_group(df: DataFrame, group: Sequence[str], n: int, key: str = "co
     )
 
 
+def saved_sample(df: DataFrame, path: str, group: Sequence[str], n: int, key: str = "comment_id",
+                 seed: int = catalog.SAMPLE_SEED) -> DataFrame:
+    """The sample saved at ``path``; the first call draws and saves it."""
+    saved = read_state(df.sparkSession, path, df.schema)
+    if saved.isEmpty():
+        sample_per_group(df, group, n, key, seed).write.mode("overwrite").parquet(path)
+        saved = read_state(df.sparkSession, path, df.schema)
+    return saved
+
+
 def label_sheet(df: DataFrame, n: int = catalog.LABEL_SAMPLE_SIZE,
                 slots: Iterable[str] = ("manual_label", "model_deberta", "model_gpt",
                                         "model_claude")) -> DataFrame:

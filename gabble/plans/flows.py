@@ -19,14 +19,30 @@ _BROADCAST_ROWS = 100_000
 def search_threads(threads: DataFrame, comments: DataFrame, entities: Sequence[Entity]) -> DataFrame:
     """Threads found per person: a search phrase occurs in the title or in any comment.
 
-    One row per person and thread with the thread's columns.
+    One row per person and thread with the thread's columns and the latest search that found it.
+    The hits of one thread collapse in the map tasks.
     """
     in_title = match.search(threads, entities, "title", ["thread_id"])
     in_body = match.search(comments, entities, "comment", ["thread_id"])
-    hits = in_title.unionByName(in_body).transform(select.unify_threads)
+    hits = in_title.unionByName(in_body).groupBy("persoon", "thread_id").agg(
+        F.max("query_index").alias("query_index"))
     return hits.join(threads, "thread_id")
 
 
+def choose_threads(found: DataFrame, people: DataFrame,
+                   limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
+    """The threads to read per person: at most ``limit``, those about the person first.
+
+    ``found`` has one row per person and thread.
+    """
+    return (
+        match.tier(found, people)
+        .transform(select.thread_budget, limit)
+        .select("persoon", "tier", "thread_id", F.col("score").alias("thread_score"),
+                F.col("url").alias("thread_url"), F.col("title").alias("thread_title"), "subreddit")
+    )
+
+
 def join_threads(comments: DataFrame, threads: DataFrame, max_threads: int | None = None
                  ) -> DataFrame:
     """Comments with the columns of their thread (and its person and tier).
@@ -46,26 +62,26 @@ def join_threads(comments: DataFrame, threads: DataFrame, max_threads: int | Non
     )
 
 
-def collect_comments(threads: DataFrame, comments: DataFrame, entities: Sequence[Entity],
-                     limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
-    """Search, tier, budget, join, filter and dedupe: the comment table of all persons."""
-    people = entity_frame(threads.sparkSession, entities)
-    chosen = (
-        search_threads(threads, comments, entities)
-        .transform(match.tier, people)
-        .transform(select.thread_budget, limit)
-        .select("persoon", "tier", "thread_id", F.col("score").alias("thread_score"),
-                F.col("url").alias("thread_url"), F.col("title").alias("thread_title"), "subreddit")
-    )
+def gather_comments(comments: DataFrame, chosen: DataFrame, people: DataFrame,
+                    max_threads: int | None = None) -> DataFrame:
+    """Live comments of the chosen threads, filtered by tier, once per person, with the gender."""
     live = comments.filter(T.is_live_body(F.col("comment")))
     return (
-        join_threads(live, chosen, limit * len(entities))
+        join_threads(live, chosen, max_threads)
         .transform(match.filter_tier, people)
         .transform(select.dedupe_by_priority)
         .transform(match.attach_entity, people, ["gender"])
     )
 
 
+def collect_comments(listing: DataFrame, comments: DataFrame, entities: Sequence[Entity],
+                     limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
+    """The comment table of all persons from landed search results and comment trees."""
+    people = entity_frame(listing.sparkSession, entities)
+    chosen = choose_threads(select.unify_threads(listing), people, limit)
+    return gather_comments(comments, chosen, people, limit * len(entities))
+
+
 def negative_report(raw: DataFrame, entities: DataFrame, negative: Sequence[str]) -> DataFrame:
     """Clean, score with a word list and report the negative rate per person."""
     return (

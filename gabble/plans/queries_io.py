@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from gabble.functions import text as T
 from gabble.operators import score, select
 from gabble.plans import bindings as B
+from gabble.plans import flows
 from gabble.plans.bindings import sql
+from gabble.plans.queries_clean import hit_folded
 from gabble.plans.queries_score import _has_sql
 from gabble.plans.registry import query
 from gabble.session import scratch_dir
@@ -13,6 +14,7 @@ from gabble.sources import landed, schemas, sinks
 from gabble.streaming import incremental
 
 _PAGE = 100
+_BUDGET = 20
 _FIELDS = ", ".join(schemas.COMMENT_FIELDS)
 
 
@@ -101,6 +103,42 @@ def src_comment_tree(spark, d):
     return landed.read_comment_trees(spark, _land_json(_tree_documents(spark, d), spark, "trees"))
 
 
+@query(sql(f"""WITH listed AS (
+    SELECT 'p' || (conv_id % 6) AS persoon, 'c' || conv_id AS thread_id, text AS title,
+      'src' || (conv_id % 20) AS subreddit, length(text) + 7 AS score
+    FROM conversations WHERE turn = 0),
+  tiered AS (SELECT listed.*, gender, strict_variants,
+      CASE WHEN {hit_folded('title', 'title_variants')} THEN 1 ELSE 2 END AS tier
+    FROM listed JOIN people USING (persoon)),
+  chosen AS (SELECT * FROM tiered QUALIFY row_number() OVER (
+    PARTITION BY persoon ORDER BY tier, score DESC, thread_id) <= {_BUDGET})
+  SELECT 'https://www.reddit.com/c' || conv_id || '/' || turn AS url, role AS author,
+    '2023-11-14' AS date, 1700000000 + turn AS timestamp, length(text) AS score, turn AS upvotes,
+    CAST(0 AS BIGINT) AS downvotes, CAST(0 AS BIGINT) AS golds, text AS comment,
+    conv_id || '_' || turn AS comment_id,
+    'https://www.reddit.com/r/' || subreddit || '/' || thread_id AS thread_url,
+    title AS thread_title, subreddit, persoon, gender
+  FROM conversations JOIN chosen ON thread_id = 'c' || conv_id
+  WHERE tier = 1 OR {hit_folded('text', 'strict_variants')}""", "people"))
+def collected_landed(spark, d):
+    threads = B.table(spark, d, "conversations").filter("turn = 0").selectExpr(
+        "concat('p', conv_id % 6) AS persoon", f"floor(conv_id / {_PAGE}) AS number",
+        "conv_id", "text", "length(text) AS size",
+        "inline(array(struct(0 AS query_index, 0 AS extra), struct(1 AS query_index, 7 AS extra)))")
+    pages = threads.selectExpr(
+        "persoon", "query_index", "number",
+        "named_struct('data', named_struct('permalink', "
+        "concat('/r/src', conv_id % 20, '/c', conv_id), 'title', text, 'subreddit', "
+        "concat('src', conv_id % 20), 'id', concat('c', conv_id), 'score', size + extra)) AS child",
+    ).groupBy("persoon", "query_index", "number").agg(
+        F.to_json(F.struct("query_index", "persoon", F.struct(
+            F.collect_list("child").alias("children")).alias("data"))).alias("page"))
+    listing = landed.read_thread_listing(spark, _land_json(pages, spark, "search"))
+    trees = landed.read_comment_trees(spark, _land_json(_tree_documents(spark, d), spark, "trees"))
+    return flows.collect_comments(listing, trees, B.PEOPLE, _BUDGET).select(
+        *schemas.COMMENT_FIELDS)
+
+
 @query(sql("""SELECT persoon, gender, subreddit, comment, '' AS manual_label, '' AS model_deberta,
   '' AS model_gpt, '' AS model_claude FROM comments
   QUALIFY row_number() OVER (

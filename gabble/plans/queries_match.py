@@ -11,6 +11,7 @@ from gabble.plans import flows
 from gabble.plans.bindings import fold_sql, in_sql, sql
 from gabble.plans.queries_clean import hit_folded, hit_lower
 from gabble.plans.registry import query
+from gabble.session import written
 
 _BUDGET = 20
 _CAP = 15
@@ -37,14 +38,17 @@ _COLLECTED = f"""{_HITS},
       ORDER BY tier, score DESC, thread_id) = 1)"""
 
 
-def _tiered(spark, d):
-    found = flows.search_threads(B.threads(spark, d), B.thread_comments(spark, d), B.PEOPLE)
-    return match.tier(found, entity_frame(spark, B.PEOPLE))
+def _found(spark, d):
+    return flows.search_threads(B.threads(spark, d), B.thread_comments(spark, d), B.PEOPLE)
 
 
-def _collected(spark, d):
-    return flows.collect_comments(
-        B.threads(spark, d), B.thread_comments(spark, d), B.PEOPLE, limit=_BUDGET)
+def _chosen(spark, d):
+    return flows.choose_threads(_found(spark, d), entity_frame(spark, B.PEOPLE), _BUDGET)
+
+
+def _gathered(spark, d, chosen):
+    return flows.gather_comments(B.thread_comments(spark, d), chosen,
+                                 entity_frame(spark, B.PEOPLE), _BUDGET * len(B.PEOPLE))
 
 
 def _found_tiered(spark, d):
@@ -92,7 +96,8 @@ def search_phrases(spark, d):
 @query(sql(f"WITH {_HITS} SELECT persoon, thread_id, title, score, tier FROM tiered",
            "people", "threads", "thread_comments"))
 def join_tier_theta(spark, d):
-    return _tiered(spark, d).select("persoon", "thread_id", "title", "score", "tier")
+    return match.tier(_found(spark, d), entity_frame(spark, B.PEOPLE)).select(
+        "persoon", "thread_id", "title", "score", "tier")
 
 
 @query(sql("""SELECT comment_id, author, comment, thread_id, url, title, subreddit
@@ -106,7 +111,7 @@ def join_thread_comments(spark, d):
   thread_title, subreddit, tier, thread_score, gender FROM collected""",
            "people", "threads", "thread_comments"))
 def collected_comments(spark, d):
-    return _collected(spark, d).select(
+    return _gathered(spark, d, _chosen(spark, d)).select(
         "persoon", "comment_id", "author", "comment", "thread_id", "thread_url", "thread_title",
         "subreddit", "tier", "thread_score", "gender")
 
@@ -231,8 +236,9 @@ def sample_per_group(spark, d):
   FROM people LEFT JOIN chosen USING (persoon) LEFT JOIN per_thread USING (persoon, thread_id)
   GROUP BY people.persoon, gender""", "people", "threads", "thread_comments"))
 def agg_overview(spark, d):
-    chosen = select.thread_budget(_tiered(spark, d), _BUDGET)
-    return report.overview(entity_frame(spark, B.PEOPLE), chosen, _collected(spark, d))
+    # The search reads every text; both sides of the report share its small, written result.
+    chosen = written(_chosen(spark, d), "chosen")
+    return report.overview(entity_frame(spark, B.PEOPLE), chosen, _gathered(spark, d, chosen))
 
 
 @query(sql(f"""WITH {_COLLECTED}, per_thread AS (
@@ -243,8 +249,8 @@ def agg_overview(spark, d):
   FROM chosen LEFT JOIN per_thread USING (persoon, thread_id) GROUP BY persoon""",
            "people", "threads", "thread_comments"))
 def agg_tier_report(spark, d):
-    chosen = select.thread_budget(_tiered(spark, d), _BUDGET)
-    return report.tier_report(chosen, _collected(spark, d))
+    chosen = written(_chosen(spark, d), "chosen")
+    return report.tier_report(chosen, _gathered(spark, d, chosen))
 
 
 @query(sql(f"""WITH {_FOUND_TIERED} SELECT persoon,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: SQL settings the engine expects. All of them can be changed at run time.
 SETTINGS = {
@@ -42,3 +42,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="gabble-")
         spark.conf.set(_SCRATCH_KEY, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several steps read to the shared folder and read it back.
+
+    Cuts the lineage for good: a lost executor cannot make Spark repeat the work above.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

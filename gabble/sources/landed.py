@@ -6,8 +6,10 @@ pretty-printed files, one task per file.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gabble.functions import text as T
 from gabble.sources import schemas
@@ -37,6 +39,16 @@ def read_comments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(schemas.COMMENTS).format(fmt).load(path)
 
 
+def read_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Earlier results, or an empty table on the first run, when nothing was saved yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_label_sheet(spark: SparkSession, path: str, schema: str = schemas.LABEL_SHEET) -> DataFrame:
     """A label sheet exported as CSV; unfilled slots are empty strings."""
     names = [part.split()[0] for part in schema.split(", ")]

@@ -109,8 +109,10 @@ def test_collection_flow(spark):
         ("a", "1", "u", "great"), ("a", "2", "u", "[deleted]"), ("b", "3", "u", "go Sven Kramer"),
         ("b", "4", "u", "just fast"), ("c", "5", "u", "hello"), ("a", "1", "u", "great")],
         "thread_id string, comment_id string, author string, comment string")
-    got = flows.collect_comments(threads, comments, SKATERS)
+    found = flows.search_threads(threads, comments, SKATERS)
+    assert sorted((r.persoon, r.thread_id) for r in found.collect()) == [("sven", "a"), ("sven", "b")]
+    got = flows.collect_comments(found, comments, SKATERS)
     assert sorted((r.persoon, r.comment_id, r.tier, r.gender) for r in got.collect()) == [
         ("sven", "1", 1, "man"), ("sven", "3", 2, "man")]
-    only_first = flows.collect_comments(threads, comments, SKATERS, limit=1)
+    only_first = flows.collect_comments(found, comments, SKATERS, limit=1)
     assert values(only_first, "comment_id") == ["1"]

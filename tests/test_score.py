@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from gabble.catalog import SKATERS, entity_frame
 from gabble.functions import modeltext as M
 from gabble.operators import resume, score
+from gabble.sources.landed import read_state
 from tests.helpers import values
 
 SCHEMA = ("comment_id string, persoon string, comment string, thread_title string, "
@@ -100,14 +101,14 @@ def test_resume_uses_both_keys(spark, shared):
 
 
 def test_resume_with_nothing_and_everything_done(spark, shared, folder):
-    empty = resume.read_state(spark, folder + "/absent", "comment_id string, persoon string")
+    empty = read_state(spark, folder + "/absent", "comment_id string, persoon string")
     assert keys(resume.remaining(shared, empty)) == keys(shared)
     assert keys(resume.remaining(shared, shared)) == []
 
 
 def test_read_state_reads_what_is_there(spark, shared, folder):
     shared.write.parquet(folder + "/state")
-    state = resume.read_state(spark, folder + "/state", "comment_id string, persoon string")
+    state = read_state(spark, folder + "/state", "comment_id string, persoon string")
     assert keys(state) == keys(shared)
 
 

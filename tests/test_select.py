@@ -118,3 +118,11 @@ def test_period_bound_reaches_the_scan(spark, folder):
     month = select.filter_period(df, "sec", "month", int(times[2].timestamp()))
     assert month.count() == 3 and "GreaterThanOrEqual(sec" in plan(month)
     assert select.filter_period(df, "ts", "all", datetime(2024, 1, 20)).count() == 3
+
+
+def test_saved_sample_is_reused(spark, folder):
+    df = spark.range(50).selectExpr("cast(id AS string) AS comment_id", "'sven' AS persoon")
+    first = sorted(values(select.saved_sample(df, folder + "/s", ["persoon"], 16), "comment_id"))
+    grown = df.unionByName(spark.range(50, 500).selectExpr("cast(id AS string)", "'sven'").toDF(*df.columns))
+    again = sorted(values(select.saved_sample(grown, folder + "/s", ["persoon"], 16), "comment_id"))
+    assert len(first) == 16 and first == again
