@@ -29,8 +29,8 @@ def context(subreddit: Column, thread: Column, comment: Column, *,
     """Comment with its subreddit and thread, the form zero-shot classifiers get."""
     return F.format_string(
         catalog.CONTEXT_FORMAT, subreddit,
-        T.truncate(T.strip_control(thread), thread_chars),
-        T.truncate(T.strip_control(comment), comment_chars),
+        T.truncate(T.strip_control(T.filled(thread)), thread_chars),
+        T.truncate(T.strip_control(T.filled(comment)), comment_chars),
     )
 
 
@@ -38,8 +38,9 @@ def prompt(person: Column, subreddit: Column, thread: Column, comment: Column, *
            preamble: str = "", thread_chars: int | None = None,
            comment_chars: int | None = None) -> Column:
     """Instruction preamble followed by the fields of one comment, the form chat models get."""
-    body = F.format_string(catalog.PROMPT_FORMAT, person, T.truncate(thread, thread_chars),
-                           subreddit, T.truncate(comment, comment_chars))
+    body = F.format_string(catalog.PROMPT_FORMAT, person,
+                           T.truncate(T.filled(thread), thread_chars), subreddit,
+                           T.truncate(T.filled(comment), comment_chars))
     return F.concat(F.lit(preamble), body) if preamble else body
 
 

@@ -36,3 +36,18 @@ def relevance_two_way(best_label: Column, score: Column,
         .when(best_label.startswith(_ABOUT_PREFIX), "RELEVANT")
         .otherwise("NOT_RELEVANT")
     )
+
+
+def sentiment(best_label: Column) -> Column:
+    """A sentiment model's label in lower case, ``unknown`` where the model failed."""
+    return F.coalesce(F.lower(best_label), F.lit("unknown"))
+
+
+def sentiment_fields(best_label: Column, score: Column) -> list[Column]:
+    """``negative``, ``sentiment_label``, ``sentiment_score``; all null where the model failed."""
+    label = F.lower(best_label)
+    return [
+        (label == "negative").alias("negative"),
+        label.alias("sentiment_label"),
+        rounded(score).alias("sentiment_score"),
+    ]

@@ -66,6 +66,27 @@ def test_context_and_prompt(spark):
         "Comment: Insane run\n\nJSON:"]
 
 
+def test_missing_text_is_empty_in_prompts(spark):
+    args = [F.col(c) for c in ("sub", "title", "comment")]
+    assert evaluate(spark, "sub string, title string, comment string", [("s", None, None)],
+                    out=M.context(*args)) == ["[Subreddit: r/s | Thread: ]\nComment: "]
+
+
+def test_no_off_topic_list_means_first_names(spark):
+    labels = M.evaluation_labels(F.lit("sven"), F.lit("Sven Kramer"), F.lit("he/him"), F.col("s"), ())
+    assert evaluate(spark, "s string", [("soccer",)], out=labels[0]) == [
+        "this comment evaluates or describes sven (he/him)"]
+
+
+def test_sentiment_of_a_failed_model(spark):
+    fields = rules.sentiment_fields(F.col("b"), F.col("s"))
+    rows = [("Negative", 0.98765), ("neutral", 0.5), (None, None)]
+    assert evaluate(spark, "b string, s double", rows, a=fields[0], b=fields[1], c=fields[2]) == [
+        (True, "negative", 0.9877), (False, "neutral", 0.5), (None, None, None)]
+    assert evaluate(spark, "b string, s double", rows, out=rules.sentiment(F.col("b"))) == [
+        "negative", "neutral", "unknown"]
+
+
 def test_candidate_labels(spark):
     labels = M.evaluation_labels(F.lit("sven"), F.lit("Sven Kramer"), M.pronoun(F.col("g")), F.col("s"))
     got = evaluate(spark, "g string, s string", [("man", "soccer"), ("vrouw", "olympics"), ("man", None)],
