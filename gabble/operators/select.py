@@ -7,14 +7,16 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import ArrayType, IntegralType
 from pyspark.sql.window import Window
 
 from gabble import catalog
+from gabble.session import written
 from gabble.sources.landed import read_state
 
 _PARTS = 64
 _SLICE_BUCKETS = 256
+_SLICE_ROWS = 10_000
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
@@ -117,45 +119,51 @@ def slice_rows(df: DataFrame, start: int | None, stop: int | None,
                order: str = "ingest_order") -> DataFrame:
     """Rows ``start <= position < stop`` in the order of a unique numeric column.
 
-    The column is cut at approximate quantiles, rows are counted per bucket, and only the buckets
-    that overlap the range are ranked, each on its own. No task ever sorts more than one bucket.
+    The order column alone is written once; the column's values at the two positions are looked up
+    there and bound the rows. The rows themselves are neither sorted nor shuffled.
     """
-    start = start or 0
+    if not start and stop is None:
+        return df
+    keys = written(df.select(order), "slice")
+    first = _value_at(keys, order, start) if start else None
+    if start and first is None or stop is not None and stop <= (start or 0):
+        return df.limit(0)
+    beyond = None if stop is None else _value_at(keys, order, stop)
+    if first is not None:
+        df = df.filter(F.col(order) >= F.lit(first))
+    if beyond is not None:
+        df = df.filter(F.col(order) < F.lit(beyond))
+    return df
+
+
+def _value_at(keys: DataFrame, order: str, position: int):
+    """The order value at a position, or ``None`` past the end.
+
+    Values are counted between approximate quantiles and the search goes on inside the one bucket
+    that holds the position, until the bucket is small enough to sort.
+    """
+    column, kind = F.col(order), keys.schema[order].dataType
     steps = [i / _SLICE_BUCKETS for i in range(1, _SLICE_BUCKETS)]
-    cuts = sorted(set(df.approxQuantile(order, steps, 1 / (4 * _SLICE_BUCKETS))))
-    column, kind = F.col(order), df.schema[order].dataType
-    if isinstance(kind, IntegralType):
-        # Edges of the column's own type reach the scan as plain comparisons.
-        cuts = sorted({int(c) for c in cuts})
-    if cuts:
-        edges = F.array(*[F.lit(c).cast(kind) for c in cuts])
+    while True:
+        cuts = sorted(set(keys.approxQuantile(order, steps, 1 / (4 * _SLICE_BUCKETS))))
+        if isinstance(kind, IntegralType):
+            # Edges of the column's own type reach the scan as plain comparisons.
+            cuts = sorted({int(c) for c in cuts})
+        edges = F.array(*[F.lit(c) for c in cuts]).cast(ArrayType(kind))
         bucket = F.size(F.filter(edges, lambda edge: edge < column))
-    else:
-        bucket = F.lit(0)
-    bucketed = df.withColumn("_bucket", bucket)
-    sizes = {r["_bucket"]: r["count"] for r in bucketed.groupBy("_bucket").count().collect()}
-    offsets, before = {}, 0
-    for number in sorted(sizes):
-        offsets[number] = before
-        before += sizes[number]
-    stop = before if stop is None else stop
-    wanted = {b: o for b, o in offsets.items() if o < stop and o + sizes[b] > start}
-    if not wanted:
-        return df.limit(0)
-    low, high = min(wanted), max(wanted)
-    bounds = F.lit(True)
-    if low > 0:
-        bounds = bounds & (column > F.lit(cuts[low - 1]).cast(kind))
-    if high < len(cuts):
-        bounds = bounds & (column <= F.lit(cuts[high]).cast(kind))
-    offset_of = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
-    return (
-        bucketed.filter(bounds)
-        .withColumn("_position", offset_of[F.col("_bucket")] + in_bucket)
-        .filter((F.col("_position") >= start) & (F.col("_position") < stop))
-        .drop("_bucket", "_position")
-    )
+        sizes = sorted(map(tuple, keys.groupBy(bucket.alias("bucket")).count().collect()))
+        for number, size in sizes:
+            if position < size:
+                break
+            position -= size
+        else:
+            return None
+        if number > 0:
+            keys = keys.filter(column > F.lit(cuts[number - 1]))
+        if number < len(cuts):
+            keys = keys.filter(column <= F.lit(cuts[number]))
+        if size <= _SLICE_ROWS or len(sizes) == 1:
+            return keys.orderBy(order).offset(position).first()[order]
 
 
 def filter_period(df: DataFrame, column: str, period: str, reference: int | datetime) -> DataFrame:

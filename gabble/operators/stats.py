@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +23,25 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> Dat
 def cells(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     """The table in long form with margins and expected counts, empty cells included.
 
-    Everything after the first aggregation works on the few cells of the table. Rows and columns
+    Everything after the first aggregation works on the few rows of the table. Rows and columns
     without any count are no categories of the test and are left out.
     """
-    grid = crosstab(df, row, column, values).select(
+    values = list(values)
+    everything = Window.partitionBy(F.lit(0))
+    totals = {f"_total_{i}": F.sum(v).over(everything) for i, v in enumerate(values)}
+    wide = crosstab(df, row, column, values).withColumns(totals)
+    present = [F.col(t) > 0 for t in totals]
+    long = wide.select(
         F.col(row).alias("row_value"),
+        reduce(Column.__add__, [F.col(v) for v in values]).alias("row_total"),
+        reduce(Column.__add__, [F.col(t) for t in totals]).alias("n"),
+        reduce(Column.__add__, [p.cast("bigint") for p in present]).alias("n_columns"),
         F.inline(F.array(*[
-            F.struct(F.lit(v).alias("column_value"), F.col(v).alias("observed"))
-            for v in values])))
-    total = F.sum("observed")
+            F.struct(F.lit(v).alias("column_value"), F.col(v).alias("observed"),
+                     F.col(t).alias("column_total"))
+            for v, t in zip(values, totals)])))
     return (
-        grid.withColumns({
-            "row_total": total.over(Window.partitionBy("row_value")),
-            "column_total": total.over(Window.partitionBy("column_value")),
-            "n": total.over(Window.partitionBy(F.lit(0))),
-        })
-        .filter((F.col("row_total") > 0) & (F.col("column_total") > 0))
+        long.filter((F.col("row_total") > 0) & (F.col("column_total") > 0))
         .withColumn("expected", F.col("row_total") * F.col("column_total") / F.col("n"))
     )
 
@@ -51,10 +55,13 @@ def chi_square(df: DataFrame, row: str, column: str, values: Sequence[str], *,
     table = cells(df, row, column, values)
     gap = F.abs(F.col("observed") - F.col("expected"))
     yates = gap - F.least(F.lit(0.5), gap)
+    # The table is a full grid, so the number of its rows follows from that of its cells.
+    n_columns = F.max("n_columns")
+    n_rows = (F.count("*") / n_columns).cast("bigint")
     sums = table.agg(
         F.sum(gap * gap / F.col("expected")).alias("plain"),
         F.sum(yates * yates / F.col("expected")).alias("corrected"),
-        ((F.count_distinct("row_value") - 1) * (F.count_distinct("column_value") - 1)).alias("dof"),
+        ((n_rows - 1) * (n_columns - 1)).alias("dof"),
     )
     corrected = (F.col("dof") == 1) & F.lit(correction)
     return (

@@ -91,9 +91,11 @@ def test_label_sheet_skips_missing_comments(spark):
     assert [tuple(r) for r in sheet.collect()] == [("sven", "man", "s", "x", "", "", "", "")]
 
 
+@pytest.mark.parametrize("small", [10_000, 1])
 @pytest.mark.parametrize("start, stop", [
     (0, 10), (100, 1100), (2990, None), (None, None), (1500, 1501), (3000, 4000), (5, 5), (None, 3)])
-def test_slice_equals_brute_force(spark, start, stop):
+def test_slice_equals_brute_force(spark, monkeypatch, start, stop, small):
+    monkeypatch.setattr(select, "_SLICE_ROWS", small)
     rng = random.Random(3)
     keys = rng.sample(range(10**18), 1500) + list(range(1500))
     df = spark.createDataFrame([(k,) for k in keys], "ingest_order bigint").repartition(9)
@@ -101,6 +103,17 @@ def test_slice_equals_brute_force(spark, start, stop):
     assert got == sorted(keys)[start:stop]
 
 
+def test_slice_is_a_plain_range_of_the_rows(spark):
+    df = spark.range(100).withColumnRenamed("id", "ingest_order")
+    assert "Exchange" not in plan(select.slice_rows(df, 10, 20))
+
+
+def test_slice_of_doubles(spark):
+    df = spark.range(3000).select((F.col("id") / 7).alias("ingest_order")).repartition(5)
+    got = sorted(values(select.slice_rows(df, 1000, 1003), "ingest_order"))
+    assert got == [1000 / 7, 1001 / 7, 1002 / 7]
+
+
 def test_slice_of_few_and_no_rows(spark):
     df = spark.createDataFrame([(2,), (1,)], "ingest_order bigint")
     assert values(select.slice_rows(df, 1, 2), "ingest_order") == [2]
