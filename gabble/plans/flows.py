@@ -13,7 +13,7 @@ from gabble.functions import text as T
 from gabble.operators import clean, match, report, score, select
 
 _JOIN_PARTS = 16
-_BROADCAST_ROWS = 100_000
+_BROADCAST_ROWS = 20_000
 
 
 def search_threads(threads: DataFrame, comments: DataFrame, entities: Sequence[Entity]) -> DataFrame:

@@ -87,7 +87,7 @@ def filter_phrase(spark, d):
 
 @query(sql(f"""SELECT comment_id, t.persoon, query_index FROM (
     SELECT persoon, unnest(search_queries) AS phrase,
-      generate_subscripts(search_queries, 1) - 1 AS query_index FROM people) t, comments
+      CAST(generate_subscripts(search_queries, 1) - 1 AS INTEGER) AS query_index FROM people) t, comments
   WHERE contains({fold_sql('comment')}, {fold_sql('phrase')})""", "comments", "people"))
 def search_phrases(spark, d):
     return match.search(B.comments(spark, d), B.PEOPLE, "comment", ["comment_id"])

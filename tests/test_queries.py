@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows
+from tests.helpers import plan
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = sorted(entry.queries())
@@ -23,6 +24,8 @@ def engine():
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, engine, name):
     df = entry.queries()[name](spark, FOLDER)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     check = entry.oracle_sql().get(name)
     if check is None:

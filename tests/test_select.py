@@ -37,6 +37,11 @@ def test_groups_shrink_before_every_shuffle(skewed):
     assert text.count("WindowGroupLimit") == 4
 
 
+def test_large_limits_shrink_groups_too(skewed):
+    _, df = skewed
+    assert "WindowGroupLimit" in plan(select.top_per_group(df, ["g"], [F.col("id")], 50_000))
+
+
 @pytest.mark.parametrize("limit, tiers, expected", [
     (3, [(1, 5), (1, 1), (2, 9), (2, 8)], [(1, 1), (1, 5), (2, 9)]),
     (3, [(1, 5), (1, 1), (1, 2), (1, 3), (2, 9)], [(1, 2), (1, 3), (1, 5)]),
