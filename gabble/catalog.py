@@ -51,7 +51,7 @@ def entity_frame(spark: SparkSession, entities: Iterable[Entity]) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)
 
 
-# --- Fixed values: these must equal the published study's for the same results --------------------
+# --- Fixed values: results are only comparable while these stay as they are -----------------------
 
 SKATERS = (
     Entity("ireen", "Ireen Wüst", "Ireen Wüst (Dutch long-track speed skater)", "vrouw", "she/her",

@@ -87,7 +87,7 @@ def report(df: DataFrame, rules: DropRules = DropRules()) -> DataFrame:
         fill_text(df)
         .select(
             "persoon", "author", "thread_url",
-            F.sha2(F.col("comment"), 256).alias("digest"),
+            F.unhex(F.sha2(F.col("comment"), 256)).alias("digest"),
             drop_reason(F.col("author"), F.col("comment"), rules).alias("reason"))
         .groupBy("digest", "persoon", "author", "thread_url", "reason")
         .agg(F.count("*").alias("copies"))

@@ -40,8 +40,13 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Dedupe, keeping the first row per key. Null keys count as equal."""
-    return top_per_group(df, keys, order, 1)
+    """Dedupe, keeping the first row per key. Null keys count as equal.
+
+    A hash of the key leads the sort, so rows are told apart by a number instead of by the first
+    letters of long texts; the key itself still decides.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    return top_per_group(hashed, ["_hash", *keys], order, 1).drop("_hash")
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

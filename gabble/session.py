@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rank-and-cut inside the map tasks for any n; the cut itself keeps no rows in memory.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
+    # A JSON object with a repeated member keeps the last value instead of being unreadable.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -3,7 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gabble.operators import resume
+from gabble.catalog import SKATERS, entity_frame
+from gabble.functions import modeltext as M
+from gabble.functions import rules
+from gabble.operators import clean, report, resume, score
+from gabble.plans import flows
 from gabble.session import scratch_dir
 from gabble.sources import landed, schemas, sinks
 from gabble.streaming import incremental
@@ -178,6 +182,33 @@ def test_scratch_is_below_the_shared_folder(spark):
     assert one.startswith(base + "/x-") and one != two
 
 
+def test_from_landed_pages_to_the_report(spark, folder):
+    """Search pages and trees on disk, then collection, cleaning, scoring and the rate table."""
+    pages = write_lines(folder, "search", [
+        {"persoon": "sven", "query_index": 0, "data": {"children": [
+            {"data": {"permalink": "/r/sports/a", "title": "Sven KRAMER wins", "subreddit": "sports",
+                      "id": "a", "score": 5}},
+            {"data": {"permalink": "/r/sports/b", "title": "Race day", "subreddit": "sports",
+                      "id": "b", "score": 50}}]}}])
+    trees = write_lines(folder, "threads", [
+        document("a", node("1", "terrible race", listing(node("2", "great race", author="u"))),
+                 node("3", "beep", author="AutoModerator")),
+        document("b", node("4", "sven kramer was the worst"), node("5", "nice day"))])
+    table = flows.collect_comments(landed.read_thread_listing(spark, pages),
+                                   landed.read_comment_trees(spark, trees), SKATERS)
+    sinks.write_comments(table, folder + "/comments", "csv")
+    raw = landed.read_comments(spark, folder + "/comments", "csv").withColumn(
+        "ingest_order", F.col("comment_id").cast("bigint"))
+    assert sorted(values(raw, "comment_id")) == ["1", "2", "3", "4"]
+    sinks.write_split(clean.tag(raw), folder + "/clean")
+    kept = sinks.read_kept(spark, folder + "/clean")
+    flagged = clean.kept(clean.tag(raw), entity_frame(spark, SKATERS))
+    assert {r.comment_id: r.name_in_comment for r in flagged.collect()} == {
+        "1": False, "2": False, "4": True}
+    rate = report.negative_rate(score.negative_flag(kept)).collect()
+    assert [tuple(r) for r in rate] == [("sven", "man", 3, 2, 66.7)]
+
+
 # --- Streams ---------------------------------------------------------------------------------------
 
 STREAM = "comment_id string, persoon string, comment string, at timestamp"
@@ -201,6 +232,23 @@ def test_a_run_takes_only_what_is_new(spark, folder):
     assert run(spark, folder, lambda s: s) == [("1", "jutta"), ("1", "sven"), ("2", "sven")]
 
 
+def load_length_model():
+    return lambda texts, labels: [(c[0], len(t) / 10) for t, c in zip(texts, labels)]
+
+
+def test_a_batch_model_scores_a_stream(spark, folder):
+    land(spark, folder + "/in", [("1", "sven", "abc"), ("2", "jutta", None)])
+
+    def scored(stream):
+        rows = stream.withColumn("candidate_labels", M.about_labels(F.col("persoon")))
+        best = score.batch_score(rows, load_length_model, resume.SCORE_KEY)
+        return best.withColumn("label", rules.relevance_two_way(F.col("best_label"), F.col("model_score")))
+
+    assert run(spark, folder, scored) == [("1", "sven"), ("2", "jutta")]
+    out = {r.comment_id: (r.model_score, r.label) for r in spark.read.parquet(folder + "/out").collect()}
+    assert out == {"1": (0.3, "NOT_RELEVANT"), "2": (0.0, "NOT_RELEVANT")}
+
+
 def test_each_key_once_over_all_runs(spark, folder):
     land(spark, folder + "/in", [("1", "sven", "a")] * 50 + [("1", "jutta", "a")])
     assert run(spark, folder, incremental.unique) == [("1", "jutta"), ("1", "sven")]

@@ -24,6 +24,7 @@ def answer(spark, text):
     ('[{"label": "RELEVANT"}]', "ERROR", "", None),
     ('"{\\"label\\": \\"RELEVANT\\"}"', "ERROR", "", None),
     ('12 {"label": "RELEVANT"}', "RELEVANT", "", ""),
+    ('{"label": "NOT_RELEVANT", "label": "RELEVANT"}', "RELEVANT", "", ""),
 ])
 def test_relevance_answer(spark, text, label, confidence, reason):
     got = answer(spark, text)

@@ -28,6 +28,8 @@ def scored(spark):
 def test_counts(scored):
     assert [tuple(r) for r in report.count_by(scored, "persoon").collect()] == [
         ("sven", 4), ("ireen", 1), ("jutta", 1)]
+    assert [tuple(r) for r in report.count_by(scored, "persoon", by_key=True).collect()] == [
+        ("ireen", 1), ("jutta", 1), ("sven", 4)]
     assert {tuple(r) for r in report.label_counts(scored, "sentiment").collect()} == {
         ("negative", 2), ("neutral", 1), ("unknown", 1)}
     with_null = report.label_counts(scored, "sentiment", with_null=True).collect()
