@@ -39,6 +39,15 @@ def read_comments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(schemas.COMMENTS).format(fmt).load(path)
 
 
+def with_order(scanned: DataFrame, name: str = "ingest_order") -> DataFrame:
+    """Number freshly scanned rows: unique, and rising with the position inside each file split.
+
+    Apply it right on a scan and store the result; above a shuffle or after a change of the split
+    settings the numbers would be others.
+    """
+    return scanned.withColumn(name, F.monotonically_increasing_id())
+
+
 def read_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Earlier results, or an empty table on the first run, when nothing was saved yet."""
     try:

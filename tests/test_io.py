@@ -30,6 +30,18 @@ def test_csv_keeps_text(spark, folder):
     assert values(back.orderBy("comment_id"), "comment") == texts
 
 
+def test_order_follows_the_file(spark, folder):
+    df = spark.createDataFrame([comment(comment=f"c{i % 3}", comment_id=f"{i:03}") for i in range(60)],
+                               schemas.COMMENTS)
+    sinks.write_comments(df.coalesce(1), folder + "/csv", "csv")
+    numbered = landed.with_order(landed.read_comments(spark, folder + "/csv", "csv"))
+    assert values(clean.drop_duplicates(numbered).orderBy("comment_id"), "comment_id") == [
+        "000", "001", "002"]
+    ordered = numbered.orderBy("ingest_order")
+    assert values(ordered, "comment_id") == [f"{i:03}" for i in range(60)]
+    assert numbered.select("ingest_order").distinct().count() == 60
+
+
 def test_parquet_keeps_missing_apart_from_empty(spark, folder):
     df = spark.createDataFrame([comment(comment=None), comment(comment="")], schemas.COMMENTS)
     sinks.write_comments(df, folder + "/pq")
@@ -197,8 +209,7 @@ def test_from_landed_pages_to_the_report(spark, folder):
     table = flows.collect_comments(landed.read_thread_listing(spark, pages),
                                    landed.read_comment_trees(spark, trees), SKATERS)
     sinks.write_comments(table, folder + "/comments", "csv")
-    raw = landed.read_comments(spark, folder + "/comments", "csv").withColumn(
-        "ingest_order", F.col("comment_id").cast("bigint"))
+    raw = landed.with_order(landed.read_comments(spark, folder + "/comments", "csv"))
     assert sorted(values(raw, "comment_id")) == ["1", "2", "3", "4"]
     sinks.write_split(clean.tag(raw), folder + "/clean")
     kept = sinks.read_kept(spark, folder + "/clean")
