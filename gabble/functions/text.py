@@ -124,13 +124,17 @@ def utc_date(seconds: Column) -> Column:
 def word_pattern(words: Iterable[str]) -> str:
     """Regular expression for any of the words, bounded by non-letters on both sides.
 
-    Looking at the first letter before anything else skips most positions of a text.
+    Looking at the first two letters before anything else skips most positions of a text.
     """
     words = list(words)
-    first = "".join(sorted({rf"\Q{w[0]}\E" for w in words}))
+
+    def letters(at: int) -> str:
+        return "[" + "".join(sorted({rf"\Q{w[at]}\E" for w in words})) + "]"
+
+    start = letters(0) + (letters(1) if all(len(w) > 1 for w in words) else "")
     body = "|".join(rf"\Q{w}\E" for w in words)
     letter = r"[\p{L}\p{N}_]"
-    return f"(?=[{first}])(?<!{letter})(?:{body})(?!{letter})"
+    return f"(?={start})(?<!{letter})(?:{body})(?!{letter})"
 
 
 def has_word(text: Column, words: Iterable[str]) -> Column:

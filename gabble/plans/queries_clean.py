@@ -29,7 +29,7 @@ _FIRST = """filled AS (SELECT * REPLACE (coalesce(comment, '') AS comment,
     coalesce(thread_title, '') AS thread_title) FROM raw),
   firsts AS (SELECT * FROM filled QUALIFY row_number() OVER (
     PARTITION BY comment, persoon, author, thread_url ORDER BY ingest_order) = 1)"""
-_TAGGED = f"""{_FIRST}, tagged AS (
+TAGGED = f"""{_FIRST}, tagged AS (
   SELECT * REPLACE ({_STRIP_FOOTER} AS comment), {_REASON} AS drop_reason FROM firsts)"""
 
 
@@ -111,7 +111,7 @@ def dedupe_first(spark, d):
         "comment_id", "persoon", "author", "thread_url", "comment")
 
 
-@query(sql(f"""WITH {_TAGGED} SELECT comment_id, comment, author, t.persoon, thread_title, {_FLAGS}
+@query(sql(f"""WITH {TAGGED} SELECT comment_id, comment, author, t.persoon, thread_title, {_FLAGS}
   FROM tagged t LEFT JOIN people USING (persoon) WHERE drop_reason = ''""", "raw", "people"))
 def clean_kept(spark, d):
     people = entity_frame(spark, B.PEOPLE)
@@ -120,14 +120,14 @@ def clean_kept(spark, d):
         "name_in_comment", "name_in_thread")
 
 
-@query(sql(f"""WITH {_TAGGED} SELECT comment_id, comment, author, persoon, drop_reason
+@query(sql(f"""WITH {TAGGED} SELECT comment_id, comment, author, persoon, drop_reason
   FROM tagged WHERE drop_reason <> ''""", "raw"))
 def clean_dropped(spark, d):
     return clean.dropped(clean.tag(B.raw(spark, d))).select(
         "comment_id", "comment", "author", "persoon", "drop_reason")
 
 
-@query(sql(f"""WITH {_TAGGED} SELECT comment_id, comment,
+@query(sql(f"""WITH {TAGGED} SELECT comment_id, comment,
   drop_reason = '' AS kept FROM tagged""", "raw"))
 def snk_split(spark, d):
     path = scratch_dir(spark, "split")
@@ -137,7 +137,7 @@ def snk_split(spark, d):
     return kept.unionByName(audit, allowMissingColumns=True).select("comment_id", "comment", "kept")
 
 
-@query(sql(f"""WITH {_TAGGED}, counts AS (
+@query(sql(f"""WITH {TAGGED}, counts AS (
     SELECT CASE WHEN drop_reason = '' THEN 'kept' ELSE drop_reason END AS status, count(*) AS n_rows
     FROM tagged GROUP BY 1
     UNION ALL SELECT 'duplicate', (SELECT count(*) FROM raw) - (SELECT count(*) FROM firsts))

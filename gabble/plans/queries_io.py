@@ -7,7 +7,7 @@ from gabble.plans import bindings as B
 from gabble.plans import flows
 from gabble.plans.bindings import sql
 from gabble.plans.queries_clean import hit_folded
-from gabble.plans.queries_score import _has_sql
+from gabble.plans.queries_score import has_word_sql
 from gabble.plans.registry import query
 from gabble.session import scratch_dir
 from gabble.sources import landed, schemas, sinks
@@ -163,7 +163,7 @@ def snk_partitioned(spark, d):
     return spark.read.parquet(path).select("comment_id", "persoon", "comment")
 
 
-_SENTIMENT_SQL = f"CASE WHEN {_has_sql(B.NEGATIVE)} THEN 'negative' ELSE 'neutral' END"
+_SENTIMENT_SQL = f"CASE WHEN {has_word_sql(B.NEGATIVE)} THEN 'negative' ELSE 'neutral' END"
 
 
 def _two_landings(spark, d, name):

@@ -7,8 +7,8 @@ from gabble.operators import report, stats
 from gabble.plans import bindings as B
 from gabble.plans import flows
 from gabble.plans.bindings import round_sql, sql
-from gabble.plans.queries_clean import _TAGGED
-from gabble.plans.queries_score import _has_sql
+from gabble.plans.queries_clean import TAGGED
+from gabble.plans.queries_score import has_word_sql
 from gabble.plans.registry import query
 
 _MATRIX = ", ".join(
@@ -112,10 +112,10 @@ def stat_chi_square(spark, d):
                        F.round("p_value", 6).alias("p_value"), "significant")
 
 
-@query(sql(f"""WITH {_TAGGED} SELECT persoon, gender, totaal, negatief,
+@query(sql(f"""WITH {TAGGED} SELECT persoon, gender, totaal, negatief,
   {round_sql('100.0 * negatief / totaal', 1)} AS pct_negatief
   FROM (SELECT persoon, gender, count(*) AS totaal,
-      count(*) FILTER (WHERE {_has_sql(B.NEGATIVE)}) AS negatief
+      count(*) FILTER (WHERE {has_word_sql(B.NEGATIVE)}) AS negatief
     FROM tagged WHERE drop_reason = '' GROUP BY persoon, gender)""", "raw"))
 def negative_report(spark, d):
     return flows.negative_report(B.raw(spark, d), entity_frame(spark, B.PEOPLE), B.NEGATIVE)

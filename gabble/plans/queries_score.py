@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from gabble.catalog import entity_frame
 from gabble.functions import modeltext as M
 from gabble.functions import rules
-from gabble.functions import text as T
 from gabble.operators import match, report, resume, score
+from gabble.operators.select import last_per_key
 from gabble.plans import bindings as B
 from gabble.plans.bindings import in_sql, round_sql, sql
 from gabble.plans.queries_clean import hit_folded
@@ -89,7 +89,7 @@ def _count_sql(words) -> str:
             f"lambda w: w IN ({in_sql(words)})))")
 
 
-def _has_sql(words) -> str:
+def has_word_sql(words) -> str:
     return (r"regexp_matches(lower(comment), '(^|[^\p{L}\p{N}_])(" + "|".join(words)
             + r")($|[^\p{L}\p{N}_])')")
 
@@ -130,9 +130,9 @@ def score_relevance_rule(spark, d):
 
 
 _FLAGS_SQL = f"""SELECT comment_id, gender,
-  CASE WHEN blank THEN NULL ELSE {_has_sql(B.SKATING)} END AS speedskating,
-  CASE WHEN blank THEN NULL ELSE {_has_sql(B.PERFORMANCE)} END AS performance,
-  CASE WHEN blank THEN NULL ELSE {_has_sql(B.NEGATIVE)} END AS negative
+  CASE WHEN blank THEN NULL ELSE {has_word_sql(B.SKATING)} END AS speedskating,
+  CASE WHEN blank THEN NULL ELSE {has_word_sql(B.PERFORMANCE)} END AS performance,
+  CASE WHEN blank THEN NULL ELSE {has_word_sql(B.NEGATIVE)} END AS negative
   FROM (SELECT *, comment IS NULL OR comment = '' AS blank FROM raw)"""
 
 
@@ -177,7 +177,7 @@ def load_keyword_model():
     ELSE 'this comment is not about ' || persoon END AS best_label,
   CASE WHEN comment = '[deleted]' THEN NULL WHEN hit THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END
     AS model_score
-  FROM (SELECT *, coalesce({_has_sql(B.NEGATIVE)}, false) AS hit FROM raw)""", "raw"))
+  FROM (SELECT *, coalesce({has_word_sql(B.NEGATIVE)}, false) AS hit FROM raw)""", "raw"))
 def score_batch_hook(spark, d):
     rows = B.raw(spark, d).withColumn("candidate_labels", M.about_labels(F.col("persoon")))
     return score.batch_score(rows, load_keyword_model, ["comment_id", "persoon"])
@@ -245,8 +245,6 @@ _RUNS_SQL = """runs AS (SELECT *, 0 AS run FROM manual UNION ALL SELECT comment_
 
 @query(sql(f"WITH {_RUNS_SQL} SELECT comment_id, persoon, sentiment, run FROM latest", "manual"))
 def dedupe_last(spark, d):
-    from gabble.operators.select import last_per_key
-
     return last_per_key(_result_runs(spark, d), resume.SCORE_KEY, "run").select(
         "comment_id", "persoon", "sentiment", "run")
 

@@ -110,7 +110,8 @@ def walk(children, depth=1):
 def test_trees(spark, folder):
     deep = node("d40", "bottom")
     for level in range(39, 0, -1):
-        deep = node(f"d{level}", "[deleted]" if level % 2 else "text", listing(deep, node(f"s{level}", "side")))
+        body = "[deleted]" if level % 2 else "text"
+        deep = node(f"d{level}", body, listing(deep, node(f"s{level}", "side")))
     wide = [node(f"w{i}", 'says "replies": {') for i in range(50)]
     more = {"kind": "more", "data": {"id": "m", "children": ["x"],
                                      "replies": listing(node("hidden", "no"))}}
@@ -166,7 +167,8 @@ def test_export_is_printable(spark, folder):
 
 
 def test_relevant_sink(spark, folder):
-    df = spark.createDataFrame([("1", "relevant"), ("2", "unclear"), ("3", None)], "id string, relevance string")
+    rows = [("1", "relevant"), ("2", "unclear"), ("3", None)]
+    df = spark.createDataFrame(rows, "id string, relevance string")
     sinks.write_relevant(df, folder + "/relevant", "relevance")
     assert values(spark.read.parquet(folder + "/relevant"), "id") == ["1"]
 

@@ -101,7 +101,8 @@ def test_agrees_with_the_ml_test(spark):
     df = table(spark, {g: dict(zip(names, row)) for g, row in counts.items()})
     for labels in (names, names[:2]):
         part = df.filter(F.col("sentiment").isin(labels))
-        indexed = StringIndexer(inputCols=["gender", "sentiment"], outputCols=["g", "s"]).fit(part).transform(part)
+        index = StringIndexer(inputCols=["gender", "sentiment"], outputCols=["g", "s"])
+        indexed = index.fit(part).transform(part)
         vectors = VectorAssembler(inputCols=["s"], outputCol="v").transform(indexed)
         want = ChiSquareTest.test(vectors, "v", "g").first()
         got = stats.chi_square(df, "gender", "sentiment", labels, correction=False).first()

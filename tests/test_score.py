@@ -61,7 +61,8 @@ def load_fragile():
 
 def test_a_failing_row_does_not_stop_the_job(comments):
     rows = comments.withColumn("candidate_labels", M.about_labels(F.col("persoon")))
-    got = {r.comment_id: r for r in score.batch_score(rows, load_fragile, ["comment_id", "persoon"]).collect()}
+    scored = score.batch_score(rows, load_fragile, ["comment_id", "persoon"])
+    got = {r.comment_id: r for r in scored.collect()}
     assert len(got) == 6
     assert (got["2"].best_label, got["2"].model_score) == (None, None)
     assert got["1"].best_label == "this comment is about sven as an athlete or person"

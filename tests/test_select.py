@@ -88,8 +88,9 @@ def test_sample_size_and_stability(spark):
 
 
 def test_label_sheet_skips_missing_comments(spark):
-    df = spark.createDataFrame([("1", "sven", "man", "s", None), ("2", "sven", "man", "s", "x")],
-                               "comment_id string, persoon string, gender string, subreddit string, comment string")
+    df = spark.createDataFrame(
+        [("1", "sven", "man", "s", None), ("2", "sven", "man", "s", "x")],
+        "comment_id string, persoon string, gender string, subreddit string, comment string")
     sheet = select.label_sheet(df)
     assert sheet.columns == ["persoon", "gender", "subreddit", "comment", "manual_label",
                              "model_deberta", "model_gpt", "model_claude"]

@@ -89,6 +89,12 @@ def test_words_need_boundaries(spark):
     assert run(spark, T.count_words(F.col("t"), words), texts) == [1, 0, 0, 2, 0, None, 2]
 
 
+def test_words_of_any_shape(spark):
+    texts = ["a b", "c++ rocks", "ab", "x-y]z", "naïef", "NAÏEF!", "(a)"]
+    assert run(spark, T.has_word(F.col("t"), ["a", "c++", "y]z", "naïef"]), texts) == [
+        True, True, False, True, True, True, True]
+
+
 def test_live_body_and_membership(spark):
     texts = ["text", "", "[deleted]", "[removed]", "[Deleted]", None]
     assert run(spark, T.is_live_body(F.col("t")), texts) == [True, False, False, False, True, False]
