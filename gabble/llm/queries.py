@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gabble.llm import packing, repetition, secrets, simhash, winnow
+from gabble.llm import (
+    bpe, packing, quality, repetition, secrets, simhash, token_rollup, toxicity, weighted_minhash, winnow,
+)
 from gabble.llm.common import table
+from gabble.session import scratch_dir
+
+RANKS = "byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after a load, a recount and a removal of copies."""
+    return token_rollup.maintained(table(spark, sf_dir, "documents"), scratch_dir(spark, "rollup"),
+                                   public_tokenizers.path(RANKS), public_tokenizers.PATTERN, "byte_bpe_50k")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with its score; values only as digests."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(table(spark, sf_dir, "documents"))
 
@@ -36,8 +60,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints as their samples joined by spaces."""
+    found = weighted_minhash.compare(table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), " ") for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(joined)
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_secret_scan, op5_simhash_dedup, op6_quality_rules, op8_line_dedup, op9_packing)
+    f.__name__: f for f in (
+        op1_token_rollup, op2_secret_scan, op3_bpe_codec, op4_quality_classifier, op5_simhash_dedup,
+        op6_quality_rules, op7_toxicity, op8_line_dedup, op9_packing, op10_weighted_fingerprints)
 }
 
 CHECKS: dict[str, str] = {}
