@@ -43,8 +43,11 @@ class LabelModel:
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.5, rounds: int = 60,
-        correlated: bool = True) -> LabelModel:
-    """Estimate the model from distinct vote vectors and their counts; starts from the majority vote."""
+        correlated: bool = True, start: np.ndarray | None = None) -> LabelModel:
+    """Estimate the model from distinct vote vectors and their counts.
+
+    ``start``: first guess of P(class 1) for each vector; without it the majority vote.
+    """
     patterns = np.asarray(patterns, np.int64)
     voters = patterns.shape[1] if patterns.ndim == 2 else 0
     counts = np.asarray(counts, float)
@@ -52,7 +55,10 @@ def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.5, rounds: in
     correlations = np.eye(voters)
     if not voters or not counts.sum():
         return LabelModel(prior, np.full((voters, 2, 3), 1 / 3), correlations, shares)
-    p = 1 / (1 + np.exp(-(patterns.sum(1) + np.log(prior / (1 - prior)))))
+    if correlated:
+        # Before classes are known only voters that nearly always agree look like copies.
+        shares = 1 / np.maximum((np.clip(_correlations(patterns, counts[None]), 0, 1) ** 4).sum(1), 1)
+    p = 1 / (1 + np.exp(-(patterns @ shares + np.log(prior / (1 - prior))))) if start is None else start
     model = None
     for turn in range(rounds):
         weight = np.stack([counts * (1 - p), counts * p])

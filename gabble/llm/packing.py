@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_len:
 
 def numbered(df: DataFrame, group: str, doc_id: str, order: list[str], part: int = PART) -> DataFrame:
     """Adds ``position``, from 0 on inside each group, without a task for a whole group."""
-    parted = df.withColumn("_part", F.coalesce(F.expr(f"floor({doc_id} / {part})"), F.lit(-(1 << 62))))
+    parted = df.withColumn("_part", F.coalesce(F.expr(f"{doc_id} div {part}"), F.lit(-(1 << 62))))
     sizes = parted.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per group and 4,096 ids.
     offsets = sizes.withColumn("_first", F.sum("_size").over(

@@ -137,7 +137,8 @@ def links(distinct: DataFrame, wide: bool | None = None, block: int = BLOCK) ->
     keys = F.array(*[F.struct(F.lit(i).alias("tag"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part"))
                      for i, (_, m) in enumerate(buckets)])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.tag", "k.part")
-    sizes = rows.groupBy("tag", "part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written, so that the join reads both sides from exchanges and Spark can split a large bucket.
+    sizes = written(rows.groupBy("tag", "part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.col("other")
@@ -230,7 +231,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     roots = components(links(distinct.select("fp")))
     member = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select("fp", "component_id")
+    named = written(member.join(ids, "root").select("fp", "component_id"), "named")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -30,8 +30,8 @@ MAX_TRAIN = 30_000
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7)
 #: Stems in the lexicons, and the least toxic texts that a stem needs.
-MAX_STEMS = 400
-LEAST_TOXIC = 6
+MAX_STEMS = 1_000
+LEAST_TOXIC = 4
 
 #: Voters' word lists.
 PERSONS = frozenset("idiot idiots moron morons loser losers scum clown clowns trash jerk fool bastard pig creep freak "
@@ -40,7 +40,7 @@ QUALITIES = frozenset("worthless pathetic disgusting stupid dumb ugly useless vi
                       "retarded braindead".split())
 ADDRESS = frozenset("you your you're he she they these those".split())
 
-VOTERS = ("persons", "qualities", "several", "strong_stem", "strong_stems", "weak_stems", "addressed", "nothing", "annotators")
+VOTERS = ("persons", "qualities", "several", "strong_stem", "strong_stems", "weak_stems", "addressed", "annotators")
 _EDGE = ".,!?|;:%&*$#\"'()[]<>"
 
 
@@ -78,8 +78,9 @@ def vote(text: str, label: int | None, strong: frozenset[str], weak: frozenset[s
     near = any(a in ADDRESS and (b in PERSONS or b in QUALITIES) for a, b in zip(parts, parts[1:]))
     near = near or any(a in ADDRESS and (b in PERSONS or b in QUALITIES) for a, b in zip(parts, parts[2:]))
     return [int(bool(distinct & PERSONS)), int(bool(distinct & QUALITIES)), int(len(insults) > 1),
-            int(len(marked) > 0), int(len(marked) > 1), 1 if len(hinted) > 2 else 0 if hinted else -1, int(near),
-            0 if marked or insults else -1, 0 if label is None else 1 if label else -1]
+            int(len(marked) > 0), int(len(marked) > 1),
+            1 if len(hinted) > 2 else 0 if hinted or marked or insults else -1, int(near),
+            0 if label is None else 1 if label else -1]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
@@ -113,11 +114,11 @@ def lexicons(train: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     if not total[0] or total[0] == total[1]:
         return frozenset(), frozenset()
     base = total[0] / total[1]
-    precision = (F.col("toxic") + 4 * base) / (F.col("toxic") + F.col("clean") + 4)
+    precision = (F.col("toxic") + 2 * base) / (F.col("toxic") + F.col("clean") + 2)
     best = (train.select("text", "label").mapInArrow(run, "stem string, clean long, toxic long")
             .groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
             .where(F.col("toxic") >= LEAST_TOXIC).withColumn("precision", precision)
-            .where(F.col("precision") > min(0.5, (1 + base) / 2))
+            .where(F.col("precision") > max(0.3, base))
             .orderBy(F.desc(F.col("toxic") * (F.col("precision") - base)), "stem").limit(MAX_STEMS).collect())
     strong = frozenset(r.stem for r in best if r.precision >= 0.8)
     return strong, frozenset(r.stem for r in best) - strong
@@ -148,7 +149,8 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, label_model.LabelModel]:
     for r in seen:
         share[r["votes"][-1]] += r["count"]
     prior = (share[1] + 1) / (share[1] + share[-1] + 2)
-    model = label_model.fit(patterns, counts, prior)
+    start = np.where(patterns[:, -1] > 0, 0.95, np.where(patterns[:, -1] < 0, 0.05 * prior, prior))
+    model = label_model.fit(patterns, counts, prior, start=start)
     posterior = [(r["votes"], float(p)) for r, p in zip(seen, model.posterior(patterns))] if seen else []
     spark = train.sparkSession
     named = spark.createDataFrame(posterior, "votes array<int>, p double")

@@ -22,39 +22,45 @@ from gabble.llm.common import text_of
 from gabble.session import written
 
 SAMPLES = 32
-#: Ids of a part of the table whose documents follow each other inside one task.
-PART = 256
-#: Parts that are chained inside one task.
-PARTS = 4096
+#: Documents whose ids agree but for so many low bits follow each other inside one task.
+PART_BITS = 8
+#: Parts whose numbers agree but for so many low bits are chained inside one task.
+REGION_BITS = 12
+
+#: Samples that a row draws at a time.
+STRIDE = 4
 
 _LAST = -(1 << 63)
 
 
-def sample_keys(term: Column, log_weight: Column, samples: int = SAMPLES) -> list[Column]:
-    """The key of a weighted term under each sample; ``term`` is its 64-bit hash."""
-    keys = []
-    for k in range(samples):
-        first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-        u = [(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
-             for h, at in ((first, 0), (first, 21), (first, 42), (second, 0), (second, 21))]
-        r, log_c = -F.ln(u[0] * u[1]), F.ln(-F.ln(u[2] * u[3]))
-        step = F.floor(log_weight / r + u[4])
-        keys.append(log_c - r * (step - u[4] + 1))
-    return keys
-
-
-def signatures(terms: DataFrame, keys: list[str], term: str, weight: str, sides: int = 1, side: str | None = None,
-               samples: int = SAMPLES) -> DataFrame:
-    """Signatures ``s0, s1, …`` (arrays of ints) of weighted terms per ``keys``, one for each side."""
-    key = sample_keys(F.col("_term"), F.col("_log"), samples)
-    sides_of = [F.col(side) == i for i in range(sides)] if side else [F.lit(True)]
-    drawn = (terms.select(*keys, *([side] if side else []), F.xxhash64(term).alias("_term"), F.ln(weight).alias("_log"))
-             .select(*keys, *([side] if side else []), *[c.alias(f"_k{i}") for i, c in enumerate(key)]))
-    least = drawn.groupBy(*keys).agg(*[F.min(F.when(one, F.col(f"_k{i}"))).alias(f"_m{s}_{i}")
-                                       for s, one in enumerate(sides_of) for i in range(samples)])
-    return least.select(*keys, *[
-        F.array(*[F.shiftright(F.xxhash64(f"_m{s}_{i}"), 32).cast("int") for i in range(samples)]).alias(f"s{s}")
-        for s in range(sides)])
+def _draws(term: Column, sample: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term under a sample; ``term`` is its 64-bit hash."""
+    first, second = F.xxhash64(term, sample), F.xxhash64(term, -1 - sample)
+    u = [(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21)
+         for h, at in ((first, 0), (first, 21), (first, 42), (second, 0), (second, 21))]
+    return -F.ln(u[0] * u[1]), F.ln(-F.ln(u[2] * u[3])), u[4]
+
+
+def signatures(terms: DataFrame, keys: list[str], term: str, weights: list[str], samples: int = SAMPLES) -> DataFrame:
+    """Signatures ``s0, s1, …`` (arrays of ints) per ``keys``, one for each column of ``weights`` (0: not a term).
+
+    A row draws ``STRIDE`` samples at a time: the compiled code of all samples in one go would be too long for the
+    virtual machine to optimise.
+    """
+    hashed = terms.select(*keys, F.xxhash64(term).alias("_term"), *[F.ln(w).alias(f"_w{s}") for s, w in enumerate(weights)])
+    each = hashed.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // STRIDE) - 1))))
+    drawn = each.select("*", *[c.alias(f"_{n}{j}") for j in range(STRIDE) for n, c in zip(
+        "rcb", _draws(F.col("_term"), F.col("_turn") * STRIDE + j))])
+    key = {f"_k{s}_{j}": F.expr(f"_c{j} - _r{j} * (floor(_w{s} / _r{j} + _b{j}) - _b{j} + 1)")
+           for s in range(len(weights)) for j in range(STRIDE)}
+    least = (drawn.select(*keys, "_turn", *[c.alias(n) for n, c in key.items()])
+             .groupBy(*keys, "_turn").agg(*[F.min(n).alias(n) for n in key]))
+    short = least.select(*keys, F.struct("_turn", *[
+        F.array(*[F.shiftright(F.xxhash64(f"_k{s}_{j}"), 32).cast("int") for j in range(STRIDE)]).alias(f"s{s}")
+        for s in range(len(weights))]).alias("_part"))
+    listed = short.groupBy(*keys).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    return listed.select(*keys, *[F.slice(F.flatten(F.col(f"_parts.s{s}")), 1, samples).alias(f"s{s}")
+                                  for s in range(len(weights))])
 
 
 def likeness(left: str, right: str, samples: int = SAMPLES) -> Column:
@@ -65,8 +71,8 @@ def likeness(left: str, right: str, samples: int = SAMPLES) -> Column:
 
 def _followers(ids: DataFrame) -> DataFrame:
     """``sid, into``: the first document of each part, and the part whose last document it follows."""
-    tops = (ids.groupBy(F.floor(F.col("sid") / PART).alias("part")).agg(F.max("sid").alias("top"))
-            .withColumn("region", F.floor(F.col("part") / PARTS)))
+    tops = (ids.groupBy(F.shiftright("sid", PART_BITS).alias("part")).agg(F.max("sid").alias("top"))
+            .withColumn("region", F.shiftright("part", REGION_BITS)))
     regions = tops.groupBy("region").agg(F.max("top").alias("region_top"))
     # One row per million ids.
     every = Window.orderBy("region")
@@ -80,23 +86,24 @@ def _followers(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, part, place, visits, text, next_text``: documents in descending id order with their follower's text.
+    """``sid, part, place, visits, text, next_text``: documents in descending id order with their follower's text.
 
+    ``sid`` is the id, :data:`_LAST` for null.
     ``part`` and ``place`` number the rows. The first document of a part visits the one above it, so that each
     task has all followers; such rows are marked and only there to be followed.
     """
     sid = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
-    base = docs.select(F.col(doc_id).alias("doc_id"), sid.alias("sid"), text_of(text).alias("text"))
+    base = docs.select(sid.alias("sid"), text_of(text).alias("text"))
     # Written, so that Spark knows its size when it chooses the join.
     targets = written(_followers(docs.select(sid.alias("sid"))), "followers")
-    places = F.array(F.floor(F.col("sid") / PART), "into")
+    places = F.array(F.shiftright("sid", PART_BITS), "into")
     placed = (base.join(targets, "sid", "left")
-              .select("doc_id", "sid", "text", F.posexplode(places).alias("visit", "part"))
+              .select("sid", "text", F.posexplode(places).alias("visit", "part"))
               .where("part is not null")
-              .select("doc_id", "sid", "text", "part", (F.col("visit") == 1).alias("visits")))
+              .select("sid", "text", "part", (F.col("visit") == 1).alias("visits")))
     order = Window.partitionBy("part").orderBy("visits", F.desc("sid"), F.xxhash64("text"), "text")
-    return placed.select("doc_id", "part", "visits", F.row_number().over(order).alias("place"), "text",
-                         F.lead("text").over(order).alias("next_text"))
+    return placed.select("sid", "part", "visits",
+                         F.row_number().over(order).alias("place"), "text", F.lead("text").over(order).alias("next_text"))
 
 
 def edited(text: str, following: str) -> Column:
@@ -109,19 +116,19 @@ def edited(text: str, following: str) -> Column:
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each document and its edited text, and their likeness to it and to the next document."""
     rows = with_next(docs, doc_id, text).withColumn("next_text", F.coalesce("next_text", F.lit("")))
-    row = ["part", "place", "doc_id", "visits"]
-    facts = rows.select(*row, F.length("text").cast("long").alias("n_chars"),
+    id_of = F.nullif("sid", F.lit(_LAST)).cast(docs.schema[doc_id].dataType).alias("doc_id")
+    facts = rows.select("part", "place", "sid", "visits", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(edited("text", "next_text"), 256).alias("edited_sha256"))
-    terms = (rows.select(*row, F.posexplode(F.array("text", edited("text", "next_text"))).alias("side", "body"))
-             .select(*row, "side", F.explode(F.split("body", r"[\x20\x09-\x0D]+")).alias("term")).where("term <> ''")
-             .groupBy(*row, "side", "term").agg(F.count(F.lit(1)).alias("weight")))
-    signed = signatures(terms, row, "term", "weight", 2, "side", samples)
+    terms = (rows.select("part", "place", F.posexplode(F.array("text", edited("text", "next_text"))).alias("side", "body"))
+             .select("part", "place", "side", F.explode(F.split("body", r"[\x20\x09-\x0D]+")).alias("term")).where("term <> ''")
+             .groupBy("part", "place", "term").agg(F.sum(1 - F.col("side")).alias("own"), F.sum("side").alias("changed")))
+    signed = signatures(terms, ["part", "place"], "term", ["own", "changed"], samples)
     none = F.array(*[F.shiftright(F.xxhash64(F.lit(None).cast("double")), 32).cast("int")] * samples)
-    whole = facts.join(signed.drop("doc_id", "visits"), ["part", "place"], "left").select(
-        *row, "n_chars", "edited_sha256", F.coalesce("s0", none).alias("fingerprint"),
+    whole = facts.join(signed, ["part", "place"], "left").select(
+        "part", "place", "sid", "visits", "n_chars", "edited_sha256", F.coalesce("s0", none).alias("fingerprint"),
         F.coalesce("s1", none).alias("edited_fingerprint"))
     following = Window.partitionBy("part").orderBy("place")
     return (whole.withColumn("next", F.lead("fingerprint").over(following)).where("not visits")
-            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+            .select(id_of, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                     likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"),
                     likeness("fingerprint", "next", samples).alias("near_next")))

@@ -90,17 +90,23 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, row_key, spans``: for each text with repeated runs the (first, last) lines to delete."""
     found = written(_positions(docs, doc_id, text, min_words), "winnow")
-    place = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"), F.col("row_key")]
+    place = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place")
     # Texts are told apart by row key: many rows under one fingerprint shrink to two numbers per task.
     shared = (found.groupBy("fingerprint").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b"))
               .where("a < b").select("fingerprint"))
-    matched = found.where("not again").join(shared, "fingerprint").select("window", "doc_id", "row_key", "first", "last", *place[:1])
+    # Written, so that the join reads both sides from exchanges and Spark can split a frequent fingerprint.
+    shared = written(shared, "shared")
+    matched = (found.where("not again").join(shared, "fingerprint")
+               .select("window", "doc_id", "row_key", "first", "last", place))
+    matched = written(matched, "matched")
     sources = (matched.groupBy("window").agg(F.min("place").alias("source"), F.min("row_key").alias("a"),
                                              F.max("row_key").alias("b")).where("a < b").drop("a", "b"))
+    sources = written(sources, "sources")
     tied = matched.join(sources, "window")
     # Texts under the smallest id: its first text hash is the source.
     first = (tied.where("place = source").groupBy("window").agg(F.min("row_key").alias("source_key"),
                                                                F.first("source").alias("source")))
+    first = written(first, "first")
     later = (matched.join(first, "window")
              .where("place > source or (place = source and row_key > source_key)")
              .select("doc_id", "row_key", "first", "last"))
