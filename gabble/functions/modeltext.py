@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from gabble import catalog
 from gabble.functions import text as T
 
-_REASON_CHARS = 200
-_RAW_CHARS = 300
-
 _FIRST_BLOCK = r"(?s)\{.*?\}"
 _OUTER_BLOCK = r"(?s)\{.*\}"
 _WHOLE_OBJECT = r"(?s)\A\{.*\}\z"
@@ -90,9 +87,12 @@ def _member_text(obj: Column, name: str, absent: str = "") -> Column:
     return F.coalesce(value, F.when(is_null, F.lit("None")), F.lit(absent))
 
 
-def relevance_answer(response: Column, allowed: Iterable[str] = catalog.RELEVANCE_LABELS) -> Column:
+def relevance_answer(response: Column, allowed: Iterable[str] = catalog.RELEVANCE_LABELS, *,
+                     reason_chars: int | None = None, raw_chars: int | None = None) -> Column:
     """Validated struct ``label, confidence, reason, raw`` of a model response.
 
+    Reason and raw text are kept whole unless limits are given.
+
     Labels are trimmed and upper-cased; any label outside ``allowed`` and any unreadable response
     gives label ``ERROR`` with the cause as reason.
     """
@@ -102,18 +102,18 @@ def relevance_answer(response: Column, allowed: Iterable[str] = catalog.RELEVANC
         label = T.strip(F.upper(_member_text(obj, "label")))
         cause = F.when(
             obj.isNull(),
-            F.concat(F.lit("Could not parse JSON from: "), F.substring(stripped, 1, _REASON_CHARS)),
+            F.concat(F.lit("Could not parse JSON from: "), T.truncate(stripped, reason_chars)),
         ).otherwise(F.concat(F.lit("Bad label: '"), label, F.lit("'")))
         good = F.struct(
             label.alias("label"),
             F.lower(_member_text(obj, "confidence")).alias("confidence"),
-            F.substring(_member_text(obj, "reason"), 1, _REASON_CHARS).alias("reason"),
-            F.substring(response, 1, _RAW_CHARS).alias("raw"),
+            T.truncate(_member_text(obj, "reason"), reason_chars).alias("reason"),
+            T.truncate(response, raw_chars).alias("raw"),
         )
         bad = F.struct(
             F.lit("ERROR").alias("label"),
             F.lit("").alias("confidence"),
-            F.substring(F.concat(F.lit("parse_fail: "), cause), 1, _REASON_CHARS).alias("reason"),
+            T.truncate(F.concat(F.lit("parse_fail: "), cause), reason_chars).alias("reason"),
             F.lit("").alias("raw"),
         )
         return F.when(label.isin(*allowed), good).otherwise(bad)

@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of the widest matrix.
+MAX_LABELS = 1_000
+
 
 def count_by(df: DataFrame, *keys: str, by_key: bool = False) -> DataFrame:
     """Rows per key, largest first or in key order."""
@@ -34,10 +37,36 @@ def label_counts_by(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame
     )
 
 
-def label_matrix(df: DataFrame, key: str, label: str, labels: Sequence[str]) -> DataFrame:
-    """Wide form: one row per key, one count column per label, 0 for absent pairs."""
+def found_labels(df: DataFrame, label: str) -> list[str]:
+    """All labels of a column in order, at most :data:`MAX_LABELS`."""
+    rows = df.filter(F.col(label).isNotNull()).select(label).distinct().limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"{label} has over {MAX_LABELS} values; it is no label")
+    return sorted(r[0] for r in rows)
+
+
+def labelled(df: DataFrame, label: str, labels: Sequence[str], others: str = "fail") -> DataFrame:
+    """Rows with a label. One that is not in ``labels`` stops the job, or with ``others="drop"`` goes."""
+    inside = F.col(label).isin(*labels)
+    if others == "fail":
+        inside = F.when(inside, F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{label} outside the given list: "), F.col(label))).cast("boolean"))
+    elif others != "drop":
+        raise ValueError(f"others must be fail or drop, not {others!r}")
+    return df.filter(F.col(label).isNotNull()).filter(inside)
+
+
+def label_matrix(df: DataFrame, key: str, label: str, labels: Sequence[str] | None = None,
+                 others: str = "fail") -> DataFrame:
+    """Wide form: one row per key, one count column per label, 0 for absent pairs.
+
+    Without ``labels`` every label of the data gets a column.
+    """
+    labels = found_labels(df, label) if labels is None else list(labels)
+    if not labels:
+        return df.filter(F.lit(False)).select(key)
     return (
-        df.filter(F.col(label).isNotNull())
+        labelled(df, label, labels, others)
         .groupBy(key)
         .agg(*[F.count_if(F.col(label) == name).alias(name) for name in labels])
     )
@@ -114,11 +143,12 @@ def overview(entities: DataFrame, threads: DataFrame, comments: DataFrame) -> Da
     )
 
 
-def tier_report(threads: DataFrame, comments: DataFrame) -> DataFrame:
-    """Per person: comments kept from tier 1 and tier 2 threads, and threads with none kept."""
+def tier_report(entities: DataFrame, threads: DataFrame, comments: DataFrame) -> DataFrame:
+    """Per person of ``entities``: comments kept from tier 1 and tier 2 threads, and threads with
+    none kept."""
     per_thread = comments.groupBy("persoon", "thread_id").agg(F.count("*").alias("n"))
     kept = F.coalesce(F.col("n"), F.lit(0))
-    return (
+    per_person = (
         threads.select("persoon", "thread_id", "tier").distinct()
         .join(per_thread, ["persoon", "thread_id"], "left")
         .groupBy("persoon")
@@ -126,14 +156,22 @@ def tier_report(threads: DataFrame, comments: DataFrame) -> DataFrame:
              F.sum(F.when(F.col("tier") == 2, kept).otherwise(0)).alias("tier2_comments"),
              F.count_if(F.col("n").isNull()).alias("threads_empty"))
     )
+    return _every_person(entities, per_person)
 
 
-def tier_sizes(threads: DataFrame) -> DataFrame:
-    """Distinct threads per person: tier 1, tier 2 and all."""
-    return (
+def _every_person(entities: DataFrame, counts: DataFrame) -> DataFrame:
+    """The counts of all persons, 0 where there are none."""
+    return entities.select("persoon").join(counts, "persoon", "left").na.fill(
+        0, [c for c in counts.columns if c != "persoon"])
+
+
+def tier_sizes(entities: DataFrame, threads: DataFrame) -> DataFrame:
+    """Distinct threads per person of ``entities``: tier 1, tier 2 and all."""
+    sizes = (
         threads.select("persoon", "tier", "thread_id").distinct()
         .groupBy("persoon")
         .agg(F.count_if(F.col("tier") == 1).alias("tier1_threads"),
              F.count_if(F.col("tier") == 2).alias("tier2_threads"),
              F.count("*").alias("all_threads"))
     )
+    return _every_person(entities, sizes)

@@ -50,29 +50,48 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Dedupe, keeping the row with the highest order value per key."""
-    return top_per_group(df, keys, [F.col(order).desc()], 1)
+    """Dedupe, keeping the row with the highest order value per key; ties by the other columns."""
+    return top_per_group(df, keys, [F.col(order).desc(), *_ties(df, [*keys, order])], 1)
+
+
+def _ties(df: DataFrame, used: Sequence[str]) -> list[Column]:
+    """The other columns that have an order, to make the order of rows total."""
+    ordered = [f.name for f in df.schema if f.name not in used
+               and not any(kind in f.dataType.simpleString() for kind in ("map<", "variant", "interval"))]
+    return [F.col(f"`{name}`") for name in ordered]
 
 
 def unify_threads(found: DataFrame) -> DataFrame:
     """One row per person and thread from several searches; the latest search wins.
 
+    Of a thread that one search lists twice, the later ``position`` wins if there is such a column,
+    then the order of the other columns decides, so the winner does not depend on the partitioning.
     Threads without an id are skipped.
     """
+    used = ["persoon", "thread_id", "query_index"]
+    order = [F.col("query_index").desc()]
+    if "position" in found.columns:
+        used, order = [*used, "position"], [*order, F.col("position").desc()]
     return top_per_group(
         found.filter(F.col("thread_id").isNotNull() & (F.col("thread_id") != "")),
-        ["persoon", "thread_id"], [F.col("query_index").desc()], 1)
+        ["persoon", "thread_id"], [*order, *_ties(found, used)], 1)
 
 
 def dedupe_by_priority(comments: DataFrame) -> DataFrame:
     """One row per person and comment: tier 1 first, then the higher thread score."""
     return top_per_group(
         comments, ["persoon", "comment_id"],
-        [F.col("tier"), F.col("thread_score").desc(), F.col("thread_id")], 1)
+        [F.col("tier"), F.col("thread_score").desc(), F.col("thread_id"),
+         *_ties(comments, ["persoon", "comment_id", "tier", "thread_score", "thread_id"])], 1)
 
 
-def thread_budget(threads: DataFrame, limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
-    """Per person the best ``limit`` threads by score; tier 1 fills the budget before tier 2."""
+def thread_budget(threads: DataFrame, limit: int | None = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
+    """Per person the best ``limit`` threads by score; tier 1 fills the budget before tier 2.
+
+    ``None`` keeps all threads.
+    """
+    if limit is None:
+        return threads
     order = [F.col("tier"), F.col("score").desc(), F.col("thread_id")]
     return top_per_group(threads, ["persoon"], order, limit, few_groups=True)
 

@@ -1,7 +1,8 @@
 """The given tables seen as threads, comments, persons and earlier results.
 
 Every view exists twice: as a DataFrame here and as SQL text for the check engine. The views add
-rows and columns; none of them leaves out or shortens a row of its table.
+rows and columns; none of them leaves out a row of its table, and each carries the whole text (as
+comment or as title; a comment's thread title is a column more, made of its first line).
 
 ``documents`` are long comments, ``events`` are short notes carrying the edge cases of cleaning
 (deleted markers, footers, bots, missing text, control characters, floods of copies),
@@ -149,7 +150,7 @@ def found_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches (the second one lists it with another score)."""
     return table(spark, sf_dir, "documents").selectExpr(
         "concat('p', n_chars % 6) AS persoon", "concat('t', doc_id) AS thread_id",
-        "split_part(text, '\n', 1) AS title", "source AS subreddit",
+        "text AS title", "source AS subreddit",
         "inline(array(struct(0 AS query_index, doc_id % 97 AS score),"
         "struct(1 AS query_index, doc_id % 89 AS score)))",
     )
@@ -249,7 +250,7 @@ SQL_VIEWS = {
         'c' || conv_id || '_' || turn AS comment_id, role AS author, text AS comment
         FROM conversations WHERE turn > 0"""),
     "found_threads": ((), """SELECT 'p' || (n_chars % 6) AS persoon, 't' || doc_id AS thread_id,
-        split_part(text, chr(10), 1) AS title, source AS subreddit, query_index,
+        text AS title, source AS subreddit, query_index,
         CASE query_index WHEN 0 THEN doc_id % 97 ELSE doc_id % 89 END AS score
         FROM documents, (VALUES (0), (1)) AS q(query_index)"""),
     "responses": ((), """SELECT doc_id, quality, toxic, doc_id % 8 AS shape FROM labels"""),

@@ -12,10 +12,6 @@ from gabble.catalog import Entity, entity_frame
 from gabble.functions import text as T
 from gabble.operators import clean, match, report, score, select
 
-_JOIN_PARTS = 16
-_BROADCAST_ROWS = 20_000
-
-
 def search_threads(threads: DataFrame, comments: DataFrame, entities: Sequence[Entity]) -> DataFrame:
     """Threads found per person: a search phrase occurs in the title or in any comment.
 
@@ -30,8 +26,8 @@ def search_threads(threads: DataFrame, comments: DataFrame, entities: Sequence[E
 
 
 def choose_threads(found: DataFrame, people: DataFrame,
-                   limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
-    """The threads to read per person: at most ``limit``, those about the person first.
+                   limit: int | None = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
+    """The threads to read per person: at most ``limit`` (``None``: all), those about the person first.
 
     ``found`` has one row per person and thread.
     """
@@ -43,31 +39,20 @@ def choose_threads(found: DataFrame, people: DataFrame,
     )
 
 
-def join_threads(comments: DataFrame, threads: DataFrame, max_threads: int | None = None
-                 ) -> DataFrame:
+def join_threads(comments: DataFrame, threads: DataFrame) -> DataFrame:
     """Comments with the columns of their thread (and its person and tier).
 
-    With a known small bound on the thread rows they are broadcast. Otherwise both sides meet in
-    parts: comments of one thread are spread by id and the thread rows are repeated per part, so one
-    huge thread occupies many tasks.
+    Spark broadcasts the threads if their measured bytes allow it; else a huge thread's partition
+    is split at run time.
     """
-    if max_threads is not None and max_threads <= _BROADCAST_ROWS:
-        return comments.join(F.broadcast(threads), "thread_id")
-    part = F.pmod(F.xxhash64("comment_id"), F.lit(_JOIN_PARTS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(_JOIN_PARTS - 1)))
-    return (
-        comments.withColumn("_part", part)
-        .join(threads.withColumn("_part", every), ["thread_id", "_part"])
-        .drop("_part")
-    )
+    return comments.join(threads, "thread_id")
 
 
-def gather_comments(comments: DataFrame, chosen: DataFrame, people: DataFrame,
-                    max_threads: int | None = None) -> DataFrame:
+def gather_comments(comments: DataFrame, chosen: DataFrame, people: DataFrame) -> DataFrame:
     """Live comments of the chosen threads, filtered by tier, once per person, with the gender."""
     live = comments.filter(T.is_live_body(F.col("comment")))
     return (
-        join_threads(live, chosen, max_threads)
+        join_threads(live, chosen)
         .transform(match.filter_tier, people)
         .transform(select.dedupe_by_priority)
         .transform(match.attach_entity, people, ["gender"])
@@ -75,11 +60,11 @@ def gather_comments(comments: DataFrame, chosen: DataFrame, people: DataFrame,
 
 
 def collect_comments(listing: DataFrame, comments: DataFrame, entities: Sequence[Entity],
-                     limit: int = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
+                     limit: int | None = catalog.MAX_THREADS_PER_PERSON) -> DataFrame:
     """The comment table of all persons from landed search results and comment trees."""
     people = entity_frame(listing.sparkSession, entities)
     chosen = choose_threads(select.unify_threads(listing), people, limit)
-    return gather_comments(comments, chosen, people, limit * len(entities))
+    return gather_comments(comments, chosen, people)
 
 
 def negative_report(raw: DataFrame, entities: DataFrame, negative: Sequence[str]) -> DataFrame:

@@ -14,7 +14,6 @@ from gabble.sources import landed, schemas, sinks
 from gabble.streaming import incremental
 
 _PAGE = 100
-_BUDGET = 20
 _FIELDS = ", ".join(schemas.COMMENT_FIELDS)
 
 
@@ -27,9 +26,13 @@ def _land_json(df, spark, name):
 
 @query(sql(f"SELECT {_FIELDS} FROM comments", "comments"))
 def src_comments_csv(spark, d):
+    """Files with two orders of their columns in one folder."""
     path = scratch_dir(spark, "comments-csv")
-    sinks.write_comments(B.comments(spark, d), path, "csv")
-    return landed.read_comments(spark, path, "csv")
+    half = F.pmod(F.xxhash64("comment_id"), F.lit(2)) == 0
+    rows = B.comments(spark, d).select(*schemas.COMMENT_FIELDS)
+    sinks.write_csv(rows.where(half), f"{path}/a")
+    sinks.write_csv(rows.where(~half).select(*reversed(schemas.COMMENT_FIELDS)), f"{path}/b")
+    return landed.read_comments(spark, f"{path}/*", "csv")
 
 
 @query(sql("""SELECT persoon, query_index,
@@ -66,7 +69,7 @@ def src_thread_listing_flat(spark, d):
 def src_comments_flat(spark, d):
     listed = B.raw(spark, d).selectExpr(
         f"floor(ingest_order / {_PAGE}) AS number",
-        "named_struct('body', comment, 'author', author, 'score', score, 'created_utc', timestamp, "
+        "named_struct('body', comment, 'author', author, 'score', score, 'created_utc', cast(timestamp AS double), "
         "'id', comment_id, 'link_id', concat('t3_', thread_id)) AS item")
     pages = listed.groupBy("number").agg(
         F.to_json(F.struct(F.collect_list("item").alias("data"))).alias("page"))
@@ -74,10 +77,10 @@ def src_comments_flat(spark, d):
 
 
 def _tree_documents(spark, d):
-    """Conversations as thread documents: each turn replies to the one before through a deleted
-    comment, next to a ``more`` node. At most 50 turns share a document."""
+    """Conversations as thread documents, one each: every turn replies to the one before through a
+    deleted comment, next to a ``more`` node."""
     turns = B.table(spark, d, "conversations").selectExpr(
-        "conv_id", "turn", "floor(turn / 50) AS block",
+        "conv_id", "turn",
         "to_json(named_struct('id', concat(conv_id, '_', turn), 'body', text, 'author', role, "
         "'permalink', concat('/c', conv_id, '/', turn), 'ups', turn, 'score', length(text), "
         "'created_utc', 1700000000 + turn)) AS fields")
@@ -87,7 +90,7 @@ def _tree_documents(spark, d):
       '{"children":[{"kind":"t1","data":', left(t.fields, length(t.fields) - 1), ',"replies":',
       below, '}}]}}}}]}}'))"""
     return (
-        turns.groupBy("conv_id", "block")
+        turns.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "fields"))).alias("turns"))
         .selectExpr(f"""concat('[{{"data":{{"children":[{{"data":{{"id":"c', conv_id, '"}}}}]}}}},',
             {chain}, ']') AS page""")
@@ -98,7 +101,8 @@ def _tree_documents(spark, d):
   'https://www.reddit.com/c' || conv_id || '/' || turn AS url, role AS author, text AS comment,
   '2023-11-14' AS date, 1700000000 + turn AS timestamp, length(text) AS score, turn AS upvotes,
   CAST(0 AS BIGINT) AS downvotes, CAST(0 AS BIGINT) AS golds,
-  CAST(2 * (turn % 50) + 2 AS INTEGER) AS depth FROM conversations""")
+  CAST(2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS depth
+  FROM conversations""")
 def src_comment_tree(spark, d):
     return landed.read_comment_trees(spark, _land_json(_tree_documents(spark, d), spark, "trees"))
 
@@ -110,8 +114,7 @@ def src_comment_tree(spark, d):
   tiered AS (SELECT listed.*, gender, strict_variants,
       CASE WHEN {hit_folded('title', 'title_variants')} THEN 1 ELSE 2 END AS tier
     FROM listed JOIN people USING (persoon)),
-  chosen AS (SELECT * FROM tiered QUALIFY row_number() OVER (
-    PARTITION BY persoon ORDER BY tier, score DESC, thread_id) <= {_BUDGET})
+  chosen AS (SELECT * FROM tiered)
   SELECT 'https://www.reddit.com/c' || conv_id || '/' || turn AS url, role AS author,
     '2023-11-14' AS date, 1700000000 + turn AS timestamp, length(text) AS score, turn AS upvotes,
     CAST(0 AS BIGINT) AS downvotes, CAST(0 AS BIGINT) AS golds, text AS comment,
@@ -135,7 +138,7 @@ def collected_landed(spark, d):
             F.collect_list("child").alias("children")).alias("data"))).alias("page"))
     listing = landed.read_thread_listing(spark, _land_json(pages, spark, "search"))
     trees = landed.read_comment_trees(spark, _land_json(_tree_documents(spark, d), spark, "trees"))
-    return flows.collect_comments(listing, trees, B.PEOPLE, _BUDGET).select(
+    return flows.collect_comments(listing, trees, B.PEOPLE, None).select(
         *schemas.COMMENT_FIELDS)
 
 
@@ -156,11 +159,11 @@ def snk_roundtrip(spark, d):
     return landed.read_comments(spark, path)
 
 
-@query(sql("SELECT comment_id, persoon, comment FROM raw", "raw"))
+@query(sql(f"SELECT {_FIELDS} FROM raw", "raw"))
 def snk_partitioned(spark, d):
     path = scratch_dir(spark, "persons")
-    sinks.write_per_person(B.raw(spark, d), path)
-    return spark.read.parquet(path).select("comment_id", "persoon", "comment")
+    sinks.write_per_person(B.raw(spark, d).select(*schemas.COMMENT_FIELDS), path)
+    return sinks.read_per_person(spark, path)
 
 
 _SENTIMENT_SQL = f"CASE WHEN {has_word_sql(B.NEGATIVE)} THEN 'negative' ELSE 'neutral' END"

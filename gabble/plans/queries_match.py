@@ -27,8 +27,7 @@ _HITS = f"""asked AS (SELECT persoon, unnest(search_queries) AS phrase FROM peop
       CASE WHEN {hit_folded('title', 'title_variants')} THEN 1 ELSE 2 END AS tier
     FROM found JOIN threads USING (thread_id) JOIN people USING (persoon))"""
 _COLLECTED = f"""{_HITS},
-  chosen AS (SELECT * FROM tiered QUALIFY row_number() OVER (
-    PARTITION BY persoon ORDER BY tier, score DESC, thread_id) <= {_BUDGET}),
+  chosen AS (SELECT * FROM tiered),
   collected AS (SELECT persoon, comment_id, author, comment, thread_id, url AS thread_url,
       title AS thread_title, subreddit, tier, score AS thread_score, gender
     FROM thread_comments JOIN chosen USING (thread_id) JOIN people USING (persoon)
@@ -43,12 +42,11 @@ def _found(spark, d):
 
 
 def _chosen(spark, d):
-    return flows.choose_threads(_found(spark, d), entity_frame(spark, B.PEOPLE), _BUDGET)
+    return flows.choose_threads(_found(spark, d), entity_frame(spark, B.PEOPLE), None)
 
 
 def _gathered(spark, d, chosen):
-    return flows.gather_comments(B.thread_comments(spark, d), chosen,
-                                 entity_frame(spark, B.PEOPLE), _BUDGET * len(B.PEOPLE))
+    return flows.gather_comments(B.thread_comments(spark, d), chosen, entity_frame(spark, B.PEOPLE))
 
 
 def _found_tiered(spark, d):
@@ -245,18 +243,20 @@ def agg_overview(spark, d):
     SELECT persoon, thread_id, count(*) AS n FROM collected GROUP BY ALL)
   SELECT persoon, CAST(coalesce(sum(n) FILTER (WHERE tier = 1), 0) AS BIGINT) AS tier1_comments,
     CAST(coalesce(sum(n) FILTER (WHERE tier = 2), 0) AS BIGINT) AS tier2_comments,
-    count(*) FILTER (WHERE n IS NULL) AS threads_empty
-  FROM chosen LEFT JOIN per_thread USING (persoon, thread_id) GROUP BY persoon""",
+    count(*) FILTER (WHERE n IS NULL AND thread_id IS NOT NULL) AS threads_empty
+  FROM (SELECT persoon FROM people) LEFT JOIN chosen USING (persoon)
+  LEFT JOIN per_thread USING (persoon, thread_id) GROUP BY persoon""",
            "people", "threads", "thread_comments"))
 def agg_tier_report(spark, d):
     chosen = written(_chosen(spark, d), "chosen")
-    return report.tier_report(chosen, _gathered(spark, d, chosen))
+    return report.tier_report(entity_frame(spark, B.PEOPLE), chosen, _gathered(spark, d, chosen))
 
 
 @query(sql(f"""WITH {_FOUND_TIERED} SELECT persoon,
   count(DISTINCT thread_id) FILTER (WHERE tier = 1) AS tier1_threads,
   count(DISTINCT thread_id) FILTER (WHERE tier = 2) AS tier2_threads,
-  count(DISTINCT thread_id) AS all_threads FROM tiered GROUP BY persoon""",
+  count(DISTINCT thread_id) AS all_threads
+  FROM (SELECT persoon FROM people) LEFT JOIN tiered USING (persoon) GROUP BY persoon""",
            "found_threads", "people"))
 def agg_tier_sizes(spark, d):
-    return report.tier_sizes(_found_tiered(spark, d))
+    return report.tier_sizes(entity_frame(spark, B.PEOPLE), _found_tiered(spark, d))

@@ -6,32 +6,59 @@ pretty-printed files, one task per file.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gabble.functions import text as T
-from gabble.sources import schemas
+from gabble.sources import schemas, trees
 
 _TEXT_FIELDS = ("author", "comment", "thread_title")
-_NODES = "array<variant>"
+_FILES = 1 << 20
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, text_fields=()) -> DataFrame:
     """CSV with a header and quoted multi-line text.
 
-    CSV cannot tell an empty from a missing text, so the given text columns are filled. Quoted line
-    ends keep one file in one task: land many files, or use parquet.
+    Columns are found by the names in the header, whatever their order; other columns are ignored,
+    a missing one is an error. A value that is no number where the schema has one, or a row that is
+    no CSV, stops the job. CSV cannot tell an empty from a missing text, so the given text columns
+    are filled. Quoted line ends keep one file in one task: land many files, or use parquet.
     """
-    table = (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("escape", '"')
-        .csv(path)
-    )
+    wanted = StructType.fromDDL(schema)
+
+    def rows(folder):
+        return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                .option("mode", "FAILFAST").csv(folder))
+
+    # Files may differ in the order of their columns: those with equal headers are read together.
+    tables = []
+    for header, files in sorted(_headers(spark, path).items()):
+        missing = [f.name for f in wanted if f.name not in header]
+        if missing:
+            raise ValueError(f"{files[0]} lacks the columns {', '.join(missing)}")
+        tables.append(rows(files).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in wanted]))
+    table = reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], wanted)
     return table.withColumns({c: T.filled(F.col(c)) for c in text_fields})
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below a path by their header. Reads one line a file."""
+    first = (spark.read.text(path)
+             .where("_metadata.file_block_start = 0")
+             .select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+             .groupBy("file").agg(F.min_by("value", "line").alias("header")))
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for file, header in first.collect():  # one row a file
+        names = tuple(next(csv.reader([header.removeprefix("\ufeff")])))
+        headers.setdefault(names, []).append(file)
+    return headers
+
+
 def read_comments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The fifteen-column comment table."""
     if fmt == "csv":
@@ -40,12 +67,32 @@ def read_comments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def with_order(scanned: DataFrame, name: str = "ingest_order") -> DataFrame:
-    """Number freshly scanned rows: unique, and rising with the position inside each file split.
+    """Number freshly scanned rows in file order: by file name, then by position in the file.
 
-    Apply it right on a scan and store the result; above a shuffle or after a change of the split
-    settings the numbers would be others.
+    For parquet the numbers depend on the files alone, not on how they are split or packed into
+    tasks; ``name`` rises by one inside a file and leaves a gap to the next. Other formats know no
+    position: there the numbers rise with the scan, so store the result before working on.
     """
-    return scanned.withColumn(name, F.monotonically_increasing_id())
+    try:
+        scanned.select("_metadata.row_index")
+    except AnalysisException:
+        return scanned.withColumn(name, F.monotonically_increasing_id())
+    place = scanned.select("*", F.col("_metadata.file_path").alias("_file"),
+                           F.col("_metadata.row_index").alias("_row"))
+    files = sorted(scanned.inputFiles())
+    if len(files) > _FILES:
+        raise ValueError(f"{len(files)} files; number at most {_FILES} at a time")
+    return place.withColumn("_name", F.element_at(F.split("_file", "/"), -1)).join(
+        F.broadcast(_file_numbers(scanned.sparkSession, files)), "_name").withColumn(
+        name, F.col("_number") * F.lit(1 << 40) + F.col("_row")).drop("_file", "_row", "_name", "_number")
+
+
+def _file_numbers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Two numbers a file, at most :data:`_FILES` rows."""
+    names = [f.rsplit("/", 1)[-1] for f in files]
+    if len(set(names)) < len(names):
+        raise ValueError("files of equal names in different folders have no order")
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, _number bigint")
 
 
 def read_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -100,88 +147,39 @@ def read_comments_flat(spark: SparkSession, path: str, multi_line: bool = False)
             T.default(F.col("c.author"), "[deleted]").alias("author"),
             F.col("c.body").alias("comment"),
             T.default(F.col("c.score"), 0).alias("score"),
-            T.default(F.col("c.created_utc"), 0).alias("timestamp"),
+            T.epoch_seconds(F.col("c.created_utc")).alias("timestamp"),
             T.default(F.col("c.id"), "").alias("comment_id"),
             F.regexp_replace("c.link_id", r"\At3_", "").alias("thread_id"),
         )
     )
 
 
-def read_comment_trees(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+def read_comment_trees(spark: SparkSession, path: str, whole_files: bool = False,
+                       unreadable: str = "fail") -> DataFrame:
     """Thread documents (post listing, comment listing): one row per live comment at any depth."""
     raw = spark.read.text(path, wholetext=whole_files)
-    return flatten_trees(raw, "value")
+    return flatten_trees(raw, "value", unreadable)
 
 
-def flatten_trees(raw: DataFrame, payload: str) -> DataFrame:
+def flatten_trees(raw: DataFrame, payload: str, unreadable: str = "fail") -> DataFrame:
     """Live comments of all trees with ``thread_id`` and ``depth``.
 
     Nodes of another kind than comments are skipped with everything below them. A deleted comment
-    is skipped but its replies are kept.
+    is skipped but its replies are kept. A document that is no JSON stops the job; with
+    ``unreadable="skip"`` it is left out, and ``trees.unreadable_documents`` lists it.
     """
-    document = raw.select(
-        F.try_parse_json(F.col(payload)).alias("doc"),
-        # A document cannot be deeper than its number of reply objects; quotes inside texts are
-        # escaped, so only real members are counted.
-        F.regexp_count(F.col(payload), F.lit(r'"replies"\s*:\s*\{')).alias("levels"))
-    node = document.select(
-        F.try_variant_get("doc", "$[0].data.children[0].data.id", "string").alias("thread_id"),
-        F.explode(_all_nodes(F.col("doc"), F.col("levels"))).alias("c"))
-    return node.filter(T.is_live_body(F.col("c.body"))).select(
+    node = trees.all_nodes(raw, payload, unreadable)
+    return node.filter(T.is_live_body(F.col("body"))).select(
         "thread_id",
-        T.absolute_url(F.col("c.permalink")).alias("url"),
-        T.default(F.col("c.author"), "").alias("author"),
-        T.utc_date(F.col("c.created_utc")).alias("date"),
-        T.epoch_seconds(F.col("c.created_utc")).alias("timestamp"),
-        T.default(F.col("c.score"), 0).alias("score"),
-        T.default(F.col("c.ups"), 0).alias("upvotes"),
-        T.default(F.col("c.downs"), 0).alias("downvotes"),
-        T.default(F.col("c.gilded"), 0).alias("golds"),
-        F.col("c.body").alias("comment"),
-        T.default(F.col("c.id"), "").alias("comment_id"),
-        F.col("c.depth").alias("depth"),
+        T.absolute_url(F.col("permalink")).alias("url"),
+        T.default(F.col("author"), "").alias("author"),
+        T.utc_date(F.col("created_utc")).alias("date"),
+        T.epoch_seconds(F.col("created_utc")).alias("timestamp"),
+        T.default(F.col("score"), 0).alias("score"),
+        T.default(F.col("ups"), 0).alias("upvotes"),
+        T.default(F.col("downs"), 0).alias("downvotes"),
+        T.default(F.col("gilded"), 0).alias("golds"),
+        F.col("body").alias("comment"),
+        T.default(F.col("id"), "").alias("comment_id"),
+        "depth",
     )
-
-
-def _all_nodes(doc: Column, levels: Column) -> Column:
-    """Array of all comment nodes, gathered level by level inside one expression.
-
-    One parse and one scan, no shuffle and no depth limit: the fold runs as often as the document
-    is deep, and a level without replies ends it.
-    """
-    top = F.try_variant_get(doc, "$[1].data.children", _NODES)
-    none = F.array().cast(_NODES)
-
-    def member(node: Column, name: str, kind: str) -> Column:
-        return F.try_variant_get(node, f"$.data.{name}", kind).alias(name)
-
-    def flat(node: Column, depth: Column) -> Column:
-        return F.struct(
-            *[member(node, n, "string") for n in ("id", "body", "author", "permalink")],
-            *[member(node, n, "bigint") for n in ("created_utc", "score", "ups", "downs", "gilded")],
-            depth.alias("depth"))
-
-    def comments(level: Column) -> Column:
-        return F.filter(level, lambda n: F.try_variant_get(n, "$.kind", "string") == "t1")
-
-    def below(level: Column) -> Column:
-        return F.flatten(F.transform(level, lambda n: F.coalesce(
-            F.try_variant_get(n, "$.data.replies.data.children", _NODES), none)))
-
-    def step(state: Column, depth: Column) -> Column:
-        level = state["level"]
-        advanced = F.struct(
-            F.concat(state["nodes"], F.transform(level, lambda n: flat(n, depth))).alias("nodes"),
-            comments(below(level)).alias("level"))
-        return F.when(F.size(level) == 0, state).otherwise(advanced)
-
-    start = comments(F.coalesce(top, none))
-    nodes = F.array().cast(
-        "array<struct<id: string, body: string, author: string, permalink: string, "
-        "created_utc: bigint, score: bigint, ups: bigint, downs: bigint, gilded: bigint, "
-        "depth: int>>")
-    return F.reduce(
-        F.sequence(F.lit(1), levels + 1),
-        F.struct(nodes.alias("nodes"), start.alias("level")),
-        step,
-        lambda state: state["nodes"])

@@ -28,7 +28,7 @@ FLAT_LISTING_PAGE = (
 )
 
 FLAT_COMMENT_PAGE = (
-    "data array<struct<body: string, author: string, score: bigint, created_utc: bigint, "
+    "data array<struct<body: string, author: string, score: bigint, created_utc: double, "
     "id: string, link_id: string>>"
 )
 

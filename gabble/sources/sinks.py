@@ -31,8 +31,21 @@ def write_comments(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_per_person(df: DataFrame, path: str) -> None:
     """One folder per person below one table for all; no shuffle, so a dominant person is spread
-    over all tasks."""
-    df.write.mode("overwrite").partitionBy("persoon").parquet(path)
+    over all tasks. The files keep the person as an ordinary column; the folder is only for
+    finding it."""
+    df.withColumn("_person", F.col("persoon")).write.mode("overwrite").partitionBy("_person").parquet(path)
+
+
+def read_per_person(spark: SparkSession, path: str, schema: str = schemas.COMMENTS, persons: Sequence[str] | None = None
+                    ) -> DataFrame:
+    """The table of :func:`write_per_person`, or the folders of some persons, every column as written."""
+    found = spark.read.schema(f"{schema}, _person string").parquet(path)
+    if persons is not None:
+        folder = F.col("_person").isin(*persons)
+        if "" in persons:  # the empty name has no folder of its own
+            folder = folder | F.col("_person").isNull()
+        found = found.where(folder & F.col("persoon").isin(*persons))
+    return found.drop("_person")
 
 
 def write_split(tagged: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from gabble.functions import rules
 from gabble.operators import clean, report, resume, score
 from gabble.plans import flows
 from gabble.session import scratch_dir
-from gabble.sources import landed, schemas, sinks
+from gabble.sources import landed, schemas, sinks, trees
 from gabble.streaming import incremental
 from tests.helpers import plan, values
 
@@ -42,6 +43,42 @@ def test_order_follows_the_file(spark, folder):
     assert numbered.select("ingest_order").distinct().count() == 60
 
 
+def test_parquet_order_is_that_of_the_files(spark, folder):
+    for part in range(3):
+        spark.range(part * 1000, part * 1000 + 1000, 1, 1).write.mode("append").parquet(f"{folder}/{part}")
+    paths = [f"{folder}/{part}" for part in range(3)]
+    results = []
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        results.append({(r.id, r.ingest_order) for r in landed.with_order(spark.read.parquet(*paths)).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert results[0] == results[1] and len({o for _, o in results[0]}) == 3000
+    first = sorted((o, i) for i, o in results[0])[:1000]
+    assert [i for _, i in first] == list(range(first[0][1], first[0][1] + 1000))
+
+
+def test_csv_goes_by_the_header(spark, folder):
+    for name, lines in (("a", ["author,comment,extra", 'ann,"hi, ""there""\nx",1']), ("b", ["comment,author", "yes,bob"])):
+        with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as out:
+            out.write("\n".join(lines) + "\n")
+    got = landed.read_csv(spark, folder, "author string, comment string")
+    assert sorted(map(tuple, got.collect())) == [("ann", 'hi, "there"\nx'), ("bob", "yes")]
+    with pytest.raises(ValueError, match="lacks the columns score"):
+        landed.read_csv(spark, folder, "author string, score bigint")
+    with open(f"{folder}/b.csv", "w", encoding="utf-8") as out:
+        out.write("author,n\nann,many\n")
+    with pytest.raises(Exception, match="many"):
+        landed.read_csv(spark, f"{folder}/b.csv", "author string, n bigint").collect()
+
+
+def test_flat_comments_with_float_times(spark, folder):
+    path = write_lines(folder, "flat", [{"data": [
+        {"body": "x", "created_utc": 1700000000.0, "id": "1"}, {"body": "y", "created_utc": 1700000001, "id": "2"}]}])
+    got = landed.read_comments_flat(spark, path)
+    assert sorted(values(got, "timestamp")) == [1700000000, 1700000001]
+    assert dict(got.dtypes)["timestamp"] == "bigint"
+
+
 def test_parquet_keeps_missing_apart_from_empty(spark, folder):
     df = spark.createDataFrame([comment(comment=None), comment(comment="")], schemas.COMMENTS)
     sinks.write_comments(df, folder + "/pq")
@@ -136,6 +173,39 @@ def test_tree_fields_and_defaults(spark, folder):
         "https://www.reddit.com", "", "1970-01-01", 0, 0)
 
 
+def chain(length):
+    """A document with one chain of replies, written without recursion."""
+    head = '{"kind":"Listing","data":{"children":[{"kind":"t1","data":{"id":"%d","body":"b","replies":'
+    return ('[{"data":{"children":[{"data":{"id":"t"}}]}},' + "".join(head % i for i in range(length))
+            + '""' + "}}]}}" * length + "]")
+
+
+def test_deep_wide_and_large_trees_come_out_whole(spark):
+    import time
+
+    wide = document("w", *[node(f"w{i}", "x" * 50, listing(node(f"r{i}", "y"))) for i in range(20_000)])
+    texts = [chain(1_000), chain(9_000), json.dumps(wide)]
+    start = time.time()
+    rows = landed.flatten_trees(spark.createDataFrame([(t,) for t in texts], "page string").repartition(3), "page").collect()
+    assert time.time() - start < 60
+    assert Counter(r.thread_id for r in rows) == {"t": 10_000, "w": 40_000}
+    assert max(r.depth for r in rows) == 9_000
+
+
+def test_unreadable_trees_are_never_lost(spark):
+    bad = ['[{"data": ', "[1,]", "{} {}", '{"a" 1}', '["\\x"]', "", "[1 2]", "nul"]
+    raw = spark.createDataFrame([(t,) for t in [chain(2), *bad, None]], "page string")
+    with pytest.raises(Exception, match="UnreadableDocument"):
+        landed.flatten_trees(raw, "page").collect()
+    assert landed.flatten_trees(raw, "page", unreadable="skip").count() == 2
+    assert sorted(values(trees.unreadable_documents(raw, "page"), "document")) == sorted(bad)
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, null, "\\u00e9\\n"], "a": {"b": {}}, "c": []}', "[]", ' "x" ', "12"])
+def test_parser_agrees_with_the_library(text):
+    assert trees.parse(text) == json.loads(text)
+
+
 def test_one_document_per_file(spark, folder):
     with open(f"{folder}/thread.json", "w", encoding="utf-8") as out:
         json.dump(document("t1", node("a", "x", listing(node("b", "y")))), out, indent=1)
@@ -156,8 +226,19 @@ def test_split_sink(spark, folder):
 def test_person_folders_prune(spark, folder):
     df = spark.createDataFrame([("1", "sven"), ("2", "jutta")], "comment_id string, persoon string")
     sinks.write_per_person(df, folder + "/people")
-    one = spark.read.parquet(folder + "/people").filter("persoon = 'sven'")
-    assert values(one, "comment_id") == ["1"] and "PartitionFilters: [isnotnull(persoon" in plan(one)
+    one = sinks.read_per_person(spark, folder + "/people", df.schema.toDDL(), ["sven"])
+    assert values(one, "comment_id") == ["1"] and "PartitionFilters: [isnotnull(_person" in plan(one)
+
+
+def test_person_folders_keep_every_name(spark, folder):
+    rows = [("1", "007"), ("2", ""), ("3", None), ("4", "2020-01-01"), ("5", "a/b=c")]
+    df = spark.createDataFrame(rows, "comment_id string, persoon string")
+    sinks.write_per_person(df, folder + "/people")
+    ddl = "comment_id string, persoon string"
+    back = sinks.read_per_person(spark, folder + "/people", ddl)
+    assert sorted(map(tuple, back.collect())) == rows
+    some = sinks.read_per_person(spark, folder + "/people", ddl, ["", "007"])
+    assert sorted(map(tuple, some.collect())) == rows[:2]
 
 
 def test_export_is_printable(spark, folder):

@@ -34,10 +34,14 @@ def test_relevance_answer(spark, text, label, confidence, reason):
     assert got.raw == ("" if label == "ERROR" else text)
 
 
-def test_long_parts_are_cut(spark):
-    got = answer(spark, '{"label": "RELEVANT", "reason": "%s"}' % ("r" * 400))
-    assert len(got.reason) == 200 and len(got.raw) == 300
-    assert len(answer(spark, "z" * 400).reason) == 200
+def test_long_parts_are_cut_on_request_only(spark):
+    long = '{"label": "RELEVANT", "reason": "%s"}' % ("r" * 400)
+    got = answer(spark, long)
+    assert len(got.reason) == 400 and got.raw == long
+    assert len(answer(spark, "z" * 400).reason) > 400
+    cut = spark.createDataFrame([(long,), ("z" * 400,)], "t string").select(
+        M.relevance_answer(F.col("t"), reason_chars=200, raw_chars=300).alias("a")).collect()
+    assert [len(r.a.reason) for r in cut] == [200, 200] and len(cut[0].a.raw) == 300
 
 
 @pytest.mark.parametrize("text, expected", [

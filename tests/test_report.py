@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gabble.catalog import SKATERS, entity_frame
 from gabble.operators import report, stats
+from tests.helpers import plan
 
 LABELS = ["negative", "neutral", "positive"]
 
@@ -37,9 +38,10 @@ def test_counts(scored):
 
 
 def test_matrix_has_zeros(scored):
-    got = {r.persoon: (r.negative, r.neutral) for r in
-           report.label_matrix(scored, "persoon", "sentiment", ["negative", "neutral"]).collect()}
-    assert got == {"sven": (1, 1), "jutta": (1, 0)}
+    for labels in (None, ["negative", "neutral", "unknown"]):
+        got = {r.persoon: (r.negative, r.neutral, r.unknown) for r in
+               report.label_matrix(scored, "persoon", "sentiment", labels).collect()}
+        assert got == {"sven": (1, 1, 1), "jutta": (1, 0, 0)}
 
 
 def test_denominators_differ(scored):
@@ -70,10 +72,10 @@ def test_overview_and_tiers(spark):
             report.overview(entity_frame(spark, SKATERS), threads, comments).collect()}
     assert len(view) == 6
     assert (view["sven"], view["jutta"], view["ireen"]) == ((3, 1), (0, 1), (0, 0))
-    tiers = {tuple(r) for r in report.tier_report(threads, comments).collect()}
-    assert tiers == {("sven", 2, 1, 1), ("jutta", 0, 0, 1)}
-    sizes = {tuple(r) for r in report.tier_sizes(threads.union(threads)).collect()}
-    assert sizes == {("sven", 1, 2, 3), ("jutta", 0, 1, 1)}
+    tiers = {tuple(r) for r in report.tier_report(entity_frame(spark, SKATERS), threads, comments).collect()}
+    assert len(tiers) == 6 and tiers >= {("sven", 2, 1, 1), ("jutta", 0, 0, 1), ("ireen", 0, 0, 0)}
+    sizes = {tuple(r) for r in report.tier_sizes(entity_frame(spark, SKATERS), threads.union(threads)).collect()}
+    assert len(sizes) == 6 and sizes >= {("sven", 1, 2, 3), ("jutta", 0, 1, 1), ("ireen", 0, 0, 0)}
 
 
 def test_known_tables(spark):
@@ -105,7 +107,7 @@ def test_agrees_with_the_ml_test(spark):
         indexed = index.fit(part).transform(part)
         vectors = VectorAssembler(inputCols=["s"], outputCol="v").transform(indexed)
         want = ChiSquareTest.test(vectors, "v", "g").first()
-        got = stats.chi_square(df, "gender", "sentiment", labels, correction=False).first()
+        got = stats.chi_square(df, "gender", "sentiment", labels, correction=False, others="drop").first()
         assert got.statistic == pytest.approx(want.statistics[0])
         assert got.dof == want.degreesOfFreedom[0]
         assert got.p_value == pytest.approx(want.pValues[0])
@@ -115,11 +117,29 @@ def test_empty_categories_are_no_categories(spark):
     df = table(spark, {"man": {"a": 5, "b": 6}, "vrouw": {"a": 7, "b": 2}})
     got = stats.chi_square(df, "gender", "sentiment", ["a", "b", "never"]).first()
     assert got.dof == 1
-    one = stats.chi_square(df, "gender", "sentiment", ["a"]).first()
+    one = stats.chi_square(df, "gender", "sentiment", ["a"], others="drop").first()
     assert (one.dof, one.p_value) == (0, 1.0)
     assert stats.chi_square(df.limit(0), "gender", "sentiment", ["a"]).count() == 0
 
 
+def test_every_label_counts(spark):
+    df = table(spark, {"man": {"a": 5, "b": 6, "unknown": 9}, "vrouw": {"a": 7, "b": 2, "unknown": 1}})
+    assert stats.chi_square(df, "gender", "sentiment").first().dof == 2
+    assert set(report.label_matrix(df, "gender", "sentiment").columns) == {"gender", "a", "b", "unknown"}
+    with pytest.raises(Exception, match="outside the given list: unknown"):
+        stats.chi_square(df, "gender", "sentiment", ["a", "b"]).collect()
+    assert stats.chi_square(df, "gender", "sentiment", ["a", "b"], others="drop").first().dof == 1
+    assert stats.cells(df.limit(0), "gender", "sentiment").count() == 0
+    assert "SinglePartition" not in plan(stats.cells(df, "gender", "sentiment", ["a", "b", "unknown"])).split("Subquery")[0]
+
+
+@pytest.mark.parametrize("x, dof, want", [
+    (3000.0, 1000, 0.0), (1500.0, 1500, 0.4951), (1000.0, 1001, 0.503), (1100.0, 1000, 0.0143), (2000.0, 1, 0.0), (0.0, 7, 1.0)])
+def test_tails_of_large_numbers(spark, x, dof, want):
+    tail = spark.range(1).select(stats.chi_square_tail(F.lit(x), F.lit(dof)).alias("p")).first().p
+    assert tail == pytest.approx(want, abs=2e-3)
+
+
 @pytest.mark.parametrize("dof, critical", [
     (1, 3.841459), (2, 5.991465), (3, 7.814728), (4, 9.487729), (5, 11.070498), (6, 12.591587),
     (7, 14.067140), (10, 18.307038), (21, 32.670573), (50, 67.504807)])

@@ -145,3 +145,15 @@ def test_saved_sample_is_reused(spark, folder):
     grown = df.unionByName(spark.range(50, 500).selectExpr("cast(id AS string)", "'sven'").toDF(*df.columns))
     again = sorted(values(select.saved_sample(grown, folder + "/s", ["persoon"], 16), "comment_id"))
     assert len(first) == 16 and first == again
+
+
+def test_winners_do_not_depend_on_the_partitioning(spark):
+    rows = [("p", f"t{i % 5}", i % 2, i % 7, f"title {i % 3}") for i in range(50)]
+    found = spark.createDataFrame(rows, "persoon string, thread_id string, query_index int, score int, title string")
+    listed = found.withColumn("position", F.col("score") * 10)
+    for frame in (found, listed):
+        for pick in (select.unify_threads, lambda df: select.last_per_key(df, ["thread_id"], "query_index")):
+            results = {tuple(sorted(map(tuple, pick(frame.repartition(n)).collect()))) for n in (1, 3, 8)}
+            assert len(results) == 1
+    winners = {r.thread_id: r.score for r in select.unify_threads(listed).collect()}
+    assert winners == {t: max(r[3] for r in rows if r[1] == t and r[2] == 1) for t in winners}
