@@ -110,7 +110,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     patterns = np.array([r["votes"] for r in seen], np.int64).reshape(-1, len(LABELLERS))
     # First guess: one bad vote makes a text doubtful.
     start = np.where((patterns < 0).any(1), 0.1, 0.95)
-    model = label_model.fit(patterns, np.array([r["count"] for r in seen]), prior=0.8, start=start)
+    model = label_model.fit(patterns, np.array([r["count"] for r in seen]), prior=0.8, correlated=False, start=start)
     order = [F.xxhash64(F.col(doc_id), text_of(text)).alias("h")]
     chosen = written(docs.select(*order).orderBy("h").limit(max_train), "chosen")
     # One number for each of at most max_train rows.
