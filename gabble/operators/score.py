@@ -99,27 +99,45 @@ def three_flags(df: DataFrame, text: str = "comment",
     })
 
 
-def _score_rows(scorer: BatchScorer, texts: list[str], labels: list[list[str]]):
-    """Scores of one batch; when the batch fails, each row on its own, failures as nulls."""
+class DeadModel(RuntimeError):
+    """A model failed on every row of a batch."""
+
+
+#: Rows in a batch from which on the failure of all of them means that the model is dead.
+_DEAD_ROWS = 10
+
+
+def _each_row(call: Callable[..., list], *columns: list, attempts: int = 1) -> list[tuple]:
+    """(result, error) of each row: the batch at once, or when it fails each row on its own."""
+    n = len(columns[0])
     try:
-        return list(scorer(texts, labels))
+        results = list(call(*columns))
+        if len(results) != n:
+            raise ValueError(f"{len(results)} results for {n} rows")
+        return [(r, None) for r in results]
     except Exception:
-        scored = []
-        for text, candidates in zip(texts, labels):
-            try:
-                scored.extend(scorer([text], [candidates]))
-            except Exception:
-                scored.append((None, None))
-        return scored
+        out = []
+        for row in zip(*columns):
+            for attempt in range(attempts):
+                try:
+                    out.append((list(call(*[[v] for v in row]))[0], None))
+                    break
+                except Exception as error:
+                    if attempt == attempts - 1:
+                        out.append((None, f"{type(error).__name__}: {error}"))
+        if n >= _DEAD_ROWS and all(error for _, error in out):
+            raise DeadModel(f"the model failed on all {n} rows of a batch, first: {out[0][1]}")
+        return out
 
 
 def batch_score(df: DataFrame, load: Callable[[], BatchScorer], keys: Sequence[str],
                 text: str = "comment", labels: str = "candidate_labels") -> DataFrame:
-    """Run a model over ``keys, text, labels`` and return ``keys, best_label, model_score``.
+    """Run a model over ``keys, text, labels``: ``keys, best_label, model_score, error``.
 
     ``load`` builds the model once per task. Only the needed columns cross into Python; missing text
-    is scored as the empty string. A row the model fails on gets null label and score and the job
-    goes on. Spark may run a task again, so write the result once and read it back for reports.
+    is scored as the empty string. A row the model fails on gets null label and score with the cause
+    as ``error``, and the job goes on; a model that fails on a whole batch stops it. Spark may run a
+    task again, so write the result once and read it back for reports.
     """
     narrow = df.select(*keys, T.filled(F.col(text)).alias("_text"),
                        F.col(labels).alias("_labels"))
@@ -129,14 +147,68 @@ def batch_score(df: DataFrame, load: Callable[[], BatchScorer], keys: Sequence[s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for batch in batches:
-            scored = _score_rows(scorer, batch["_text"].tolist(),
-                                 [list(c) for c in batch["_labels"]])
+            scored = _each_row(scorer, batch["_text"].tolist(), [list(c) for c in batch["_labels"]])
+            out = batch[key_names].copy()
+            out["best_label"] = [r[0] if r else None for r, _ in scored]
+            out["model_score"] = pd.array([r[1] if r else None for r, _ in scored], dtype="Float64")
+            out["error"] = [error for _, error in scored]
+            yield out
+
+    return narrow.mapInPandas(run, f"{fields}, best_label string, model_score double, error string")
+
+
+def batch_answer(df: DataFrame, load: Callable[[], Callable[[list[str]], Sequence[str]]], keys: Sequence[str],
+                 prompt: str = "prompt", attempts: int = 2) -> DataFrame:
+    """Run a text model over ``keys, prompt``: ``keys, response, error``.
+
+    The model gets a batch of prompts and returns a text for each. When a batch fails, each prompt is
+    tried on its own, ``attempts`` times; what still fails has a null response and the cause as
+    ``error``. A model that fails on a whole batch stops the job.
+    """
+    narrow = df.select(*keys, T.filled(F.col(prompt)).alias("_prompt"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    key_names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            answers = _each_row(model, batch["_prompt"].tolist(), attempts=attempts)
             out = batch[key_names].copy()
-            out["best_label"] = [label for label, _ in scored]
-            out["model_score"] = pd.array([score for _, score in scored], dtype="Float64")
+            out["response"] = [r for r, _ in answers]
+            out["error"] = [error for _, error in answers]
             yield out
 
-    return narrow.mapInPandas(run, f"{fields}, best_label string, model_score double")
+    return narrow.mapInPandas(run, f"{fields}, response string, error string")
+
+
+def word_odds(labelled: DataFrame, text: str = "comment", target: str = "target") -> DataFrame:
+    """``word, n_docs, n_positive, idf, log_odds``: how words tell the classes apart.
+
+    ``n_docs`` and ``n_positive`` count the texts with the word; the odds are smoothed by one text.
+    """
+    rows = labelled.select(F.col(text).alias("text"), (F.col(target) > 0).cast("bigint").alias("positive"))
+    totals = rows.agg(F.struct(F.count("*").alias("n"), F.sum("positive").alias("p"))).scalar()
+    counts = (rows.select("positive", F.explode(_distinct_words("text")).alias("word"))
+              .groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("positive").alias("n_positive")))
+    n, p = F.col("t")["n"], F.col("t")["p"]
+    with_word = F.ln((F.col("n_positive") + 1) / (p + 2))
+    without = F.ln((F.col("n_docs") - F.col("n_positive") + 1) / (n - p + 2))
+    return counts.withColumn("t", totals).select(
+        "word", "n_docs", "n_positive", F.ln((n + 1) / (F.col("n_docs") + 1)).alias("idf"),
+        (with_word - without).alias("log_odds"))
+
+
+def apply_word_odds(df: DataFrame, odds: DataFrame, keys: Sequence[str], text: str = "comment",
+                    prior: float = 0.0) -> DataFrame:
+    """``keys, log_odds, prediction``: summed odds of a text's distinct words, 1 if above zero."""
+    words = df.select(*keys, F.explode_outer(_distinct_words(text)).alias("word"))
+    summed = words.join(odds.select("word", "log_odds"), "word", "left").groupBy(*keys).agg(
+        (F.coalesce(F.sum("log_odds"), F.lit(0.0)) + prior).alias("log_odds"))
+    return summed.withColumn("prediction", (F.col("log_odds") > 0).cast("int"))
+
+
+def _distinct_words(text: str):
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def train_classifier(labelled: DataFrame, text: str = "comment", target: str = "target",

@@ -42,11 +42,16 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Dedupe, keeping the first row per key. Null keys count as equal.
 
-    A hash of the key leads the sort, so rows are told apart by a number instead of by the first
-    letters of long texts; the key itself still decides.
+    Rows are dealt out and sorted by a 256-bit digest of the key, so that no long text is compared.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(*keys))
-    return top_per_group(hashed, ["_hash", *keys], order, 1).drop("_hash")
+    return top_per_group(df.withColumn("_key", key_digest(keys)), ["_key"], order, 1).drop("_key")
+
+
+def key_digest(keys: Sequence[str]) -> Column:
+    """32 bytes that stand for the values of a key; null is a value, lengths keep the parts apart."""
+    parts = [F.col(k).cast("string") for k in keys]
+    told = [F.coalesce(F.concat(F.octet_length(p), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.unhex(F.sha2(F.concat(*told), 256))
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -67,11 +67,19 @@ def collect_comments(listing: DataFrame, comments: DataFrame, entities: Sequence
     return gather_comments(comments, chosen, people)
 
 
-def negative_report(raw: DataFrame, entities: DataFrame, negative: Sequence[str]) -> DataFrame:
-    """Clean, score with a word list and report the negative rate per person."""
-    return (
-        clean.tag(raw)
-        .transform(clean.kept, entities)
+def negative_report(raw: DataFrame, negative: Sequence[str]) -> DataFrame:
+    """Clean, score with a word list and report the negative rate per person.
+
+    Drop reason, label and a digest of the duplicate key are read off the text where it is scanned;
+    only they are shuffled.
+    """
+    texts = clean.fill_text(raw)
+    told = (
+        texts.withColumn("_key", select.key_digest(clean.DUPLICATE_KEY))
+        .withColumn("drop_reason", clean.drop_reason(F.col("author"), F.col("comment")))
+        .withColumn("comment", T.strip_footer(F.col("comment")))
         .transform(score.negative_flag, negative=negative)
-        .transform(report.negative_rate)
+        .select("_key", "ingest_order", "persoon", "gender", "drop_reason", "sentiment")
     )
+    first = select.top_per_group(told, ["_key"], [F.col("ingest_order")], 1)
+    return first.filter(F.col("drop_reason") == "").transform(report.negative_rate)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from gabble.catalog import entity_frame
 from gabble.operators import report, stats
 from gabble.plans import bindings as B
 from gabble.plans import flows
@@ -118,4 +117,4 @@ def stat_chi_square(spark, d):
       count(*) FILTER (WHERE {has_word_sql(B.NEGATIVE)}) AS negatief
     FROM tagged WHERE drop_reason = '' GROUP BY persoon, gender)""", "raw"))
 def negative_report(spark, d):
-    return flows.negative_report(B.raw(spark, d), entity_frame(spark, B.PEOPLE), B.NEGATIVE)
+    return flows.negative_report(B.raw(spark, d), B.NEGATIVE)

@@ -180,7 +180,70 @@ def load_keyword_model():
   FROM (SELECT *, coalesce({has_word_sql(B.NEGATIVE)}, false) AS hit FROM raw)""", "raw"))
 def score_batch_hook(spark, d):
     rows = B.raw(spark, d).withColumn("candidate_labels", M.about_labels(F.col("persoon")))
-    return score.batch_score(rows, load_keyword_model, ["comment_id", "persoon"])
+    return score.batch_score(rows, load_keyword_model, ["comment_id", "persoon"]).drop("error")
+
+
+def load_answering_model():
+    """Text model used for the check: answers in JSON, quoting the comment's part of the prompt as its reason.
+
+    It fails at times on a batch, so that prompts are tried one by one.
+    """
+    import json
+    import re
+
+    word = re.compile(r"(?<!\w)(?:" + "|".join(B.NEGATIVE) + r")(?!\w)")
+
+    def answer(prompts):
+        if len(prompts) > 1 and any("[deleted]" in p for p in prompts):
+            raise ValueError("deleted text")
+        return [json.dumps({"label": "RELEVANT" if word.search(p.lower()) else "not_relevant",
+                            "confidence": "High", "reason": p.split("Comment: ", 1)[-1]}, ensure_ascii=False) for p in prompts]
+
+    return answer
+
+
+@query(sql(f"""SELECT comment_id, persoon, 'high' AS confidence, coalesce(comment, '') AS reason,
+    CASE WHEN coalesce({has_word_sql(B.NEGATIVE)}, false) THEN 'RELEVANT' ELSE 'NOT_RELEVANT' END AS label
+  FROM raw""", "raw"))
+def score_batch_answer(spark, d):
+    """Prompt, answer, parse and validate over whole comments."""
+    rows = B.raw(spark, d).withColumn("prompt", F.concat(F.lit("Comment: "), F.coalesce("comment", F.lit(""))))
+    answers = score.batch_answer(rows, load_answering_model, ["comment_id", "persoon"])
+    return answers.withColumn("a", M.relevance_answer(F.col("response"))).select(
+        "comment_id", "persoon", "a.label", "a.confidence", "a.reason")
+
+
+_WORDS_SQL = """words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS word
+    FROM documents),
+  marked AS (SELECT doc_id, CAST(toxic > 0 AS BIGINT) AS positive FROM documents JOIN labels USING (doc_id)),
+  totals AS (SELECT count(*) AS n, sum(positive) AS p FROM marked),
+  counts AS (SELECT word, count(*) AS n_docs, CAST(sum(positive) AS BIGINT) AS n_positive
+    FROM words JOIN marked USING (doc_id) GROUP BY word),
+  odds AS (SELECT word, n_docs, n_positive, ln((n + 1) / (n_docs + 1)) AS idf,
+      ln((n_positive + 1) / (p + 2)) - ln((n_docs - n_positive + 1) / (n - p + 2)) AS log_odds
+    FROM counts, totals)"""
+
+
+def _marked(spark, d):
+    labels = B.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("target"))
+    return B.table(spark, d, "documents").select("doc_id", F.col("text").alias("comment")).join(labels, "doc_id")
+
+
+@query(f"""WITH {_WORDS_SQL} SELECT word, n_docs, n_positive, round(idf, 6) AS idf, round(log_odds, 6) AS log_odds
+  FROM odds""")
+def score_word_odds(spark, d):
+    return score.word_odds(_marked(spark, d)).select(
+        "word", "n_docs", "n_positive", F.round("idf", 6).alias("idf"), F.round("log_odds", 6).alias("log_odds"))
+
+
+@query(f"""WITH {_WORDS_SQL} SELECT doc_id, round(coalesce(sum(log_odds), 0), 4) AS log_odds,
+    CAST(coalesce(sum(log_odds), 0) > 0 AS INTEGER) AS prediction
+  FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN odds USING (word) GROUP BY doc_id""")
+def score_naive_bayes(spark, d):
+    """The trained word classifier on every document."""
+    odds = score.word_odds(_marked(spark, d))
+    documents = B.table(spark, d, "documents").select("doc_id", F.col("text").alias("comment"))
+    return score.apply_word_odds(documents, odds, ["doc_id"]).withColumn("log_odds", F.round("log_odds", 4))
 
 
 @query()

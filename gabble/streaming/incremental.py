@@ -6,13 +6,16 @@ checkpoint folder, results in append-only files, so a killed run continues where
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gabble.operators.resume import SCORE_KEY
 
+#: Parts within which copies of a key are dropped first.
+_PARTS = 64
+
 Score = Callable[[DataFrame], DataFrame]
 
 
@@ -25,36 +28,21 @@ def read_landed(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return reader.parquet(path)
 
 
-def collapse_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop repeated keys inside each task, before anything is shuffled.
-
-    A streaming dedupe has no map-side step of its own, so a flood of copies of one comment would
-    all travel to the one task that holds its state.
-    """
-    names = list(keys)
-
-    def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            keep = []
-            for key in zip(*(batch.column(n).to_pylist() for n in names)):
-                keep.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return df.mapInArrow(first_seen, df.schema)
-
-
 def unique(stream: DataFrame, keys: Sequence[str] = SCORE_KEY, event_time: str | None = None,
            delay: str | None = None) -> DataFrame:
     """Each key once over all runs, from the state store.
 
-    Without a delay the state keeps every key ever seen; with one it forgets keys older than that.
+    A streaming dedupe has no map-side step, so a flood of copies of one comment would all travel to
+    the one task that holds its state. Copies are therefore dropped within parts first, by the task
+    that read them; the second step sees a key once a part. Without a delay the state keeps every
+    key ever seen; with one it forgets keys older than that.
     """
+    parted = stream.withColumn("_part", F.spark_partition_id() % _PARTS)
     if event_time and delay:
-        late = stream.withWatermark(event_time, delay)
-        return late.dropDuplicatesWithinWatermark(list(keys))
-    return collapse_copies(stream, keys).dropDuplicates(list(keys))
+        late = parted.withWatermark(event_time, delay)
+        return (late.dropDuplicatesWithinWatermark([*keys, "_part"]).drop("_part")
+                .dropDuplicatesWithinWatermark(list(keys)))
+    return parted.dropDuplicates([*keys, "_part"]).drop("_part").dropDuplicates(list(keys))
 
 
 def run_available(result: DataFrame, sink: str, checkpoint: str) -> None:

@@ -358,9 +358,18 @@ def test_watermarked_dedupe(spark, folder):
     assert got == [(str(i), "sven") for i in range(4)]
 
 
-def test_copies_collapse_inside_a_task(spark):
-    df = spark.range(100).selectExpr("cast(id % 5 AS string) AS k", "id").coalesce(1)
-    assert sorted(values(incremental.collapse_copies(df, ["k"]), "id")) == [0, 1, 2, 3, 4]
+def test_stream_dedupe_stays_in_the_engine(spark, folder):
+    land(spark, folder + "/in", [("1", "sven", "a")])
+    stream = incremental.read_landed(spark, folder + "/in", STREAM)
+    for frame in (incremental.unique(stream), incremental.unique(stream, event_time="at", delay="1 hour")):
+        text = plan(frame)
+        assert "Python" not in text and "Arrow" not in text and "InPandas" not in text
+
+
+def test_a_flood_of_copies_is_spread(spark, folder):
+    for _ in range(4):
+        land(spark, folder + "/in", [("1", "sven", "a")] * 500 + [("2", "sven", "b")])
+    assert run(spark, folder, incremental.unique) == [("1", "sven"), ("2", "sven")]
 
 
 def test_missing_shared_folder_stops_a_cluster_job(spark, monkeypatch):
