@@ -106,6 +106,8 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """Rows whose text a row with a smaller id has as well."""
     firsts = (rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
               .where("first < last").select("digest", "first"))
+    # Written, so that the join reads both sides from exchanges and Spark can split a frequent text.
+    firsts = written(firsts, "firsts")
     return rows.join(firsts, "digest").where("doc_id > first").drop("first")
 
 
