@@ -35,7 +35,7 @@ from gabble.llm.common import chunks, text_of
 LONG = 48
 #: Bytes in one query, distinct words that a task remembers, ids decoded in one query.
 QUERY_BYTES = 400_000
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 QUERY_IDS = 1_000_000
 LONG_STEPS = 8
 
@@ -58,10 +58,9 @@ WITH RECURSIVE s AS (
             FROM s WHERE rank IS NOT NULL GROUP BY piece) b
       JOIN s g ON g.piece = b.piece AND g.pos = b.gone) h ON s.piece = h.piece
     WHERE s.pos <> h.gone) u
-  LEFT JOIN merges m ON u.touched AND m.pair = u.token::BIGINT << 32 | u.follower)
-SELECT piece, list(token ORDER BY pos) AS ids
-FROM (SELECT piece, pos, token, step, max(step) OVER (PARTITION BY piece) AS last FROM s)
-WHERE step = last GROUP BY piece ORDER BY piece
+  LEFT JOIN merges m ON u.touched AND m.pair = u.token::BIGINT << 32 | u.follower),
+fixed AS (SELECT piece, max(step) AS step FROM s GROUP BY piece)
+SELECT piece, list(token ORDER BY pos) AS ids FROM s JOIN fixed USING (piece, step) GROUP BY piece ORDER BY piece
 """
 
 _LONG_SQL = f"""
@@ -128,12 +127,17 @@ class Codec:
         self.db.unregister(name)
         return found
 
-    def _contract(self, tokens: list[np.ndarray], sql: str) -> pa.Table:
-        sizes = [len(t) for t in tokens]
-        starts = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    def _contract(self, tokens: list[np.ndarray] | list[bytes], sql: str) -> pa.Table:
+        """Token-position rows of ids, or of raw bytes, contracted by a query."""
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        if isinstance(tokens[0], bytes):
+            joined = self.bytes[np.frombuffer(b"".join(tokens), np.uint8)]
+        else:
+            joined = np.concatenate(tokens)
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         return self._query("start", pa.table({
             "piece": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
-            "pos": (np.arange(sum(sizes)) - starts).astype(np.int32), "token": np.concatenate(tokens)}), sql)
+            "pos": (np.arange(len(joined)) - starts).astype(np.int32), "token": joined}), sql)
 
     def pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of each piece of the pattern."""
@@ -145,7 +149,7 @@ class Codec:
             if whole is not None:
                 out[i] = np.array([whole], np.int32)
             else:
-                (short if len(raw) <= LONG else long).append((i, self.bytes[np.frombuffer(raw, np.uint8)]))
+                (short if len(raw) <= LONG else long).append((i, raw))
         for a, b in chunks((len(t) for _, t in short), QUERY_BYTES):
             ids = self._contract([t for _, t in short[a:b]], _SHORT_SQL).column("ids")
             for (i, _), found in zip(short[a:b], _lists(ids)):
@@ -170,25 +174,30 @@ class Codec:
             else:
                 parts = text.split(" ")
                 split.append([parts[0], *[" " + p for p in parts[1:]]] if text else [])
-        unknown: dict[str, None] = {}
-        known, old = self.new, self.old
-        for parts in split:
-            for p in set(parts):
-                if p not in known:
-                    if p in old:
-                        known[p] = old[p]
-                    else:
-                        unknown[p] = None
+        known = self.new
+        unknown = self._missing(p for parts in split for p in set(parts).difference(known))
         words = [self.pattern.findall(u) for u in unknown]
-        distinct = list(dict.fromkeys(p for w in words for p in w))
-        ids = dict(zip(distinct, self.pieces(distinct)))
+        # A piece on its own is split into itself, so it is remembered like a word.
+        distinct = self._missing(p for w in words for p in w if p not in known)
+        known.update(zip(distinct, [x.tobytes() for x in self.pieces(distinct)]))
         for u, w in zip(unknown, words):
-            known[u] = ids[w[0]].tobytes() if len(w) == 1 else b"".join([ids[p].tobytes() for p in w])
+            if len(w) != 1:
+                known[u] = b"".join([known[p] for p in w])
         out = [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32) for parts in split]
         if len(known) > REMEMBERED:
             self.old, self.new = known, {}
         return out
 
+    def _missing(self, parts) -> list[str]:
+        """Distinct parts that are not remembered; those of the older half move to the newer."""
+        known, old, out = self.new, self.old, {}
+        for p in parts:
+            if p in old:
+                known[p] = old[p]
+            else:
+                out[p] = None
+        return list(out)
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
         out: list[bytes] = []
