@@ -157,15 +157,19 @@ def found_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``labels`` as model answers in all the shapes a parser meets."""
-    return table(spark, sf_dir, "labels").selectExpr(
+    """Labelled ``documents`` as model answers in all the shapes a parser meets; the whole text is
+    the reason that the answer gives."""
+    labels = table(spark, sf_dir, "labels")
+    texts = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "to_json(named_struct('t', text)) AS quoted")
+    return labels.join(texts, "doc_id").selectExpr(
         "doc_id",
         r"""CASE doc_id % 8
-           WHEN 0 THEN '{"label": "relevant ", "confidence": "HIGH", "reason": "about person"}'
+           WHEN 0 THEN concat('{"label": "relevant ", "confidence": "HIGH", "reason": ', substr(quoted, 6))
            WHEN 1 THEN '```json\n{"label": "NOT_RELEVANT", "confidence": "low"}\n```'
            WHEN 2 THEN 'Sure: {"label": "RELEVANT", "confidence": 0.5, "reason": null} ok'
            WHEN 3 THEN '{"label": "MAYBE", "confidence": "low"}'
-           WHEN 4 THEN concat('no json for ', doc_id)
+           WHEN 4 THEN concat('no json for ', quoted, doc_id)
            WHEN 5 THEN 'Answer: {"a": {"b": 1}}'
            WHEN 6 THEN '12'
            ELSE ' {"speedskating": true, "performance": true, "negative": false} ' END AS response""",
@@ -253,7 +257,21 @@ SQL_VIEWS = {
         text AS title, source AS subreddit, query_index,
         CASE query_index WHEN 0 THEN doc_id % 97 ELSE doc_id % 89 END AS score
         FROM documents, (VALUES (0), (1)) AS q(query_index)"""),
-    "responses": ((), """SELECT doc_id, quality, toxic, doc_id % 8 AS shape FROM labels"""),
+    "responses": ((), r"""SELECT doc_id, quality, toxic, CASE doc_id % 8
+        WHEN 0 THEN '{"label": "relevant ", "confidence": "HIGH", "reason": ' || CAST(to_json(text) AS VARCHAR) || '}'
+        WHEN 1 THEN '```json' || chr(10) || '{"label": "NOT_RELEVANT", "confidence": "low"}' || chr(10) || '```'
+        WHEN 2 THEN 'Sure: {"label": "RELEVANT", "confidence": 0.5, "reason": null} ok'
+        WHEN 3 THEN '{"label": "MAYBE", "confidence": "low"}'
+        WHEN 4 THEN 'no json for {"t":' || CAST(to_json(text) AS VARCHAR) || '}' || doc_id
+        WHEN 5 THEN 'Answer: {"a": {"b": 1}}'
+        WHEN 6 THEN '12'
+        ELSE ' {"speedskating": true, "performance": true, "negative": false} ' END AS response
+        FROM labels JOIN documents USING (doc_id)"""),
+    "parsed": (("responses",), r"""SELECT *, CASE
+          WHEN json_valid(t) THEN CASE WHEN json_type(t) = 'OBJECT' THEN t END
+          WHEN json_valid(block) THEN CASE WHEN json_type(block) = 'OBJECT' THEN block END END AS obj
+        FROM (SELECT *, trim(response, ' ' || chr(10)) AS t,
+            nullif(regexp_extract(response, '\{.*?\}', 0, 's'), '') AS block FROM responses)"""),
 }
 
 

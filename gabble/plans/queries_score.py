@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gabble.catalog import entity_frame
+from gabble.catalog import RELEVANCE_LABELS, entity_frame
 from gabble.functions import modeltext as M
 from gabble.functions import rules
 from gabble.operators import match, report, resume, score
@@ -12,41 +12,42 @@ from gabble.plans.bindings import in_sql, round_sql, sql
 from gabble.plans.queries_clean import hit_folded
 from gabble.plans.registry import query
 
-_SHAPE_LABEL = """CASE shape WHEN 0 THEN 'RELEVANT' WHEN 1 THEN 'NOT_RELEVANT'
-  WHEN 2 THEN 'RELEVANT' ELSE 'ERROR' END"""
+def _member_sql(name: str) -> str:
+    """A member as text: absent is empty, a JSON null is ``None``."""
+    return (f"CASE WHEN json_type(obj, '$.{name}') IS NULL THEN '' WHEN json_type(obj, '$.{name}') = 'NULL' "
+            f"THEN 'None' ELSE json_extract_string(obj, '$.{name}') END")
 
 
-@query(sql("""SELECT doc_id,
-  CASE shape WHEN 0 THEN 'relevant ' WHEN 1 THEN 'NOT_RELEVANT' WHEN 2 THEN 'RELEVANT'
-    WHEN 3 THEN 'MAYBE' END AS label,
-  shape IN (0, 1, 2, 3, 7) AS readable FROM responses""", "responses"))
+@query(sql("""SELECT doc_id, json_extract_string(obj, '$.label') AS label, obj IS NOT NULL AS readable
+  FROM parsed""", "parsed"))
 def json_parse_label(spark, d):
     parsed = B.responses(spark, d).withColumn("obj", M.first_object(F.col("response")))
     return parsed.select("doc_id", F.try_variant_get("obj", "$.label", "string").alias("label"),
                          F.col("obj").isNotNull().alias("readable"))
 
 
-@query(sql("""SELECT doc_id, CASE WHEN shape = 7 THEN true END AS speedskating,
-  CASE WHEN shape = 7 THEN true END AS performance,
-  CASE WHEN shape = 7 THEN false END AS negative FROM responses""", "responses"))
+@query(sql(r"""SELECT doc_id, CAST(json_extract_string(b, '$.speedskating') AS BOOLEAN) AS speedskating,
+  CAST(json_extract_string(b, '$.performance') AS BOOLEAN) AS performance,
+  CAST(json_extract_string(b, '$.negative') AS BOOLEAN) AS negative
+  FROM (SELECT doc_id, CASE WHEN json_valid(b) THEN b END AS b
+    FROM (SELECT doc_id, regexp_extract(response, '\{.*\}', 0, 's') AS b FROM responses))""", "responses"))
 def json_parse_flags(spark, d):
     return B.responses(spark, d).select("doc_id", M.flags_answer(F.col("response")).alias("f")) \
         .select("doc_id", "f.*")
 
 
-@query(sql(f"""SELECT doc_id, {_SHAPE_LABEL} AS label,
-  CASE shape WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN '0.5' ELSE '' END AS confidence,
-  CASE shape WHEN 0 THEN 'about person' WHEN 1 THEN '' WHEN 2 THEN 'None'
-    WHEN 3 THEN 'parse_fail: Bad label: ''MAYBE'''
-    WHEN 4 THEN 'parse_fail: Could not parse JSON from: no json for ' || doc_id
-    WHEN 5 THEN 'parse_fail: Could not parse JSON from: Answer: {{"a": {{"b": 1}}}}'
-    WHEN 6 THEN 'parse_fail: Could not parse JSON from: 12'
-    ELSE 'parse_fail: Bad label: ''''' END AS reason
-  FROM responses""", "responses"))
+@query(sql(f"""SELECT doc_id, CASE WHEN good THEN label ELSE 'ERROR' END AS label,
+  CASE WHEN good THEN lower(confidence) ELSE '' END AS confidence,
+  CASE WHEN good THEN reason WHEN obj IS NULL THEN 'parse_fail: Could not parse JSON from: ' || t
+    ELSE 'parse_fail: Bad label: ' || chr(39) || label || chr(39) END AS reason,
+  CASE WHEN good THEN response ELSE '' END AS raw
+  FROM (SELECT *, coalesce(label IN ({in_sql(RELEVANCE_LABELS)}), false) AS good
+    FROM (SELECT *, trim(upper({_member_sql('label')})) AS label,
+        {_member_sql('confidence')} AS confidence, {_member_sql('reason')} AS reason FROM parsed))""", "parsed"))
 def validate_label(spark, d):
     return B.responses(spark, d).select(
         "doc_id", M.relevance_answer(F.col("response")).alias("a")
-    ).select("doc_id", "a.label", "a.confidence", "a.reason")
+    ).select("doc_id", "a.label", "a.confidence", "a.reason", "a.raw")
 
 
 _SCORE_SQL = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 0.5 + (doc_id % 100) / 1000.0 END"
