@@ -66,13 +66,14 @@ class Extractor:
 def train(rows: DataFrame, regularisation: float, lasso: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and intercept from ``cells array<int>, factors array<double>, p double`` (P(label 1) of the row)."""
     vector = F.udf(lambda i, v: SparseVector(SIZE, i, v), VectorUDT())
-    soft = rows.select("cells", "factors", F.explode(F.array(
+    soft = rows.select(vector("cells", "factors").alias("features"), "p").select("features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("one"))
-    soft = soft.select(vector("cells", "factors").alias("features"), "one.label", "one.weight").where("weight > 0.001")
-    classes = {r.label for r in soft.select("label").distinct().collect()}
+    soft = soft.select("features", "one.label", "one.weight").where("weight > 0.001")
+    low, high = rows.agg(F.max(1 - F.col("p")), F.max("p")).first()
+    classes = [c for c, weight in ((0.0, low), (1.0, high)) if weight is not None and weight > 0.001]
     if len(classes) < 2:
-        return np.zeros(SIZE), 30.0 if classes == {1.0} else -30.0 if classes else 0.0
+        return np.zeros(SIZE), 30.0 if classes == [1.0] else -30.0 if classes else 0.0
     model = LogisticRegression(maxIter=rounds, regParam=regularisation, elasticNetParam=lasso, weightCol="weight",
                                standardization=False).fit(soft)
     return model.coefficients.toArray(), float(model.intercept)
