@@ -11,6 +11,9 @@ from gabble import catalog
 from gabble.catalog import Entity
 from gabble.functions import text as T
 
+#: Search phrases up to which each is compared in code of its own.
+_UNROLLED = 64
+
 
 def attach_entity(df: DataFrame, entities: DataFrame, columns: Iterable[str],
                   *, strict: bool = False) -> DataFrame:
@@ -89,16 +92,22 @@ def search(df: DataFrame, entities: Iterable[Entity], text: str, keys: Iterable[
     The phrases are driver-side parameters, so they travel inside the expression: every text is
     read once where it lies and only hits leave the task. There is no join and no shuffle.
     """
-    phrases = F.array(*[
-        F.struct(F.lit(e.persoon).alias("persoon"), F.lit(i).alias("query_index"),
-                 T.fold(F.lit(q)).alias("phrase"))
-        for e in entities for i, q in enumerate(e.search_queries)
-    ])
-    hits = T.bind(T.fold(F.col(text)),
-                  lambda t: F.filter(phrases, lambda p: t.contains(p["phrase"])))
+    wanted = [(e.persoon, i, q) for e in entities for i, q in enumerate(e.search_queries)]
+    texts = df.filter(F.col(text).isNotNull()).select(*keys, T.fold(F.col(text)).alias("_text"))
+
+    def hit(person: str, number: int) -> Column:
+        return F.struct(F.lit(person).alias("persoon"), F.lit(number).alias("query_index"))
+
+    if len(wanted) <= _UNROLLED:
+        # A comparison with a constant each: compiled code instead of a lambda per phrase and text.
+        hits = F.array_compact(F.array(*[
+            F.when(F.col("_text").contains(T.fold(F.lit(q))), hit(person, i)) for person, i, q in wanted]))
+    else:
+        phrases = F.array(*[F.struct(hit(person, i).alias("hit"), T.fold(F.lit(q)).alias("phrase"))
+                            for person, i, q in wanted])
+        hits = F.transform(F.filter(phrases, lambda p: F.col("_text").contains(p["phrase"])), lambda p: p["hit"])
     return (
-        df.filter(F.col(text).isNotNull())
-        .select(*keys, F.explode(hits).alias("_hit"))
+        texts.select(*keys, F.explode(hits).alias("_hit"))
         .select(*keys, "_hit.persoon", "_hit.query_index")
     )
 

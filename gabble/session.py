@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts travel to Python in small batches, so that a worker's memory stays low.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
     # Rank-and-cut inside the map tasks for any n; the cut itself keeps no rows in memory.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
     # A JSON object with a repeated member keeps the last value instead of being unreadable.
