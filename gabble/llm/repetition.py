@@ -27,7 +27,7 @@ from gabble.llm.common import SPACES, chunks, words
 
 SYMBOLS = "#*$%&|<>"
 #: Words whose suffixes are sorted together; bounds the memory of a task. A longer text stands alone.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 100_000
 
 
 @dataclass(frozen=True)
