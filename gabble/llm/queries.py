@@ -73,4 +73,33 @@ QUERIES: dict[str, Query] = {
         op6_quality_rules, op7_toxicity, op8_line_dedup, op9_packing, op10_weighted_fingerprints)
 }
 
-CHECKS: dict[str, str] = {}
+#: The same packing in SQL: a recursive table of least paddings, the path back, row numbers.
+_PACKING_SQL = r"""WITH RECURSIVE counted AS (
+    SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+')) AS total
+    FROM documents),
+  pieces AS (SELECT doc_id, unnest(range(greatest(0, (total - 1) // MAX_LEN) + 1)) AS piece, total FROM counted),
+  cut AS (SELECT doc_id, piece, least(total - piece * MAX_LEN, MAX_LEN) AS n_tokens FROM pieces),
+  histogram AS (SELECT n_tokens AS n, count(*) AS c FROM cut GROUP BY n_tokens),
+  sums AS (SELECT 0 AS j, 0 AS n, 0::BIGINT AS docs, 0::BIGINT AS tokens UNION ALL
+    SELECT row_number() OVER (ORDER BY n), n, CAST(sum(c) OVER (ORDER BY n) AS BIGINT),
+      CAST(sum(c * n) OVER (ORDER BY n) AS BIGINT) FROM histogram),
+  best AS (SELECT 0 AS k, 0::BIGINT AS j, {'cost': 0::BIGINT, 'i': 0::BIGINT} AS b UNION ALL
+    SELECT k + 1, j, b FROM (SELECT min(best.k) AS k, s.j AS j,
+        min({'cost': best.b.cost + s.n * (s.docs - e.docs) - (s.tokens - e.tokens), 'i': best.j}) AS b
+      FROM best JOIN sums e ON e.j = best.j JOIN sums s ON s.j > best.j
+      WHERE best.k < BUCKETS GROUP BY s.j)),
+  path AS (SELECT least(BUCKETS, count(*) - 1) AS k, max(j) AS j FROM sums UNION ALL
+    SELECT path.k - 1, best.b.i FROM path JOIN best ON best.k = path.k AND best.j = path.j WHERE path.k > 1),
+  tops AS (SELECT n AS top, coalesce(lag(n) OVER (ORDER BY n), -1) AS below FROM path JOIN sums USING (j)),
+  placed AS (SELECT doc_id, piece, n_tokens, top,
+      row_number() OVER (PARTITION BY top ORDER BY doc_id, piece) - 1 AS position,
+      greatest(TOKEN_BUDGET // greatest(top, 1), 1) AS room
+    FROM cut JOIN tops ON n_tokens > below AND n_tokens <= top)
+SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(top AS INTEGER) AS bucket_len,
+  CAST(position // room AS BIGINT) AS batch, CAST(position % room AS BIGINT) AS slot,
+  CAST(top - n_tokens AS INTEGER) AS padding FROM placed"""
+
+CHECKS: dict[str, str] = {
+    "op9_packing": _PACKING_SQL.replace("MAX_LEN", str(packing.MAX_LEN)).replace("BUCKETS", str(packing.BUCKETS))
+    .replace("TOKEN_BUDGET", str(packing.TOKEN_BUDGET)),
+}
