@@ -6,7 +6,7 @@ prefixes. The deepest longest-common-prefix interval around a suffix is the long
 there and occurs again; the union of these spans is the union of all maximal repeated passages.
 
 A text fails if its repeated passages of ``min_repeat`` words or more cover over ``max_covered`` of its
-words, if one of them is longer than ``max_longest`` of its words, or if it has under ``min_words`` words.
+words, if one of them has more than ``max_longest`` words, or if the text has under ``min_words`` words.
 
 Edge cases: a null or empty text has no words and fails; repeated rows get equal results, row by row;
 an empty table gives an empty result; a text of one word repeated is one repeat that overlaps itself;
@@ -35,7 +35,7 @@ class Limits:
     min_words: int = 10
     min_repeat: int = 5
     max_covered: float = 0.20
-    max_longest: float = 0.20
+    max_longest: int = 50
 
 
 def longest_repeats(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -139,7 +139,6 @@ def judge(texts: list[str | None], limits: Limits) -> Iterator[dict[str, np.ndar
         covered, longest = repeated_words(lists, limits.min_repeat)
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         failed = (n < limits.min_words) | (100 * covered > round(100 * limits.max_covered) * n)
-        passage = np.where(longest >= limits.min_repeat, longest, 0)
         yield {
             "n_words": n,
             "word_chars": np.array([len(t) - sum(map(t.count, SPACES)) for t in part], np.int64),
@@ -148,7 +147,7 @@ def judge(texts: list[str | None], limits: Limits) -> Iterator[dict[str, np.ndar
             "n_repeat_words": covered,
             "longest_repeat": longest,
             "base_failed": failed,
-            "kept": ~failed & (passage <= limits.max_longest * n),
+            "kept": ~failed & (longest <= limits.max_longest),
         }
 
 

@@ -35,12 +35,12 @@ THRESHOLD = 0.5
 _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key|bearer)"
 _KEY = r"A-Za-z0-9+/_\-"
 CANDIDATE = re.compile(
-    rf"(?i:\b{_NAMES}s?[\"']?\s{{0,8}}[=:]{{1,2}}>?\s{{0,8}}[\"']?)(?P<named>[{_KEY}.=]{{6,}})"
+    rf"(?i:(?<![A-Za-z]){_NAMES}s?[\"']?\s{{0,8}}[=:]{{1,2}}>?\s{{0,8}}[\"']?)(?P<named>[{_KEY}.=]{{6,}})"
     rf"|(?<![{_KEY}])(?P<free>[{_KEY}]*[0-9][{_KEY}]*={{0,2}})")
 MIN_FREE = 12
 NEAR = 48
 
-CREDENTIAL_WORDS = re.compile(rf"(?i)\b{_NAMES}s?\b")
+CREDENTIAL_WORDS = re.compile(rf"(?i)(?<![A-Za-z]){_NAMES}s?(?![A-Za-z])")
 HARMLESS_WORDS = re.compile(r"(?i)\b(?:sha\d*|md5|commit|revision|uuid|guid|checksum|hash|digest|id|isbn|issn|doi|"
                             r"phone|tel|fax|order|card|invoice|version|date|example|sample|dummy|placeholder|test)\b")
 TEST_PATH = re.compile(r"(?i)(?:test|spec|example|sample|fixture|mock|demo|docs?)\b")
@@ -179,7 +179,7 @@ def scored(found: DataFrame, model) -> DataFrame:
 #: Labelled findings where no reviewed table is given: the reviewers' rule. A value that a credential's name
 #: is assigned to is a secret if it has the looks of a key; all other candidates are false positives.
 def reviewed(found: DataFrame) -> DataFrame:
-    named = F.col("before").rlike(rf"(?i)\b{_NAMES}s?[\"']?\s*[=:]{{1,2}}>?\s*[\"']?$")
+    named = F.col("before").rlike(rf"(?i)(?<![A-Za-z]){_NAMES}s?[\"']?\s*[=:]{{1,2}}>?\s*[\"']?$")
     keylike = (F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     return found.withColumn("label", (named & keylike).cast("int"))
 

@@ -104,6 +104,13 @@ def test_forest_learns_from_labelled_findings(spark):
     assert not any(r.is_secret for r in one_class.collect())
 
 
+@pytest.mark.parametrize("text, value", [
+    ("my_token = 'abc123def456'", "abc123def456"), ("aws_secret_key: Zx9/+kk1234567==", "Zx9/+kk1234567=="),
+    ("API-KEY=q1w2e3r4t5", "q1w2e3r4t5"), ("see commit 0123456789abcdef0123", "0123456789abcdef0123")])
+def test_candidates(text, value):
+    assert [v for _, _, v, _, _ in secrets.find(text)] == [value]
+
+
 # 3 byte-level BPE
 
 
@@ -276,6 +283,14 @@ def test_longest_repeats_equal_brute_force():
             assert (c, top) == (brute_repetition(parts), best)
 
 
+def test_a_long_repeat_fails_a_long_text():
+    plain = [f"w{i}" for i in range(2_000)]
+    for size, kept in ((50, True), (51, False)):
+        text = " ".join(plain + plain[100:100 + size])
+        verdict = next(repetition.judge([text], repetition.Limits()))
+        assert (verdict["base_failed"][0], verdict["kept"][0]) == (False, kept)
+
+
 # 8 line dedup
 
 
