@@ -6,9 +6,10 @@ weights. Weights are one array of ``SIZE`` numbers, whatever the data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 
 BITS = 16
 SIZE = 1 << BITS
-REMEMBERED = 400_000
+#: Words that a task remembers; bounds its memory.
+REMEMBERED = 100_000
+#: Documents whose vectors leave a task together.
+VECTOR_ROWS = 200
 
 #: Features of a text: (word features by word, with their factor), and features of the whole text.
 Features = Callable[[str], tuple[dict[str, float], list[str]]]
@@ -27,18 +31,38 @@ def cell(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) & (SIZE - 1)
 
 
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of :data:`VECTOR_ROWS` documents at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, VECTOR_ROWS):
+            yield batch.slice(at, VECTOR_ROWS)
+
+
 class Extractor:
     """Turns texts into sparse vectors, or scores them with given weights."""
 
     def __init__(self, word_features: Callable[[str], list[str]], features: Features):
         self.word_features, self.features = word_features, features
+        self.cells: dict[str, list[int]] = {}
+
+    def _cells(self, word: str) -> list[int]:
+        """The cells of a word's features; words met again are remembered."""
+        found = self.cells.get(word)
+        if found is None:
+            if len(self.cells) > REMEMBERED:
+                self.cells.clear()
+            found = self.cells[word] = [cell(f) for f in self.word_features(word)]
+        return found
+
+    def __reduce__(self):
+        return Extractor, (self.word_features, self.features)
 
     def vector(self, text: str) -> tuple[list[int], list[float]]:
         found: dict[int, float] = {}
         parts, whole = self.features(text)
         for word, factor in parts.items():
-            for f in self.word_features(word):
-                found[cell(f)] = found.get(cell(f), 0.0) + factor
+            for c in self._cells(word):
+                found[c] = found.get(c, 0.0) + factor
         for f in whole:
             found[cell(f)] = found.get(cell(f), 0.0) + 1.0
         at = sorted(found)
@@ -47,16 +71,17 @@ class Extractor:
     def scorer(self, weights: np.ndarray, intercept: float) -> Callable[[str], float]:
         """P(label 1) of a text."""
         sums: dict[str, float] = {}
+        values = weights.tolist()
 
         def score(text: str) -> float:
             parts, whole = self.features(text)
-            total = intercept + sum(float(weights[cell(f)]) for f in whole)
+            total = intercept + sum(values[cell(f)] for f in whole)
             if len(sums) > REMEMBERED:
                 sums.clear()
             for word, factor in parts.items():
                 one = sums.get(word)
                 if one is None:
-                    one = sums[word] = float(sum(weights[cell(f)] for f in self.word_features(word)))
+                    one = sums[word] = sum([values[cell(f)] for f in self.word_features(word)])
                 total += factor * one
             return 1 / (1 + np.exp(-max(-30.0, min(30.0, total))))
 

@@ -117,7 +117,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sample = docs.select(text_of(text).alias("text"), *order).join(F.broadcast(chosen.distinct()), "h").select("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in hashed_linear.small(batches):
             texts = batch.column(0).to_pylist()
             vectors = [EXTRACTOR.vector(t) for t in texts]
             p = model.posterior(np.array([vote(t) for t in texts])) if texts else []

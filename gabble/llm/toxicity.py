@@ -73,8 +73,9 @@ def vote(text: str, label: int | None, strong: frozenset[str], weak: frozenset[s
     parts = bare(text)
     distinct = set(parts)
     insults = [w for w in parts if w in PERSONS or w in QUALITIES]
-    marked = [w for w in distinct if w in strong or any(s in strong for s in stems(w))]
-    hinted = [w for w in distinct if w in weak or any(s in weak for s in stems(w))]
+    forms = [(w, *stems(w)) for w in distinct]
+    marked = [f for f in forms if not strong.isdisjoint(f)]
+    hinted = [f for f in forms if not weak.isdisjoint(f)]
     near = any(a in ADDRESS and (b in PERSONS or b in QUALITIES) for a, b in zip(parts, parts[1:]))
     near = near or any(a in ADDRESS and (b in PERSONS or b in QUALITIES) for a, b in zip(parts, parts[2:]))
     return [int(bool(distinct & PERSONS)), int(bool(distinct & QUALITIES)), int(len(insults) > 1),
@@ -98,17 +99,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
 def lexicons(train: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """Stems and words that mark toxic texts: strong ones (nearly only there), weak ones (mostly there)."""
 
+    def rows(clean: Counter, toxic: Counter) -> pa.RecordBatch:
+        seen = list(clean.keys() | toxic.keys())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(seen, pa.string()), pa.array([clean[s] for s in seen], pa.int64()),
+             pa.array([toxic[s] for s in seen], pa.int64())], names=["stem", "clean", "toxic"])
+
     def run(batches):
-        counted: dict[str, list[int]] = {}
+        sides = Counter(), Counter()
         for batch in batches:
             for body, label in zip(*(c.to_pylist() for c in batch.columns)):
-                for s in {s for w in set(bare(body)) for s in (w, *stems(w))}:
-                    one = counted.setdefault(s, [0, 0])
-                    one[label > 0] += 1
-        if counted:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counted)), pa.array([x[0] for x in counted.values()], pa.int64()),
-                 pa.array([x[1] for x in counted.values()], pa.int64())], names=["stem", "clean", "toxic"])
+                sides[label > 0].update({s for w in set(bare(body)) for s in (w, *stems(w))})
+                if len(sides[0]) + len(sides[1]) > hashed_linear.REMEMBERED:  # partial sums, to bound the memory
+                    yield rows(*sides)
+                    sides = Counter(), Counter()
+        yield rows(*sides)
 
     total = train.agg(F.sum((F.col("label") > 0).cast("int")), F.count(F.lit(1))).first()
     if not total[0] or total[0] == total[1]:
@@ -129,7 +134,7 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float, label_model.LabelModel]:
     strong, weak = lexicons(train)
 
     def run(batches):
-        for batch in batches:
+        for batch in hashed_linear.small(batches):
             votes, cells, factors = [], [], []
             for body, label in zip(*(c.to_pylist() for c in batch.columns)):
                 votes.append(vote(body, label, strong, weak))
