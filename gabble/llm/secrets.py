@@ -1,10 +1,10 @@
 """Secret scan: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a value assigned to a name such as ``token``, or any run of 12 or more key characters with a
-digit. Its features: length; character transitions (mean log probability of its byte pairs under the pairs of
+A candidate is a value assigned to a name such as ``token`` or ``dbPassword`` (a quoted one up to its quote), a known
+key format, what follows ``bearer``, or any run of 12 or more key characters with a digit. Its features: length; character transitions (mean log probability of its byte pairs under the pairs of
 the whole corpus, and entropy); dictionary coverage (share of it that common four-letter pieces of the corpus
 cover); path (words of the document's source or path); neighbouring words (names of credentials, of harmless
-values, assignment and quotes around it). The forest is trained on labelled findings, at most ``max_labels``
+values, assignment and quotes around it); known key format; a credential's name directly before it. The forest is trained on labelled findings, at most ``max_labels``
 of them, chosen by hash; everything else covers all data.
 
 Edge cases: null and empty texts have no candidates; a null path has no words; if the findings hold one class
@@ -33,21 +33,37 @@ MAX_LABELS = 20_000
 THRESHOLD = 0.5
 
 _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+#: A name begins after a sign, or with a capital inside a name such as accessToken.
+_BEGIN = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
+_ASSIGNED = rf"{_BEGIN}{_NAMES}s?[\"']?\s{{0,8}}[=:]{{1,2}}>?\s{{0,8}}"
 _KEY = r"A-Za-z0-9+/_\-"
+#: Key formats that are known without a name.
+_FORMATS = (r"(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_\-]{20,}"
+            r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}"
+            r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
+            r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\\\-]{16,}?-----END [A-Z ]{0,30}PRIVATE KEY-----)")
+_BEARER = r"(?<![A-Za-z])bearer\s{1,8}"
+#: A quoted value goes up to its quote; a bare one to white space, a quote or the next name of a query string.
 CANDIDATE = re.compile(
-    rf"(?i:(?<![A-Za-z]){_NAMES}s?[\"']?\s{{0,8}}[=:]{{1,2}}>?\s{{0,8}}[\"']?)(?P<named>[{_KEY}.=]{{6,}})"
+    rf"(?i:{_ASSIGNED})(?:(?P<quote>[\"'])(?P<quoted>(?:(?!(?P=quote))[^\r\n]){{6,}})(?=(?P=quote))"
+    rf"|[\"']?(?P<named>(?:[^\s\"',;&<>(){{}}\[\]`]|&(?![A-Za-z_][\w.\-]{{0,64}}=)){{6,}}(?<![.:!?])))"
+    rf"|(?<![{_KEY}.])(?P<format>{_FORMATS})"
+    rf"|(?i:{_BEARER})(?P<bearer>[{_KEY}.~]{{12,}}={{0,2}})"
     rf"|(?<![{_KEY}])(?P<free>[{_KEY}]*[0-9][{_KEY}]*={{0,2}})")
+FORMAT = re.compile(_FORMATS)
+#: The text before a value that a credential's name or the word bearer introduces.
+NAMED = re.compile(rf"(?i)(?:{_ASSIGNED}[\"']?|{_BEARER})$")
 MIN_FREE = 12
 NEAR = 48
 
-CREDENTIAL_WORDS = re.compile(rf"(?i)(?<![A-Za-z]){_NAMES}s?(?![A-Za-z])")
+CREDENTIAL_WORDS = re.compile(rf"(?i){_BEGIN}{_NAMES}s?(?![A-Za-z])")
 HARMLESS_WORDS = re.compile(r"(?i)\b(?:sha\d*|md5|commit|revision|uuid|guid|checksum|hash|digest|id|isbn|issn|doi|"
                             r"phone|tel|fax|order|card|invoice|version|date|example|sample|dummy|placeholder|test)\b")
 TEST_PATH = re.compile(r"(?i)(?:test|spec|example|sample|fixture|mock|demo|docs?)\b")
 CONFIG_PATH = re.compile(r"(?i)(?:conf|config|settings|env|deploy|secrets?|ya?ml|properties|ini)\b")
 
 FEATURES = ("length", "transitions", "entropy", "coverage", "digits", "uppers", "classes_changes", "hex",
-            "credential_word", "harmless_word", "assigned", "quoted", "test_path", "config_path")
+            "credential_word", "harmless_word", "assigned", "quoted", "test_path", "config_path", "known_format", "named")
 
 FOUND = "doc_id {kind}, row_key long, start int, end int, value string, before string, after string, path string"
 
@@ -140,7 +156,8 @@ def features(value: str, before: str, after: str, path: str, pairs: np.ndarray,
             float(bool(CREDENTIAL_WORDS.search(near))), float(bool(HARMLESS_WORDS.search(near))),
             float(bool(re.search(r"[=:]>?\s*[\"']?$", before))),
             float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]),
-            float(bool(TEST_PATH.search(path))), float(bool(CONFIG_PATH.search(path)))]
+            float(bool(TEST_PATH.search(path))), float(bool(CONFIG_PATH.search(path))),
+            float(bool(FORMAT.fullmatch(value))), float(bool(NAMED.search(before)))]
 
 
 def measured(found: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -157,14 +174,18 @@ def measured(found: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFra
 
 def train(labelled: DataFrame, max_labels: int = MAX_LABELS, seed: int = 7):
     """A forest on ``features, label`` (the constant class if there is only one)."""
-    picked = written(labelled.select("features", F.col("label").cast("double").alias("label"),
-                                     F.xxhash64("features", "label").alias("h"))
-                     .orderBy("h").limit(max_labels), "labelled")
-    seen = {r.label for r in picked.groupBy("label").count().collect()}
+    rows = labelled.select("features", F.col("label").cast("double").alias("label"), F.xxhash64("features", "label").alias("h"))
+    seen = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
-        return seen.pop() if seen else 0.0
-    forest = RandomForestClassifier(numTrees=24, maxDepth=6, seed=seed, labelCol="label", featuresCol="vector")
-    return forest.fit(picked.withColumn("vector", array_to_vector("features")))
+        return next(iter(seen), 0.0)
+    # Secrets are rare: all of them to half the bound (more if there are few others), the rest a sample of the others.
+    n = min(seen[1.0], max(max_labels // 2, max_labels - seen[0.0]))
+    others = min(seen[0.0], max_labels - n)
+    picked = written(rows.where("label = 1").orderBy("h").limit(n)
+                     .unionByName(rows.where("label = 0").orderBy("h").limit(others)), "labelled")
+    forest = RandomForestClassifier(numTrees=24, maxDepth=6, seed=seed, labelCol="label", featuresCol="vector", weightCol="weight")
+    weight = F.when(F.col("label") == 1, F.lit(max(1.0, others / n))).otherwise(F.lit(1.0))
+    return forest.fit(picked.withColumn("vector", array_to_vector("features")).withColumn("weight", weight))
 
 
 def scored(found: DataFrame, model) -> DataFrame:
@@ -176,12 +197,21 @@ def scored(found: DataFrame, model) -> DataFrame:
         "vector", "rawPrediction", "probability", "prediction")
 
 
-#: Labelled findings where no reviewed table is given: the reviewers' rule. A value that a credential's name
-#: is assigned to is a secret if it has the looks of a key; all other candidates are false positives.
+#: Values that stand for a secret without being one.
+_STANDIN = r"(?i)example|sample|dummy|placeholder|change_?me|your[_-]|x{6}|\*{4}|^\$|\{\{|^<|%s"
+
+
+#: Labelled findings where no reviewed table is given: the reviewers' rule. A known key format is a secret, and so is
+#: a value with a letter and a digit or sign that follows a credential's name; stand-ins and all others are not.
 def reviewed(found: DataFrame) -> DataFrame:
-    named = F.col("before").rlike(rf"(?i)(?<![A-Za-z]){_NAMES}s?[\"']?\s*[=:]{{1,2}}>?\s*[\"']?$")
-    keylike = (F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    return found.withColumn("label", (named & keylike).cast("int"))
+    facts = dict(zip(FEATURES, range(len(FEATURES))))
+    known = F.col("features")[facts["known_format"]] == 1
+    named = F.col("features")[facts["named"]] == 1
+    keylike = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike(r"[0-9!@#$%^&*+=?~|\\]")
+    # A value with a space is a phrase unless it has a digit and a sign.
+    phrase = F.col("value").rlike(r"\s") & ~(F.col("value").rlike("[0-9]") & F.col("value").rlike(r"[!@#$%^&*+=?~|\\]"))
+    standin = F.col("value").rlike(_STANDIN)
+    return found.withColumn("label", (known | (named & keylike & ~phrase & ~standin)).cast("int"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source",
