@@ -11,6 +11,15 @@ Result, exactly: a line is deleted if it lies in a run of lines with ``min_words
 occurs earlier, in a text with a smaller id or further up in the same text. Lines are equal if their words
 are. The first occurrence of each run stays.
 
+Passages that start or end inside a line, or have other line breaks, are found by words. A text's words are a
+sequence of hashes; of the ``GRAM``-word hashes inside each window of ``min_words`` words the smallest is elected, so
+that equal windows elect equal hashes. Only elected hashes leave the tasks. Texts that share one with another text, or
+repeat one, are read again: their windows around it are grouped by the hash of the whole window, and those that
+occur earlier overlap to the full length of the passage, on both sides, word by word.
+
+So exactly: a word outside deleted lines is cut if it lies in a run of ``min_words`` words or more that also
+occurs earlier. A line of which no word is left goes too.
+
 Edge cases: null or empty texts have no runs and stay as they are; a null id counts as smaller than all
 others; rows that repeat an id with another text are ordered by text hash, and of equal rows all stay or
 none, as they are one text; an empty table gives an empty result. Other columns pass through ``clean``.
@@ -18,9 +27,12 @@ none, as they are one text; an empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 from struct import pack
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +44,11 @@ from gabble.session import written
 #: Words in a run of lines from which on a repetition is deleted.
 MIN_WORDS = 10
 
+#: Words of an elected hash.
+GRAM = 5
+#: Windows that leave a task at a time.
+STEP = 1 << 16
+
 WINDOWS = "doc_id long, row_key long, fingerprint long, window long, first int, last int, again boolean"
 
 
@@ -115,36 +132,169 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")))
 
 
-def _without(text: str, spans: str):
-    """The text without the lines in ``spans``."""
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.exists(
-        F.col(spans), lambda s: (i >= s["first"]) & (i <= s["last"])))
-    return F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+def _grams(parts: list[bytes], size: int) -> np.ndarray:
+    """A hash of each ``size`` words in a row."""
+    n = len(parts) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    one = np.fromiter(map(digest, parts), np.uint64, len(parts))
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + one[k:k + n]
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def elected(parts: list[bytes], min_words: int) -> np.ndarray:
+    """The hash that each window of ``min_words`` words elects, in order."""
+    size = min(GRAM, min_words)
+    grams = _grams(parts, size)
+    n = len(parts) - min_words + 1
+    if n < 1:
+        return grams[:0]
+    least = grams[:n].copy()
+    for k in range(1, min_words - size + 1):
+        np.minimum(least, grams[k:k + n], out=least)
+    return least
+
+
+def _occurrences(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elected hashes, and whether windows elect them at places apart (a run of neighbours counts once)."""
+    starts = least[np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))] if len(least) else least
+    values, counts = np.unique(starts, return_counts=True)
+    return values, counts > 1
+
+
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, row_key, cuts``: for each text with repeated passages the [first, end) words to cut."""
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("row_key"),
+                         text_of(text).alias("text"))
+
+    def elect(batches):
+        for batch in batches:
+            found = [_occurrences(elected(words(body), min_words)) for body in batch.column(1).to_pylist()]
+            if found:
+                keys = np.repeat(batch.column(0).to_numpy(), [len(values) for values, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([v for v, _ in found]).view(np.int64)), pa.array(keys),
+                     pa.array(np.concatenate([a for _, a in found]))], names=["gram", "row_key", "again"])
+
+    grams = picked.select("row_key", "text").mapInArrow(elect, "gram long, row_key long, again boolean")
+    shared = written(grams.groupBy("gram").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b"),
+                                               F.max("again").alias("again")).where("a < b or again").select("gram"), "grams")
+    known = written(grams.select("gram", "row_key").join(shared, "gram").groupBy("row_key")
+                    .agg(F.collect_set("gram").alias("grams")), "known")
+
+    def window(batches):
+        for batch in batches:
+            ids, keys, texts, grams = batch.columns
+            held, n_held = [], 0
+            for k, (body, own) in enumerate(zip(texts.to_pylist(), grams)):
+                parts, own = words(body), own.values.to_numpy()
+                at = np.flatnonzero(np.isin(elected(parts, min_words).view(np.int64), own))
+                hashes = _grams(parts, min_words)[at].view(np.int64)
+                _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+                again = first[place] != np.arange(len(at))
+                held.append((np.full(len(at), k), hashes, at, again))
+                n_held += len(at)
+                if n_held >= STEP:
+                    yield from rows(ids, keys, held)
+                    held, n_held = [], 0
+            yield from rows(ids, keys, held)
+
+    def rows(ids, keys, held):
+        if held:
+            of, hashes, at, again = (np.concatenate(c) for c in zip(*held))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(hashes), pa.array(at.astype(np.int32)), pa.array(again)],
+                names=["doc_id", "row_key", "window", "first", "again"])
+
+    found = written(picked.join(known, "row_key").select("doc_id", "row_key", "text", "grams").mapInArrow(
+        window, "doc_id long, row_key long, window long, first int, again boolean"), "passages")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "row_key")
+    # A window is repeated if two texts have it; the smallest id, then text hash, is the source.
+    sources = written(found.groupBy("window").agg(F.min(place).alias("source"), F.min("row_key").alias("a"),
+                                                  F.max("row_key").alias("b")).where("a < b").drop("a", "b"), "origins")
+    later = found.join(sources, "window").where(place > F.col("source")).select("doc_id", "row_key", "first")
+    later = later.unionByName(found.where("again").select("doc_id", "row_key", "first"))
+    merged = F.aggregate(
+        F.array_sort(F.collect_set("first")), F.array().cast("array<struct<first:int,end:int>>"),
+        lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1)["end"] >= x),
+                            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(
+                                F.element_at(s, -1)["first"].alias("first"), (x + min_words).alias("end")))))
+        .otherwise(F.concat(s, F.array(F.struct(x.alias("first"), (x + min_words).alias("end"))))))
+    return later.groupBy("doc_id", "row_key").agg(merged.alias("cuts"))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*")
+
+
+def cut(text: str, spans: list[tuple[int, int]], cuts: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the lines in ``spans`` and the words in ``cuts``, and how many words went beyond the lines."""
+    lines = text.split("\n")
+    gone = np.zeros(len(lines), bool)
+    for a, b in spans:
+        gone[a:b + 1] = True
+    counts = [len(words(line)) for line in lines]
+    dropped = np.zeros(sum(counts), bool)
+    for a, b in cuts:
+        dropped[a:b] = True
+    left, at, n_cut = [], 0, 0
+    for line, n, whole in zip(lines, counts, gone.tolist()):
+        marks, at = dropped[at:at + n], at + n
+        if whole:
+            continue
+        if marks.any():
+            n_cut += int(marks.sum())
+            if marks.all():
+                continue
+            drop = iter(marks.tolist())
+            line = _WORD.sub(lambda m: "" if next(drop) else m[0], line)
+        left.append(line)
+    return "\n".join(left), n_cut
+
+
+def _left(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """``docs`` with ``_spans``, and ``_left``: what is left of the text, and the number of words cut inside lines."""
+    keys = [doc_id, "_row_key"]
+    spans = repeated_spans(docs, doc_id, text, min_words)
+    cuts = passages(docs, doc_id, text, min_words)
+    # One row per text, so that the texts are joined once.
+    both = (spans.withColumn("cuts", F.lit(None).cast(cuts.schema["cuts"].dataType)).unionByName(
+        cuts.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+        .groupBy("doc_id", "row_key").agg(F.first("spans", True).alias("_spans"), F.first("cuts", True).alias("_cuts")))
+    both = written(both.withColumnsRenamed({"doc_id": doc_id, "row_key": "_row_key"}), "repeats")
+    joined = by_id(docs.withColumn("_row_key", row_key(doc_id, text)), both, keys)
+
+    @F.pandas_udf("text string, n_cut long")
+    def rest(body: pd.Series, spans: pd.Series, cuts: pd.Series) -> pd.DataFrame:
+        pairs = [[tuple(s.values()) for s in x] if x is not None else [] for x in spans], [
+            [tuple(c.values()) for c in x] if x is not None else [] for x in cuts]
+        return pd.DataFrame([cut(b, s, c) for b, s, c in zip(body, *pairs)], columns=["text", "n_cut"])
+
+    touched = F.col("_spans").isNotNull() | F.col("_cuts").isNotNull()
+    # Texts that stay whole do not travel to Python.
+    return joined.withColumn("_left", rest(F.when(touched, text_of(text)).otherwise(F.lit("")), "_spans", "_cuts")).withColumn(
+        "_left", F.struct(F.when(touched, F.col("_left.text")).otherwise(F.col(text)).alias("text"), F.col("_left.n_cut").alias("n_cut")))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
           min_words: int = MIN_WORDS) -> DataFrame:
-    """All documents with later repeated runs cut out of their text; the columns stay the same."""
-    spans = repeated_spans(docs, doc_id, text, min_words).select(
-        F.col("doc_id").alias(doc_id), F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
-    joined = by_id(keyed, spans, [doc_id, "_row_key"])
-    return joined.withColumn(text, _without(text, "_spans")).select(*docs.columns)
+    """All documents with later repeated lines and passages cut out of their text; the columns stay the same."""
+    return _left(docs, doc_id, text, min_words).withColumn(text, F.col("_left.text")).select(*docs.columns)
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
            min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, n_lines, n_deleted, kept_sha256`` per document."""
-    spans = repeated_spans(docs, doc_id, text, min_words)
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"),
-                        text_of(text).alias("text"))
-    joined = by_id(keyed, spans, ["doc_id", "row_key"]).withColumn("left", _without("text", "spans"))
-    lines = F.size(F.split("text", "\n", -1))
+    """``doc_id, n_lines, n_deleted, n_cut_words, kept_sha256`` per document; words cut are those outside deleted lines."""
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    joined = _left(picked, "doc_id", "text", min_words)
+    lines = F.size(F.split(text_of("text"), "\n", -1))
     gone = F.aggregate(  # spans are sorted, so that each line counts once
-        F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")),
+        F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>")),
         F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at")),
         lambda s, x: F.struct((s["n"] + F.greatest(x["last"] - F.greatest(s["at"], x["first"] - 1), F.lit(0))).alias("n"),
                               F.greatest(s["at"], x["last"]).alias("at")))["n"]
     return joined.select("doc_id", lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"),
-                         F.sha2("left", 256).alias("kept_sha256"))
+                         F.col("_left.n_cut").alias("n_cut_words"), F.sha2(F.coalesce("_left.text", F.lit("")), 256).alias("kept_sha256"))
