@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gabble.llm import near_sets, packing, repetition, secrets, winnow
+from gabble.llm import packing, repetition, secrets, simhash, winnow
 from gabble.session import configure, written
 
 
@@ -24,9 +24,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group whose fingerprints of four-word shingles are linked by four differing bits or fewer."""
     configure(spark)
-    return near_sets.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
