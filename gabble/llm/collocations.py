@@ -42,8 +42,8 @@ SCALE = 1_000_000
 TRIGGER = 16
 #: Bits of the bitmap per phrase, and its largest size.
 BITS, MAX_BITS = 16, 1 << 30
-#: Bytes of text that are parsed, and words that are counted, at a time.
-TEXT_STEP, WORD_STEP = 1 << 22, 1 << 19
+#: Bytes of text that are parsed, and words that are counted, at a time (a larger text or chunk stands alone).
+TEXT_STEP, WORD_STEP = 1 << 22, 1 << 20
 
 #: A-Z are lower-cased, these end a piece, and these separate words.
 _ENDS, _GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -52,11 +52,17 @@ _PLAIN = bytes(10 if b in _ENDS else 32 if b in _GAPS else b + 32 if 65 <= b <=
 _BUCKET = 1 << 15
 
 
-def _hashes(values: pa.Array) -> np.ndarray:
-    """Hashes of an array of strings, each distinct one hashed once."""
-    coded = values.dictionary_encode()
-    of = np.fromiter((xxhash.xxh64_intdigest(v, 42) for v in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return of[coded.indices.to_numpy()]
+def _hashes(distinct: pa.Array) -> np.ndarray:
+    values = distinct.cast(pa.binary()).to_pylist()
+    return np.fromiter((xxhash.xxh64_intdigest(v, 42) for v in values), np.uint64, len(values))
+
+
+def _phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases by those of their first, second, ... words."""
+    out = words[0]
+    for more in words[1:]:
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + more
+    return out
 
 
 def _joined(lists: pa.Array) -> pa.Array:
@@ -75,7 +81,8 @@ def parse(langs: list[str], texts: list[bytes], max_words: int = MAX_WORDS, trig
     if not n:
         return pa.table({"lang": pa.array([], pa.string()), "chunk": pa.array([], pa.string()), "owned": pa.array([], pa.int32()),
                          "n": pa.array([], pa.int64())})
-    starts = _hashes(words) % np.uint64(trigger) == 0
+    coded = words.dictionary_encode()
+    starts = (_hashes(coded.dictionary) % np.uint64(trigger) == 0)[coded.indices.to_numpy()]
     new = np.concatenate([[True], piece[1:] != piece[:-1]])
     start = np.flatnonzero(starts | new)
     piece_end = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new)[start] - 1]
@@ -105,31 +112,48 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", max_word
     return found.groupBy("lang", "chunk", "owned").agg(F.sum("n").alias("n"))
 
 
-def _phrases(batch: pa.RecordBatch, size: int, known: list[np.ndarray]) -> pa.Table:
+def _phrases(batch: pa.Table, size: int, known: list[np.ndarray]) -> pa.Table:
     """``lang, phrase, n`` of some distinct chunks; ``known`` are the bitmaps of the parts of 1, 2, ... words."""
-    split = pc.split_pattern(batch.column("chunk"), " ")
+    split = pc.split_pattern(batch.column("chunk").chunk(0), " ")
     words, chunk = split.flatten(), pc.list_parent_indices(split).to_numpy()
-    first = split.offsets.to_numpy()[:-1]
-    n = len(words)
-    owned = np.arange(n) - first[chunk] < batch.column("owned").to_numpy()[chunk]
-    parts, at = words, np.arange(n)  # the parts of k words that start at these places
+    coded = words.dictionary_encode()
+    code, n = coded.indices.to_numpy(), len(words)
+    of_word = _hashes(coded.dictionary)[code] if known else None
+    at = np.arange(n)  # where the parts of k words start that may be frequent
     for k, bits in enumerate(known, 1):
-        cell = _hashes(parts) & np.uint64(len(bits) * 8 - 1)
+        cell = _phrase_hashes([of_word[at + j] for j in range(k)]) & np.uint64(len(bits) * 8 - 1)
         fine = np.zeros(n + 1, bool)
         fine[at] = bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1 != 0
         # A phrase of one word more needs both parts of k words, in one chunk.
         at = at[fine[at] & fine[at + 1]]
         at = at[at + k < n]
         at = at[chunk[at] == chunk[at + k]]
-        if k == size - 1:
-            at = at[owned[at]]
-        parts = pc.binary_join_element_wise(*[words.take(pa.array(at + j)) for j in range(k + 1)], " ")
-    if size == 1:
-        at = np.flatnonzero(owned)
-        parts = words.take(pa.array(at))
-    of = pa.array(chunk[at])
-    return (pa.table({"lang": batch.column("lang").take(of), "phrase": parts, "n": batch.column("n").take(of)})
-            .group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"]))
+    first = split.offsets.to_numpy()[:-1]
+    at = at[at - first[chunk[at]] < batch.column("owned").to_numpy()[chunk[at]]]
+    same = batch.column("lang").chunk(0).dictionary_encode().indices.to_numpy()[chunk[at]].astype(np.int64)
+    for j in range(size):  # number the distinct phrases so far, word by word
+        same = pa.array(same * len(coded.dictionary) + code[at + j]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    n_same = int(same.max()) + 1 if len(same) else 0
+    total = np.zeros(n_same, np.int64)
+    np.add.at(total, same, batch.column("n").to_numpy()[chunk[at]])
+    one = np.zeros(n_same, np.int64)
+    one[same[::-1]] = at[::-1]
+    phrase = pc.binary_join_element_wise(*[words.take(pa.array(one + j)) for j in range(size)], " ")
+    return pa.table({"lang": batch.column("lang").take(pa.array(chunk[one])), "phrase": phrase, "n": pa.array(total)})
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Small batches put together, so that each holds about ``WORD_STEP`` words."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += pc.sum(pc.count_substring(batch.column("chunk"), " ")).as_py() or 0
+        n += batch.num_rows
+        if n >= WORD_STEP:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _level(chunked: DataFrame, size: int, known: list) -> DataFrame:
@@ -137,10 +161,8 @@ def _level(chunked: DataFrame, size: int, known: list) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         maps = [np.frombuffer(k.value, np.uint8) for k in known]
-        for batch in batches:
-            sizes = pc.add(pc.count_substring(batch.column("chunk"), " "), 1).to_pylist()
-            for a, b in chunks(sizes, WORD_STEP):
-                yield from _phrases(batch.slice(a, b - a), size, maps).to_batches()
+        for table in _gathered(batches):
+            yield from _phrases(table, size, maps).combine_chunks().to_batches()
 
     return (chunked.mapInArrow(run, "lang string, phrase string, n long")
             .groupBy("lang", "phrase").agg(F.sum("n").alias("f")))
@@ -149,11 +171,22 @@ def _level(chunked: DataFrame, size: int, known: list) -> DataFrame:
 def _bitmap(phrases: DataFrame):
     """A broadcast bitmap with the hash of every phrase."""
     bits = min(1 << max(16, (BITS * phrases.count()).bit_length()), MAX_BITS)
-    cell = F.xxhash64("phrase").bitwiseAND(F.lit(bits - 1))
-    rows = phrases.groupBy(F.floor(cell / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(cell % _BUCKET).alias("map"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                split = pc.split_pattern(batch.column("phrase"), " ")
+                coded = split.flatten().dictionary_encode()
+                words = _hashes(coded.dictionary)[coded.indices.to_numpy()].reshape(batch.num_rows, -1)
+                cell = _phrase_hashes(list(words.T)) & np.uint64(bits - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64))], names=["cell"])
+
+    cells = phrases.select("phrase").mapInArrow(run, "cell long")
+    rows = cells.groupBy(F.floor(F.col("cell") / _BUCKET).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("cell") % _BUCKET).alias("map"))
     out = np.zeros(bits // 8, np.uint8)
     for bucket, part in rows.toLocalIterator():
-        out[bucket * _BUCKET // 8:][:_BUCKET // 8] = np.frombuffer(part, np.uint8)[:bits // 8]
+        out[bucket * _BUCKET // 8:][:_BUCKET // 8] = np.frombuffer(part, np.uint8)
     return phrases.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
