@@ -22,6 +22,8 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
     # A JSON object with a repeated member keeps the last value instead of being unreadable.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # An empty text where an object should stand means that there is none, as in a comment without replies.
+    "spark.sql.legacy.json.allowEmptyString.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
