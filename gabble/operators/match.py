@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from gabble import catalog
 from gabble.catalog import Entity
 from gabble.functions import text as T
+from gabble.session import written
 
 #: Search phrases up to which each is compared in code of its own.
 _UNROLLED = 64
+#: Search phrases up to which every text is compared with every phrase.
+_COMPARED = 1000
+#: Characters of the pieces by which texts and many phrases meet.
+_PIECE = 5
 
 
 def attach_entity(df: DataFrame, entities: DataFrame, columns: Iterable[str],
@@ -90,9 +95,12 @@ def search(df: DataFrame, entities: Iterable[Entity], text: str, keys: Iterable[
     """One row ``keys, persoon, query_index`` per text and search phrase it contains.
 
     The phrases are driver-side parameters, so they travel inside the expression: every text is
-    read once where it lies and only hits leave the task. There is no join and no shuffle.
+    read once where it lies and only hits leave the task. There is no join and no shuffle. Catalogs of
+    thousands go by :func:`search_many`, with the same result.
     """
     wanted = [(e.persoon, i, q) for e in entities for i, q in enumerate(e.search_queries)]
+    if len(wanted) > _COMPARED:
+        return search_many(df, df.sparkSession.createDataFrame(wanted, "persoon string, query_index int, phrase string"), text, keys)
     texts = df.filter(F.col(text).isNotNull()).select(*keys, T.fold(F.col(text)).alias("_text"))
 
     def hit(person: str, number: int) -> Column:
@@ -112,6 +120,44 @@ def search(df: DataFrame, entities: Iterable[Entity], text: str, keys: Iterable[
     )
 
 
+def search_many(df: DataFrame, phrases: DataFrame, text: str, keys: Iterable[str]) -> DataFrame:
+    """:func:`search` for a table of phrases (``persoon, query_index, phrase``) of any size.
+
+    A text that contains a phrase contains each of its pieces of ``_PIECE`` characters. So a phrase is looked up by the
+    piece that the fewest texts have, in an equi-join, and only the texts that meet it there are compared with it:
+    what a text costs depends on its length, not on the number of phrases. Phrases shorter than a piece are pieces
+    of their own. Null phrases match nothing, empty ones stop the job.
+    """
+    keys = list(keys)
+    texts = written(df.filter(F.col(text).isNotNull()).select(*keys, T.fold(F.col(text)).alias("_text"))
+                    .withColumn("_row", F.monotonically_increasing_id()), "texts")
+    folded = T.fold(F.col("phrase"))
+    asked = phrases.filter(F.col("phrase").isNotNull()).select("persoon", "query_index", F.when(
+        F.length(folded) > 0, folded).otherwise(F.raise_error(F.lit("empty search phrase"))).alias("_phrase"))
+    asked = written(asked.withColumn("_size", F.least(F.length("_phrase"), F.lit(_PIECE))), "phrases")
+
+    def pieces(of: str, size) -> Column:
+        """All pieces of a text, overlapping."""
+        return F.array_distinct(F.regexp_extract_all(of, F.concat(F.lit("(?s)(?=(.{"), size, F.lit("}))")), F.lit(1)))
+
+    of_phrase = asked.select("_phrase", F.explode(pieces("_phrase", F.col("_size").cast("string"))).alias("_piece")).distinct()
+    wanted = written(of_phrase, "pieces")
+    sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())  # at most _PIECE numbers
+    if not sizes:
+        return texts.join(asked, F.lit(False)).select(*keys, "persoon", "query_index")
+    of_text = F.concat(*[pieces("_text", F.lit(str(n))) for n in sizes])
+    met = written(texts.select("_row", F.explode(of_text).alias("_piece"))
+                  .join(wanted.select("_piece").distinct(), "_piece", "left_semi"), "met")
+    known = met.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # A phrase with a piece that no text has is in no text.
+    rarest = (wanted.join(known, "_piece", "left").groupBy("_phrase")
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("least"))
+              .filter("least.n > 0").select("_phrase", F.col("least._piece").alias("_piece")))
+    pairs = met.join(written(rarest, "rarest"), "_piece").select("_row", "_phrase")
+    found = (texts.join(pairs, "_row").filter(F.col("_text").contains(F.col("_phrase"))).select(*keys, "_phrase"))
+    return found.join(asked.select("_phrase", "persoon", "query_index"), "_phrase").select(*keys, "persoon", "query_index")
+
+
 def filter_allowlist(df: DataFrame, names: Iterable[str] = catalog.SUBREDDIT_ALLOWLIST) -> DataFrame:
     """Keep rows of the listed subreddits."""
     return df.filter(F.col("subreddit").isin(*names))

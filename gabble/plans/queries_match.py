@@ -91,6 +91,17 @@ def search_phrases(spark, d):
     return match.search(B.comments(spark, d), B.PEOPLE, "comment", ["comment_id"])
 
 
+@query(f"""WITH asked AS (SELECT DISTINCT 'b' || item_id AS persoon, CAST(k AS INTEGER) AS query_index,
+    {fold_sql("substr(text, k * 40 + 1, 3 + 5 * (k + 1))")} AS phrase
+    FROM benchmark, (SELECT unnest(range(6)) AS k) WHERE length(text) > k * 40)
+  SELECT doc_id, persoon, query_index FROM documents, asked WHERE contains({fold_sql('text')}, phrase)""")
+def search_many_names(spark, d):
+    """Six phrases of each benchmark item, of 8 to 33 characters, in all documents."""
+    asked = B.table(spark, d, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).where(
+        "length(text) > k * 40").selectExpr("concat('b', item_id) AS persoon", "k AS query_index", "substr(text, k * 40 + 1, 3 + 5 * (k + 1)) AS phrase")
+    return match.search_many(B.table(spark, d, "documents"), asked.distinct(), "text", ["doc_id"])
+
+
 @query(sql(f"WITH {_HITS} SELECT persoon, thread_id, title, score, tier FROM tiered",
            "people", "threads", "thread_comments"))
 def join_tier_theta(spark, d):

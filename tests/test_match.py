@@ -112,3 +112,45 @@ def test_collection_flow(spark):
         ("sven", "1", 1, "man"), ("sven", "3", 2, "man")]
     only_first = flows.collect_comments(found, comments, SKATERS, limit=1)
     assert values(only_first, "comment_id") == ["1"]
+
+
+def plain_search(texts, phrases):
+    return sorted((i, p, q) for i, t in texts for p, q, x in phrases
+                  if t is not None and x is not None and fold_by_hand(x) in fold_by_hand(t))
+
+
+def fold_by_hand(text):
+    return text.lower().translate(str.maketrans("üöäéèë", "uoaeee"))
+
+
+def test_many_phrases_equal_the_plain_search(spark):
+    import random
+
+    draw = random.Random(4)
+    words = ["Jan", "de", "Vries", "Müller", "a", "é", "x\ny", "ice", "race", "😀"]
+    texts = [(i, " ".join(draw.choices(words, k=draw.choice([0, 1, 6, 60])))) for i in range(120)] + [(200, None), (201, "")]
+    texts += [(300 + i, "jan de vries") for i in range(100)]
+    phrases = [(f"p{i}", i % 3, " ".join(draw.choices(words, k=draw.choice([1, 2, 3])))) for i in range(150)]
+    phrases += [("short", 0, "J"), ("same", 1, "de"), ("none", 0, None), ("absent", 0, "nobody at all")]
+    df = spark.createDataFrame(texts, "id long, comment string").repartition(4)
+    found = match.search_many(df, spark.createDataFrame(phrases, "persoon string, query_index int, phrase string"), "comment", ["id"])
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == plain_search(texts, phrases)
+
+
+def test_fifty_thousand_names(spark):
+    from dataclasses import replace
+
+    from gabble.catalog import SKATERS
+
+    people = [replace(SKATERS[0], persoon=f"person {i}", search_queries=(f"Name{i} Family{i * 7}", f"n{i}f")) for i in range(25_000)]
+    texts = [(i, f"so NAME{i * 5} family{i * 35} skated, n{i}f too") for i in range(400)]
+    found = match.search(spark.createDataFrame(texts, "id long, comment string"), people, "comment", ["id"])
+    want = sorted([(i, f"person {i * 5}", 0) for i in range(400)] + [(i, f"person {i}", 1) for i in range(400)])
+    assert sorted(tuple(r) for r in found.collect() if r.query_index == 0 or r.persoon == f"person {r.id}") == want
+
+
+def test_an_empty_phrase_stops_the_job(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, comment string")
+    with pytest.raises(Exception, match="empty search phrase"):
+        match.search_many(df, spark.createDataFrame([("p", 0, "")], "persoon string, query_index int, phrase string"), "comment", ["id"])
