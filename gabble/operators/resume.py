@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gabble.operators.select import last_per_key
+from gabble.session import written
 
 #: A comment can belong to two persons, so every score is keyed by both.
 SCORE_KEY = ("comment_id", "persoon")
@@ -41,6 +42,36 @@ def unlabelled(df: DataFrame, saved: DataFrame, label: str,
     return remaining(df, labelled, keys)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """Rows numbered from 0 on in the given order, which must be unique for the numbers to be so.
+
+    The rows are sorted in ranges that stay where they are; only the number of rows of each range, one row a task,
+    is added up. No task sees more than its range.
+    """
+    laid = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "numbered")
+    shifts, total = [], 0
+    for part, first, n in sorted(laid.groupBy("_part").agg(F.min("_row"), F.count(F.lit(1))).collect()):
+        shifts.append((part, total - first))
+        total += n
+    shift = df.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+    return (laid.join(F.broadcast(shift), "_part").withColumn(name, F.col("_row") + F.col("_shift"))
+            .drop("_part", "_row", "_shift"))
+
+
+def attach_by_position(df: DataFrame, saved: DataFrame, label: str, order: Sequence[str], saved_order: Sequence[str]) -> DataFrame:
+    """``df`` with ``position``, the saved ``label`` of the row at the same position, and ``to_do``.
+
+    For saved columns that carry no key. Work went from the top, so as many rows as are filled are done and ``to_do``
+    marks the others; a shorter saved table leaves nulls, rows beyond the end of ``df`` are ignored.
+    """
+    rows = numbered(df, *order)
+    labels = numbered(saved.select(*dict.fromkeys([*saved_order, label])), *saved_order).select("position", label)
+    joined = written(rows.join(labels, "position", "left"), "attached")
+    filled = joined.agg(F.count(label)).first()[0]
+    return joined.withColumn("to_do", F.col("position") >= filled)
+
+
 def append_results(done: DataFrame, new: DataFrame) -> DataFrame:
     """Earlier and new results as one table; columns only one side has are null on the other."""
     return done.unionByName(new, allowMissingColumns=True)

@@ -329,6 +329,19 @@ def join_resume_keyed(spark, d):
         "comment_id", "persoon")
 
 
+@query(sql("""WITH c AS (
+    SELECT comment_id, persoon, row_number() OVER (ORDER BY ingest_order) - 1 AS position FROM comments),
+  s AS (SELECT label, row_number() OVER (ORDER BY ingest_order) - 1 AS position
+    FROM (SELECT ingest_order, nullif(subreddit, 'src3') AS label FROM comments WHERE ingest_order % 3 <> 0)),
+  joined AS (SELECT c.*, label FROM c LEFT JOIN s USING (position))
+  SELECT comment_id, persoon, position, label, position >= (SELECT count(label) FROM joined) AS to_do FROM joined""", "comments"))
+def join_resume_position(spark, d):
+    comments = B.comments(spark, d)
+    saved = comments.where("ingest_order % 3 <> 0").selectExpr("ingest_order AS line", "nullif(subreddit, 'src3') AS label")
+    return resume.attach_by_position(comments, saved, "label", ["ingest_order"], ["line"]).select(
+        "comment_id", "persoon", "position", "label", "to_do")
+
+
 @query(sql("""SELECT comment_id, c.persoon, coalesce(description, c.persoon) AS description
   FROM comments c LEFT JOIN (SELECT * FROM people WHERE persoon <> 'p5') USING (persoon)""",
            "comments", "people"))

@@ -131,3 +131,27 @@ def test_two_runs_equal_one(comments):
     rest = score.negative_flag(resume.remaining(comments, first)).select(once.columns)
     both = resume.append_results(first, rest)
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_a_saved_column_goes_back_by_position(spark, folder):
+    """Files of unequal size; the order is that of the line numbers, not of the files."""
+    from gabble.operators import resume
+
+    for name, (low, high) in {"a": (700, 1000), "b": (0, 5), "c": (5, 700)}.items():
+        spark.range(low, high).selectExpr("id AS line", "concat('text ', id) AS comment").write.parquet(f"{folder}/{name}")
+    rows = spark.read.parquet(f"{folder}/*")
+    saved = spark.range(10, 410).selectExpr("id * 3 AS at", "concat('label ', id - 10) AS label")
+    out = resume.attach_by_position(rows, saved, "label", ["line"], ["at"]).collect()
+    assert [(r.line, r.comment, r.label, r.to_do) for r in sorted(out, key=lambda r: r.position)] == [
+        (i, f"text {i}", f"label {i}" if i < 400 else None, i >= 400) for i in range(1000)]
+    assert sorted(r.position for r in out) == list(range(1000))
+
+
+def test_nothing_saved_yet(spark):
+    from gabble.operators import resume
+
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "line int, comment string")
+    none = spark.createDataFrame([], "at int, label string")
+    out = resume.attach_by_position(rows, none, "label", ["line"], ["at"])
+    assert sorted((r.position, r.comment, r.label, r.to_do) for r in out.collect()) == [(0, "a", None, True), (1, "b", None, True)]
+    assert resume.attach_by_position(rows.limit(0), none, "label", ["line"], ["at"]).collect() == []
