@@ -146,23 +146,23 @@ def _grams(parts: list[bytes], size: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def elected(parts: list[bytes], min_words: int) -> np.ndarray:
-    """The hash that each window of ``min_words`` words elects, in order."""
+def elected(parts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash that each window of ``min_words`` words elects, in order, and its leftmost place."""
     size = min(GRAM, min_words)
     grams = _grams(parts, size)
-    n = len(parts) - min_words + 1
-    if n < 1:
-        return grams[:0]
-    least = grams[:n].copy()
+    n = max(len(parts) - min_words + 1, 0)
+    least, place = grams[:n].copy(), np.arange(n)
     for k in range(1, min_words - size + 1):
-        np.minimum(least, grams[k:k + n], out=least)
-    return least
+        smaller = grams[k:k + n] < least
+        least[smaller] = grams[k:k + n][smaller]
+        place[smaller] = np.flatnonzero(smaller) + k
+    return least, place
 
 
-def _occurrences(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Elected hashes, and whether windows elect them at places apart (a run of neighbours counts once)."""
-    starts = least[np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))] if len(least) else least
-    values, counts = np.unique(starts, return_counts=True)
+def _occurrences(least: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elected hashes, and whether they stand at two places (windows that elect one place count once)."""
+    new = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
+    values, counts = np.unique(least[new], return_counts=True)
     return values, counts > 1
 
 
@@ -173,7 +173,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 
     def elect(batches):
         for batch in batches:
-            found = [_occurrences(elected(words(body), min_words)) for body in batch.column(1).to_pylist()]
+            found = [_occurrences(*elected(words(body), min_words)) for body in batch.column(1).to_pylist()]
             if found:
                 keys = np.repeat(batch.column(0).to_numpy(), [len(values) for values, _ in found])
                 yield pa.RecordBatch.from_arrays(
@@ -192,7 +192,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
             held, n_held = [], 0
             for k, (body, own) in enumerate(zip(texts.to_pylist(), grams)):
                 parts, own = words(body), own.values.to_numpy()
-                at = np.flatnonzero(np.isin(elected(parts, min_words).view(np.int64), own))
+                at = np.flatnonzero(np.isin(elected(parts, min_words)[0].view(np.int64), own))
                 hashes = _grams(parts, min_words)[at].view(np.int64)
                 _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
                 again = first[place] != np.arange(len(at))

@@ -39,3 +39,13 @@ def test_a_passage_inside_lines_is_cut(spark):
     broken = [(1, passage), (2, "Other " + passage.replace("words ", "words\n"))]
     left = {r.doc_id: r.text for r in winnow.clean(data.frame(spark, broken)).collect()}
     assert left == {1: passage, 2: "Other "}
+
+
+def test_periodic_texts_equal_brute_force(spark):
+    """Phrases that repeat over and over in one line, of one to twelve words."""
+    texts = {p: " ".join(f"w{k % p}" for k in range(60)) for p in range(1, 13)}
+    texts |= {20: "start " + "buy now " * 50 + "end", 21: "click here to win now " * 40, 22: "a b c d e f " * 40}
+    want = {i: w for i, w in brute(texts, 10).items() if w}
+    rows = data.frame(spark, texts.items()).repartition(4)
+    got = {r.doc_id: {k for c in r.cuts for k in range(c["first"], c["end"])} for r in winnow.passages(rows).collect()}
+    assert got == want
