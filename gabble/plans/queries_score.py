@@ -184,6 +184,15 @@ def score_batch_hook(spark, d):
     return score.batch_score(rows, load_keyword_model, ["comment_id", "persoon"]).drop("error")
 
 
+@query(sql("""SELECT comment_id, persoon, coalesce(comment, '') = '[deleted]' AS failed,
+  CASE WHEN comment = '[deleted]' THEN 'ValueError: deleted text' END AS error FROM raw""", "raw"))
+def score_row_errors(spark, d):
+    """What became of the rows that the model refused: the cause stays with the row, the others are scored."""
+    rows = B.raw(spark, d).withColumn("candidate_labels", M.about_labels(F.col("persoon")))
+    scored = score.batch_score(rows, load_keyword_model, ["comment_id", "persoon"])
+    return scored.select("comment_id", "persoon", F.col("best_label").isNull().alias("failed"), "error")
+
+
 def load_answering_model():
     """Text model used for the check: answers in JSON, quoting the comment's part of the prompt as its reason.
 
