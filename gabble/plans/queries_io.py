@@ -1,5 +1,6 @@
 """Queries: sources, sinks and streams, as round trips of whole tables through the shared folder."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gabble.operators import score, select
@@ -10,7 +11,7 @@ from gabble.plans.queries_clean import hit_folded
 from gabble.plans.queries_score import has_word_sql
 from gabble.plans.registry import query
 from gabble.session import scratch_dir
-from gabble.sources import landed, schemas, sinks
+from gabble.sources import cursors, landed, schemas, sinks
 from gabble.streaming import incremental
 
 _PAGE = 100
@@ -52,6 +53,69 @@ def src_thread_listing(spark, d):
     return landed.read_thread_listing(spark, _land_json(pages, spark, "listing"))
 
 
+def _paged_search(spark, d):
+    """Pages of the found threads with their cursors, in no order: some twice, some not landed."""
+    pages = B.found_threads(spark, d).selectExpr(
+        "persoon", "query_index", f"floor(cast(substr(thread_id, 2) AS bigint) / {_PAGE}) AS number",
+        "named_struct('permalink', concat('/r/', subreddit, '/', thread_id), 'title', title, "
+        "'subreddit', subreddit, 'id', thread_id, 'score', score) AS data",
+        "cast(substr(thread_id, 2) AS bigint) AS at")
+    pages = pages.groupBy("persoon", "query_index", "number").agg(
+        F.sort_array(F.collect_list(F.struct("at", "data"))).alias("listed"))
+    # As on the site, the cursor is the name of the last thread of the page before.
+    around = Window.partitionBy("persoon", "query_index").orderBy("number")
+    named = pages.withColumn("name", F.concat(F.lit("t3_t"), F.element_at("listed", -1)["at"]))
+    linked = named.withColumns({"cursor": F.lag("name").over(around), "after": F.when(
+        F.lead("name").over(around).isNotNull(), F.col("name"))})
+    gap = (F.col("number") % 10 == 7) & (F.col("query_index") == 1)
+    times = F.array_repeat(F.lit(0), F.when(F.col("number") % 5 == 1, 2).otherwise(1))
+    children = F.transform("listed", lambda t: F.struct(t["data"].alias("data")))
+    return linked.where(~gap).withColumn("copy", F.explode(times)).select(F.to_json(F.struct(
+        "query_index", "persoon", "cursor", F.struct(children.alias("children"), "after").alias("data"))).alias("page")
+    ).repartition(F.xxhash64("page"))
+
+
+def _recursive(body):
+    return sql(body, "found_threads").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_PAGES_SQL = f"""listed AS (SELECT *, CAST(substr(thread_id, 2) AS BIGINT) AS pos,
+      CAST(substr(thread_id, 2) AS BIGINT) // {_PAGE} AS number FROM found_threads),
+    full_pages AS (SELECT persoon, query_index, number, count(*) AS n, 't3_t' || max(pos) AS name
+      FROM listed GROUP BY persoon, query_index, number),
+    linked AS (SELECT *, lag(name) OVER w AS cursor, CASE WHEN lead(number) OVER w IS NOT NULL THEN name END AS after
+      FROM full_pages WINDOW w AS (PARTITION BY persoon, query_index ORDER BY number)),
+    landed AS (SELECT * FROM linked WHERE NOT (number % 10 = 7 AND query_index = 1)),
+    chain AS (SELECT persoon, query_index, number, after, n, 0 AS page, CAST(0 AS BIGINT) AS skip FROM landed WHERE cursor IS NULL
+      UNION ALL SELECT l.persoon, l.query_index, l.number, l.after, l.n, c.page + 1, c.skip + c.n
+      FROM chain c JOIN landed l ON l.persoon = c.persoon AND l.query_index = c.query_index AND l.cursor = c.after)"""
+
+
+@query(_recursive(f"""WITH {_PAGES_SQL}
+  SELECT t.persoon, t.query_index, t.thread_id, t.title, t.score, CAST(page AS BIGINT) AS page,
+    CAST(skip + row_number() OVER (PARTITION BY t.persoon, t.query_index, t.number ORDER BY pos) - 1 AS BIGINT) AS listing_rank
+  FROM listed t JOIN landed USING (persoon, query_index, number)
+  LEFT JOIN chain c ON c.persoon = t.persoon AND c.query_index = t.query_index AND c.number = t.number"""))
+def src_listing_order(spark, d):
+    """Threads in the order of their search, from pages landed in any order."""
+    return cursors.read_listing(spark, _land_json(_paged_search(spark, d), spark, "paged")).select(
+        "persoon", "query_index", "thread_id", "title", "score", "page", "listing_rank")
+
+
+@query(_recursive(f"""WITH {_PAGES_SQL},
+    firsts AS (SELECT persoon, query_index, CAST(NULL AS VARCHAR) AS cursor FROM landed),
+    wanted AS (SELECT persoon, query_index, after AS cursor FROM landed WHERE after IS NOT NULL UNION SELECT * FROM firsts)
+  SELECT w.persoon, w.query_index, w.cursor, 'missing' AS problem, CAST(0 AS BIGINT) AS n_landed
+    FROM wanted w LEFT JOIN landed l ON l.persoon = w.persoon AND l.query_index = w.query_index
+      AND l.cursor IS NOT DISTINCT FROM w.cursor WHERE l.number IS NULL
+  UNION ALL SELECT persoon, query_index, cursor, 'repeated', 2 FROM landed WHERE number % 5 = 1
+  UNION ALL SELECT persoon, query_index, cursor, 'unreachable', CASE WHEN number % 5 = 1 THEN 2 ELSE 1 END
+    FROM landed ANTI JOIN chain USING (persoon, query_index, number)"""))
+def src_listing_audit(spark, d):
+    """What is missing, repeated or cut off among the landed pages."""
+    return cursors.audit(landed.read_listing_pages(spark, _land_json(_paged_search(spark, d), spark, "paged")))
+
+
 @query(sql("""SELECT 'https://www.reddit.com/r/' || subreddit || '/' || thread_id AS url, title,
   subreddit, thread_id, '[deleted]' AS author FROM threads""", "threads"))
 def src_thread_listing_flat(spark, d):

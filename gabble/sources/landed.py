@@ -10,7 +10,7 @@ import csv
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -113,16 +113,25 @@ def read_label_sheet(spark: SparkSession, path: str, schema: str = schemas.LABEL
 
 def read_thread_listing(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Search result pages, nested layout: one row per listed thread and search."""
-    pages = spark.read.schema(schemas.LISTING_PAGE).option("multiLine", multi_line).json(path)
-    thread = pages.select("persoon", "query_index", F.explode("data.children.data").alias("t"))
-    return thread.select(
-        "persoon", "query_index",
+    pages = read_listing_pages(spark, path, multi_line)
+    return pages.select("persoon", "query_index", F.explode("data.children.data").alias("t")).select(
+        "persoon", "query_index", *thread_columns())
+
+
+def read_listing_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Search result pages as landed, one row a page."""
+    return spark.read.schema(schemas.LISTING_PAGE).option("multiLine", multi_line).json(path)
+
+
+def thread_columns() -> list[Column]:
+    """The columns of a listed thread ``t``."""
+    return [
         T.absolute_url(F.col("t.permalink")).alias("url"),
         T.default(F.col("t.title"), "").alias("title"),
         T.default(F.col("t.subreddit"), "").alias("subreddit"),
         T.default(F.col("t.id"), "").alias("thread_id"),
         T.default(F.col("t.score"), 0).alias("score"),
-    )
+    ]
 
 
 def read_thread_listing_flat(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

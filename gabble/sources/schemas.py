@@ -17,7 +17,7 @@ LABEL_SHEET = (
 )
 
 LISTING_PAGE = (
-    "query_index int, persoon string, data struct<children: array<struct<data: struct<"
+    "query_index int, persoon string, cursor string, data struct<children: array<struct<data: struct<"
     "permalink: string, title: string, subreddit: string, id: string, score: bigint>>>, "
     "after: string>"
 )

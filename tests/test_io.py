@@ -10,7 +10,7 @@ from gabble.functions import rules
 from gabble.operators import clean, report, resume, score
 from gabble.plans import flows
 from gabble.session import scratch_dir
-from gabble.sources import landed, schemas, sinks, trees
+from gabble.sources import cursors, landed, schemas, sinks, trees
 from gabble.streaming import incremental
 from tests.helpers import plan, values
 
@@ -105,6 +105,41 @@ def test_thread_listing_defaults(spark, folder):
         ("sven", 0, "https://www.reddit.com/r/a/2", "", "", "", 0)]
 
 
+def page(cursor, after, *names, persoon="sven"):
+    return {"persoon": persoon, "query_index": 0, "cursor": cursor, "data": {
+        "after": after, "children": [{"data": {"id": n}} for n in names]}}
+
+
+def ranks(spark, path, **more):
+    return {(r.persoon, r.thread_id): (r.page, r.listing_rank) for r in cursors.read_listing(spark, path, **more).collect()}
+
+
+def test_pages_come_in_the_order_of_their_cursors(spark, folder):
+    chain = [page(f"c{i}" if i else None, f"c{i + 1}" if i < 36 else None, f"{i}a", f"{i}b") for i in range(37)]
+    chain[5]["data"]["children"] = []
+    path = write_lines(folder, "pages", [*reversed(chain), page("", "", "only", persoon="x"), chain[3]])
+    want = {("sven", f"{i}{x}"): (i, 2 * i + k - 2 * (i > 5)) for i in range(37) if i != 5 for k, x in enumerate("ab")}
+    assert ranks(spark, path) == want | {("x", "only"): (0, 0)}
+    assert sorted(ranks(spark, path, limit=3)) == [("sven", "0a"), ("sven", "0b"), ("sven", "1a"), ("x", "only")]
+    audit = cursors.audit(landed.read_listing_pages(spark, path)).collect()
+    assert [tuple(r) for r in audit] == [("sven", 0, "c3", "repeated", 2)]
+
+
+def test_gaps_and_loops_of_pages_are_reported(spark, folder):
+    gap = [page(None, "c1", "a"), page("c2", "c3", "c"), page("c3", None, "d"), page("c3", None, "d", "e")]
+    loop = [page(None, "l1", "p", persoon="loop"), page("l1", "l2", "q", persoon="loop"), page("l2", "l1", "r", persoon="loop")]
+    headless = [page("h1", None, "h", persoon=None)]
+    path = write_lines(folder, "pages", [*gap, *loop, *headless])
+    assert ranks(spark, path) == {
+        ("sven", "a"): (0, 0), ("sven", "c"): (None, None), ("sven", "d"): (None, None), ("sven", "e"): (None, None),
+        ("loop", "p"): (0, 0), ("loop", "q"): (1, 1), ("loop", "r"): (2, 2), (None, "h"): (None, None)}
+    audit = {tuple(r) for r in cursors.audit(landed.read_listing_pages(spark, path)).collect()}
+    assert audit == {("sven", 0, "c1", "missing", 0), ("sven", 0, "c2", "unreachable", 1), ("sven", 0, "c3", "unreachable", 2),
+                     ("sven", 0, "c3", "repeated", 2), (None, 0, None, "missing", 0), (None, 0, "h1", "unreachable", 1)}
+    none = landed.read_listing_pages(spark, write_lines(folder, "none", []))
+    assert cursors.in_order(none).count() == 0 and cursors.audit(none).count() == 0
+
+
 def test_pretty_printed_pages(spark, folder):
     with open(f"{folder}/page.json", "w", encoding="utf-8") as out:
         json.dump({"data": [{"permalink": "/r/a/1", "id": "1"}]}, out, indent=2)
