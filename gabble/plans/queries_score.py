@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gabble.catalog import RELEVANCE_LABELS, entity_frame
 from gabble.functions import modeltext as M
 from gabble.functions import rules
-from gabble.operators import match, report, resume, score
+from gabble.operators import linear, match, report, resume, score
 from gabble.operators.select import last_per_key
 from gabble.plans import bindings as B
 from gabble.plans.bindings import in_sql, round_sql, sql
@@ -256,12 +256,35 @@ def score_naive_bayes(spark, d):
     return score.apply_word_odds(documents, odds, ["doc_id"]).withColumn("log_odds", F.round("log_odds", 4))
 
 
-@query()
+def _trained_sql():
+    """The training steps as one common table each."""
+    table = f"""WITH words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS word
+    FROM documents),
+  pairs AS MATERIALIZED (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(word), 1, 4) AS INTEGER) AS cell FROM words
+    UNION ALL SELECT doc_id, {linear.FEATURES} FROM documents),
+  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM pairs GROUP BY doc_id),
+  marked AS MATERIALIZED (SELECT doc_id, size, CAST(toxic > 0 AS INTEGER) AS y FROM sizes JOIN labels USING (doc_id)),
+  w0 AS MATERIALIZED (SELECT cell, 0.0::DOUBLE AS weight, CASE WHEN cell = {linear.FEATURES} THEN 1.0::DOUBLE
+      ELSE ln(((SELECT count(*) FROM marked) + 1) / (count(*) + 1)) END AS idf
+    FROM pairs JOIN marked USING (doc_id) GROUP BY cell)"""
+    for k in range(linear.STEPS):
+        table += f""",
+  p{k} AS MATERIALIZED (SELECT doc_id, any_value(size) AS size, any_value(y) AS y, 1 / (1 + exp(-sum(weight * idf) / sqrt(any_value(size)))) AS p
+    FROM marked JOIN pairs USING (doc_id) JOIN w{k} USING (cell) GROUP BY doc_id),
+  s{k} AS (SELECT cell, sum((p - y) / sqrt(size)) AS off, sum(p * (1 - p) / size) AS bend FROM p{k} JOIN pairs USING (doc_id) GROUP BY cell),
+  w{k + 1} AS MATERIALIZED (SELECT cell, idf, weight - {linear.DAMP}::DOUBLE * (idf * off + {linear.RIDGE}::DOUBLE * weight)
+    / (idf * idf * bend + {linear.DRAG}::DOUBLE) AS weight FROM w{k} JOIN s{k} USING (cell))"""
+    return table + f""",
+  scored AS (SELECT doc_id, 1 / (1 + exp(-coalesce(sum(weight * idf), 0) / sqrt(any_value(size)))) AS p
+    FROM pairs JOIN sizes USING (doc_id) LEFT JOIN w{linear.STEPS} USING (cell) GROUP BY doc_id)
+  SELECT doc_id, CAST(p >= 0.5 AS INTEGER) AS prediction, round(greatest(p, 1 - p), 4) AS model_score FROM scored"""
+
+
+@query(_trained_sql())
 def score_trained_lr(spark, d):
-    labels = B.table(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("target"))
+    """The classifier trained step by step on the labelled documents, on every document."""
     documents = B.table(spark, d, "documents").select("doc_id", F.col("text").alias("comment"))
-    model = score.train_classifier(documents.join(labels, "doc_id"))
-    return score.apply_classifier(documents, model).select("doc_id", "prediction", "model_score")
+    return linear.apply(documents, linear.train(_marked(spark, d)), ["doc_id"])
 
 
 @query(sql(f"SELECT comment_id, persoon, reason FROM ({_RELEVANCE_SQL}) WHERE label = 'RELEVANT'",

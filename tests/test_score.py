@@ -1,9 +1,14 @@
+import hashlib
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from gabble.catalog import SKATERS, entity_frame
 from gabble.functions import modeltext as M
-from gabble.operators import resume, score
+from gabble.operators import linear, resume, score
 from gabble.sources.landed import read_state
 from tests.helpers import values
 
@@ -78,6 +83,42 @@ def test_classifier_learns_a_separable_set(spark):
     assert wrong == 0
 
 
+def test_linear_steps_equal_a_plain_replay(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["awful", "bad", "race", "great", "ice", "Ünï"]) for _ in range(rng.randrange(0, 6))) or None)
+             for i in range(60)]
+    rows = [(i, t, None if i == 7 else float("awful" in (t or ""))) for i, t in texts]
+    df = spark.createDataFrame(rows, "id int, comment string, target double").repartition(3)
+
+    def cells(text):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        return {linear.FEATURES} | {int(hashlib.md5(w.encode()).hexdigest()[:4], 16) for w in words}
+
+    train = [(cells(t), y) for _, t, y in rows if y is not None]
+    every = set().union(*(c for c, _ in train))
+    idf = {c: math.log((len(train) + 1) / (sum(c in own for own, _ in train) + 1)) for c in every} | {linear.FEATURES: 1.0}
+    weight = dict.fromkeys(every, 0.0)
+
+    def chance(own):
+        return 1 / (1 + math.exp(-sum(weight.get(c, 0) * idf.get(c, 0) for c in own) / math.sqrt(len(own))))
+
+    for _ in range(3):
+        p = [chance(own) for own, _ in train]
+        slope = {c: sum(idf[c] * (q - y) / math.sqrt(len(own)) for q, (own, y) in zip(p, train) if c in own) for c in every}
+        curve = {c: sum(idf[c] ** 2 * q * (1 - q) / len(own) for q, (own, _) in zip(p, train) if c in own) for c in every}
+        weight = {c: w - linear.DAMP * (slope[c] + linear.RIDGE * w) / (curve[c] + linear.DRAG) for c, w in weight.items()}
+    got = {r.id: (r.prediction, r.model_score) for r in linear.apply(df, linear.train(df, steps=3), ["id"]).collect()}
+    for i, text in texts:
+        p = chance(cells(text))
+        assert got[i][0] == (p >= 0.5) and got[i][1] == pytest.approx(max(p, 1 - p), abs=6e-5)
+
+
+def test_linear_without_training_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, comment string").withColumn("target", F.lit(None).cast("int"))
+    got = linear.apply(df, linear.train(df, steps=1), ["id"]).collect()
+    assert {(r.id, r.prediction, r.model_score) for r in got} == {(1, 1, 0.5), (2, 1, 0.5)}
+
+
 # --- Join-back and resume --------------------------------------------------------------------------
 
 def results(spark, rows):
