@@ -1,6 +1,5 @@
 """Queries: sources, sinks and streams, as round trips of whole tables through the shared folder."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gabble.operators import score, select
@@ -62,11 +61,11 @@ def _paged_search(spark, d):
         "cast(substr(thread_id, 2) AS bigint) AS at")
     pages = pages.groupBy("persoon", "query_index", "number").agg(
         F.sort_array(F.collect_list(F.struct("at", "data"))).alias("listed"))
-    # As on the site, the cursor is the name of the last thread of the page before.
-    around = Window.partitionBy("persoon", "query_index").orderBy("number")
-    named = pages.withColumn("name", F.concat(F.lit("t3_t"), F.element_at("listed", -1)["at"]))
-    linked = named.withColumns({"cursor": F.lag("name").over(around), "after": F.when(
-        F.lead("name").over(around).isNotNull(), F.col("name"))})
+    ends = B.found_threads(spark, d).groupBy("persoon", "query_index").agg(
+        F.max(F.expr(f"floor(cast(substr(thread_id, 2) AS bigint) / {_PAGE})")).alias("end"))
+    linked = pages.join(ends, ["persoon", "query_index"]).withColumns({
+        "cursor": F.expr("if(number > 0, concat('n', number), NULL)"),
+        "after": F.expr("if(number < end, concat('n', number + 1), NULL)")})
     gap = (F.col("number") % 10 == 7) & (F.col("query_index") == 1)
     times = F.array_repeat(F.lit(0), F.when(F.col("number") % 5 == 1, 2).otherwise(1))
     children = F.transform("listed", lambda t: F.struct(t["data"].alias("data")))
@@ -81,10 +80,9 @@ def _recursive(body):
 
 _PAGES_SQL = f"""listed AS (SELECT *, CAST(substr(thread_id, 2) AS BIGINT) AS pos,
       CAST(substr(thread_id, 2) AS BIGINT) // {_PAGE} AS number FROM found_threads),
-    full_pages AS (SELECT persoon, query_index, number, count(*) AS n, 't3_t' || max(pos) AS name
-      FROM listed GROUP BY persoon, query_index, number),
-    linked AS (SELECT *, lag(name) OVER w AS cursor, CASE WHEN lead(number) OVER w IS NOT NULL THEN name END AS after
-      FROM full_pages WINDOW w AS (PARTITION BY persoon, query_index ORDER BY number)),
+    full_pages AS (SELECT persoon, query_index, number, count(*) AS n FROM listed GROUP BY persoon, query_index, number),
+    linked AS (SELECT *, CASE WHEN number > 0 THEN 'n' || number END AS cursor,
+      CASE WHEN number < max(number) OVER (PARTITION BY persoon, query_index) THEN 'n' || (number + 1) END AS after FROM full_pages),
     landed AS (SELECT * FROM linked WHERE NOT (number % 10 = 7 AND query_index = 1)),
     chain AS (SELECT persoon, query_index, number, after, n, 0 AS page, CAST(0 AS BIGINT) AS skip FROM landed WHERE cursor IS NULL
       UNION ALL SELECT l.persoon, l.query_index, l.number, l.after, l.n, c.page + 1, c.skip + c.n
