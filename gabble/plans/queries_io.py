@@ -17,10 +17,10 @@ _PAGE = 100
 _FIELDS = ", ".join(schemas.COMMENT_FIELDS)
 
 
-def _land_json(df, spark, name):
+def _land_json(df, spark, name, compression="none"):
     """Write one JSON document per row (column ``page``) and return the folder."""
     path = scratch_dir(spark, name)
-    df.select("page").write.text(path)
+    df.select("page").write.option("compression", compression).text(path)
     return path
 
 
@@ -71,7 +71,7 @@ def _paged_search(spark, d):
     children = F.transform("listed", lambda t: F.struct(t["data"].alias("data")))
     return linked.where(~gap).withColumn("copy", F.explode(times)).select(F.to_json(F.struct(
         "query_index", "persoon", "cursor", F.struct(children.alias("children"), "after").alias("data"))).alias("page")
-    ).repartition(F.xxhash64("page"))
+    )
 
 
 def _recursive(body):
@@ -96,7 +96,7 @@ _PAGES_SQL = f"""listed AS (SELECT *, CAST(substr(thread_id, 2) AS BIGINT) AS po
   LEFT JOIN chain c ON c.persoon = t.persoon AND c.query_index = t.query_index AND c.number = t.number"""))
 def src_listing_order(spark, d):
     """Threads in the order of their search, from pages landed in any order."""
-    return cursors.read_listing(spark, _land_json(_paged_search(spark, d), spark, "paged")).select(
+    return cursors.read_listing(spark, _land_json(_paged_search(spark, d), spark, "paged", "gzip")).select(
         "persoon", "query_index", "thread_id", "title", "score", "page", "listing_rank")
 
 
@@ -111,7 +111,7 @@ def src_listing_order(spark, d):
     FROM landed ANTI JOIN chain USING (persoon, query_index, number)"""))
 def src_listing_audit(spark, d):
     """What is missing, repeated or cut off among the landed pages."""
-    return cursors.audit(landed.read_listing_pages(spark, _land_json(_paged_search(spark, d), spark, "paged")))
+    return cursors.audit(landed.read_listing_pages(spark, _land_json(_paged_search(spark, d), spark, "paged", "gzip")))
 
 
 @query(sql("""SELECT 'https://www.reddit.com/r/' || subreddit || '/' || thread_id AS url, title,

@@ -29,12 +29,13 @@ _PAGE = ["_search", "_at"]
 
 
 def _keyed(pages: DataFrame, search: Sequence[str]) -> DataFrame:
-    """Pages with the digest of their search, own and next cursor and number of results."""
+    """Pages with the digest of their search, own and next cursor, number and digest of results."""
     return pages.withColumns({
         "_search": key_digest(search),
         "_at": F.coalesce("cursor", F.lit("")),
         "_next": F.nullif(F.col("data.after"), F.lit("")),
         "_n": F.coalesce(F.array_size("data.children"), F.lit(0)).cast("bigint"),
+        "_digest": F.sha2(F.to_json("data"), 256),
     })
 
 
@@ -67,12 +68,26 @@ def _reached(links: DataFrame) -> DataFrame:
     return reached
 
 
+def _narrow(pages: DataFrame, search: Sequence[str]) -> DataFrame:
+    """All that following the cursors needs of the landed pages; no result of a page is in it."""
+    return _keyed(pages, search).select(*search, *_PAGE, "_next", "_n", "_digest")
+
+
+def _followed(narrow: DataFrame) -> DataFrame:
+    """The copy of each page that counts, with ``page`` and ``offset``."""
+    one = written(top_per_group(narrow, _PAGE, [F.col("_n").desc(), F.col("_digest")], 1), "pages")
+    return one.join(_reached(one.select(*_PAGE, "_next", "_n")), _PAGE, "left")
+
+
 def in_order(pages: DataFrame, search: Sequence[str] = SEARCH) -> DataFrame:
     """Each page once, with ``page`` (0 for the first of its search) and ``offset``, the number of
-    results on the pages before it; both null where no chain leads to the page."""
-    one = written(top_per_group(_keyed(pages, search), _PAGE,
-                                [F.col("_n").desc(), F.sha2(F.to_json("data"), 256)], 1), "pages")
-    return one.join(_reached(one.select(*_PAGE, "_next", "_n")), _PAGE, "left").drop(*_PAGE, "_next", "_n")
+    results on the pages before it; both null where no chain leads to the page.
+
+    The pages with their results are shuffled once, after the copies that do not count are gone.
+    """
+    order = written(_followed(_narrow(pages, search)).select(*_PAGE, "_digest", "page", "offset"), "order")
+    kept = _keyed(pages, search).join(order, [*_PAGE, "_digest"])
+    return top_per_group(kept, _PAGE, [F.col("_n")], 1).drop(*_PAGE, "_next", "_n", "_digest")
 
 
 def read_listing(spark: SparkSession, path: str, limit: int | None = None,
@@ -96,11 +111,9 @@ def audit(pages: DataFrame, search: Sequence[str] = SEARCH) -> DataFrame:
     ``missing``: a page that another one points to, or the first page of a search, was not landed.
     ``repeated``: it was landed more than once. ``unreachable``: no chain leads from the first page to it.
     """
-    keyed = _keyed(pages, search).select(*search, *_PAGE, "_next", "_n")
-    # The copy that counts is the one of `in_order`, so that both follow the same chain.
-    kept = in_order(pages, search).withColumns({"_search": key_digest(search), "_at": F.coalesce("cursor", F.lit(""))})
-    stored = written(keyed.groupBy(*_PAGE).agg(F.count("*").alias("n_landed")).join(
-        kept.select(*search, *_PAGE, F.nullif(F.col("data.after"), F.lit("")).alias("_next"), "page"), _PAGE), "stored")
+    narrow = written(_narrow(pages, search), "landed")
+    stored = written(narrow.groupBy(*_PAGE).agg(F.count("*").alias("n_landed")).join(
+        _followed(narrow).select(*search, *_PAGE, "_next", "page"), _PAGE), "stored")
     wanted = stored.where("_next is not null").select(*search, "_search", F.col("_next").alias("_at")).unionByName(
         stored.select(*search, "_search", F.lit("").alias("_at"))).dropDuplicates(_PAGE)
     missing = wanted.join(stored, _PAGE, "left_anti").withColumns(
