@@ -13,9 +13,10 @@ are. The first occurrence of each run stays.
 
 Passages that start or end inside a line, or have other line breaks, are found by words. A text's words are a
 sequence of hashes; of the ``GRAM``-word hashes inside each window of ``min_words`` words the smallest is elected, so
-that equal windows elect equal hashes. Only elected hashes leave the tasks. Texts that share one with another text, or
-repeat one, are read again: their windows around it are grouped by the hash of the whole window, and those that
-occur earlier overlap to the full length of the passage, on both sides, word by word.
+that equal windows elect equal hashes. Only elected hashes leave the tasks, as arrays by bucket, each once per batch of
+texts. Texts with a hash that stands at two places are read again: the windows that elected it are compared by that hash
+and a second one of the whole window, and those that occur earlier overlap to the full length of the passage, on both
+sides, word by word. The number of buckets grows with the bytes of text.
 
 So exactly: a word outside deleted lines is cut if it lies in a run of ``min_words`` words or more that also
 occurs earlier. A line of which no word is left goes too.
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gabble.llm.common import by_id, row_key, text_of, words
+from gabble.llm.common import SPACES, by_id, chunks, row_key, text_of, words
 from gabble.session import written
 
 #: Words in a run of lines from which on a repetition is deleted.
@@ -46,8 +47,15 @@ MIN_WORDS = 10
 
 #: Words of an elected hash.
 GRAM = 5
-#: Windows that leave a task at a time.
-STEP = 1 << 16
+#: Bytes of text that a bucket of hashes stands for; a bucket's arrays take about the same.
+PER_BUCKET = 32 << 20
+#: Bytes of text that are hashed at a time.
+BLOCK = 1 << 18
+
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([k])) for k in range(256)], np.uint64)
+_POWERS = np.cumprod(np.full(BLOCK + 1, 0x9E3779B97F4A7C15, np.uint64))
+_INVERSES = np.cumprod(np.full(BLOCK + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
 
 WINDOWS = "doc_id long, row_key long, fingerprint long, window long, first int, last int, again boolean"
 
@@ -132,99 +140,223 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")))
 
 
-def _grams(parts: list[bytes], size: int) -> np.ndarray:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of some bytes that end in white space.
+
+    A word's hash is a polynomial in its bytes, as a difference of running sums, so that no word becomes an object.
+    """
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = at + BLOCK
+        if end < len(data):
+            blanks = np.flatnonzero(_SPACE[data[at:end]])
+            if not len(blanks):  # a word longer than a block
+                end += int(_SPACE[data[end:]].argmax())
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].tobytes())], np.uint64))
+                starts.append(np.array([at]))
+                at = end
+                continue
+            end = at + int(blanks[-1]) + 1
+        block = data[at:end]
+        edges = np.flatnonzero(np.diff(_SPACE[block], prepend=True, append=True))
+        first, last = edges[0::2], edges[1::2]
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(_BYTES[block] * _POWERS[:len(block)], out=sums[1:])
+        hashes.append(_mixed((sums[last] - sums[first]) * _INVERSES[first]))
+        starts.append(first + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, int))
+
+
+def _runs(one: np.ndarray, size: int, factor: int) -> np.ndarray:
     """A hash of each ``size`` words in a row."""
-    n = len(parts) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    one = np.fromiter(map(digest, parts), np.uint64, len(parts))
+    n = max(len(one) - size + 1, 0)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + one[k:k + n]
+        out = out * np.uint64(factor) + one[k:k + n]
         out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def elected(parts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash that each window of ``min_words`` words elects, in order, and its leftmost place."""
-    size = min(GRAM, min_words)
-    grams = _grams(parts, size)
-    n = max(len(parts) - min_words + 1, 0)
+def elected(texts: list[bytes], min_words: int) -> tuple[np.ndarray, ...]:
+    """Each window of ``min_words`` words: number of its text, first word there, the hash it elects (the leftmost of
+    the smallest), a number for the place of that hash, and the hash of the whole window."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    one, starts = hashed(data)
+    of = np.searchsorted(begins, starts, side="right") - 1
+    size, n = min(GRAM, min_words), max(len(one) - min_words + 1, 0)
+    grams = _runs(one, size, 0x9E3779B97F4A7C15)
     least, place = grams[:n].copy(), np.arange(n)
     for k in range(1, min_words - size + 1):
         smaller = grams[k:k + n] < least
         least[smaller] = grams[k:k + n][smaller]
         place[smaller] = np.flatnonzero(smaller) + k
-    return least, place
+    inside = np.flatnonzero(of[:n] == of[len(of) - n:])  # not across two texts
+    of = of[inside]
+    at = inside - np.searchsorted(starts, begins[:-1])[of]
+    return of, at, least[inside], place[inside], _runs(one, min_words, 0xA0761D6478BD642F)[inside]
 
 
-def _occurrences(least: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Elected hashes, and whether they stand at two places (windows that elect one place count once)."""
-    new = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
-    values, counts = np.unique(least[new], return_counts=True)
-    return values, counts > 1
+def _by(values: np.ndarray, *columns: np.ndarray):
+    """The distinct values, each with its part of the columns."""
+    order = np.argsort(values, kind="stable")
+    firsts = np.flatnonzero(np.diff(values[order], prepend=values[order][:1] ^ values.dtype.type(1))) if len(order) else []
+    columns = [c[order] for c in columns]
+    for a, b in zip(firsts, [*firsts[1:], len(order)]):
+        yield values[order[a]], *(c[a:b] for c in columns)
 
 
-def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, row_key, cuts``: for each text with repeated passages the [first, end) words to cut."""
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("row_key"),
-                         text_of(text).alias("text"))
+def _joined(column, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
 
-    def elect(batches):
+def _texts(batch: pa.RecordBatch):
+    """Texts of a batch as bytes, some :data:`BLOCK` at a time, with the number of the first."""
+    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    for a, b in chunks(map(len, texts), BLOCK):
+        yield a, texts[a:b]
+
+
+_MARKS = pa.schema([("bucket", pa.int64()), ("row_key", pa.int64()), ("grams", pa.binary()), ("keys", pa.binary())])
+_KNOWN = pa.schema([("row_key", pa.int64()), ("grams", pa.binary())])
+_PLACES = pa.schema([("bucket", pa.int64()), ("place", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.binary()),
+                     ("grams", pa.binary()), ("windows", pa.binary()), ("places", pa.binary()), ("keys", pa.binary())])
+_LATER = pa.schema([("place", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.binary())])
+
+
+def _known(picked: DataFrame, buckets: int, min_words: int) -> DataFrame:
+    """``row_key, grams``: for each text the elected hashes that stand at two places or more, anywhere.
+
+    A task settles what its batch has twice by itself and sends each hash of a batch once, in arrays by bucket, so that a
+    frequent hash reaches its bucket once per batch.
+    """
+
+    def mark(batches):
         for batch in batches:
-            found = [_occurrences(*elected(words(body), min_words)) for body in batch.column(1).to_pylist()]
-            if found:
-                keys = np.repeat(batch.column(0).to_numpy(), [len(values) for values, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([v for v, _ in found]).view(np.int64)), pa.array(keys),
-                     pa.array(np.concatenate([a for _, a in found]))], names=["gram", "row_key", "again"])
+            keys, found = batch.column("row_key").to_numpy(), []
+            for start, texts in _texts(batch):
+                of, _, least, place, _ = elected(texts, min_words)
+                new = np.flatnonzero(np.diff(place, prepend=-1))
+                found.append((least[new], keys[start + of[new]]))
+            if not found:
+                continue
+            grams, keys = (np.concatenate(c) for c in zip(*found))
+            values, first, back, n = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+            twice, once = n[back] > 1, n == 1
+            rows = [(int(key) % buckets, int(key), np.unique(g).tobytes(), None) for key, g in _by(keys[twice], grams[twice])]
+            some, of = values[once], keys[first[once]]
+            rows += [(int(b), None, g.tobytes(), k.tobytes()) for b, g, k in _by(some % np.uint64(buckets), some, of)]
+            some = values[~once]
+            rows += [(int(b), None, g.tobytes(), None) for b, g in _by(some % np.uint64(buckets), some)]
+            yield _batch(rows, _MARKS)
+
+    def settle(table: pa.Table) -> pa.Table:
+        done = table.filter(table["row_key"].is_valid()).select(["row_key", "grams"])
+        sent = table.filter(table["row_key"].is_null())
+        single, double = sent.filter(sent["keys"].is_valid()), sent.filter(sent["keys"].is_null())
+        grams, keys = _joined(single["grams"], np.uint64), _joined(single["keys"], np.int64)
+        values, back, n = np.unique(grams, return_inverse=True, return_counts=True)
+        shared = ((n > 1) | np.isin(values, _joined(double["grams"], np.uint64)))[back]
+        rows = [(int(key), g.tobytes()) for key, g in _by(keys[shared], grams[shared])]
+        return pa.concat_tables([done.cast(_KNOWN), pa.Table.from_batches([_batch(rows, _KNOWN)])])
+
+    marks = picked.select("row_key", "text").mapInArrow(mark, "bucket long, row_key long, grams binary, keys binary")
+    return (marks.groupBy("bucket").applyInArrow(settle, "row_key long, grams binary")
+            .groupBy("row_key").agg(F.collect_list("grams").alias("grams")))
+
+
+def _later(picked: DataFrame, known: DataFrame, buckets: int, min_words: int) -> DataFrame:
+    """``place, row_key, firsts``: first words of the windows that also occur earlier.
+
+    The windows around a joined position are those that elected it. A batch sends the earliest place of each; the others
+    are later ones already.
+    """
+
+    def around(batches):
+        for batch in batches:
+            ids, keys = (batch.column(c).to_numpy() for c in ("place", "row_key"))
+            rank = np.lexsort((keys, ids)).argsort()
+            # Equal rows are one text.
+            ordered, found = np.lexsort((keys, ids)), []
+            same = np.concatenate([[False], (np.diff(ids[ordered]) == 0) & (np.diff(keys[ordered]) == 0)])
+            rank = (np.arange(len(ids)) - np.where(same, 1, 0).cumsum())[rank]
+            shared = batch.column("grams")
+            for start, texts in _texts(batch):
+                of, at, least, _, window = elected(texts, min_words)
+                own = np.frombuffer(b"".join(x for g in shared[start:start + len(texts)].to_pylist() for x in g), np.uint64)
+                kept = np.isin(least, own)
+                of = of[kept] + start
+                found.append((least[kept], window[kept], rank[of] << 32 | at[kept], of))
+            if not found:
+                continue
+            grams, windows, order, of = (np.concatenate(c) for c in zip(*found))
+            turn = np.lexsort((order, windows, grams))
+            grams, windows, order, of = grams[turn], windows[turn], order[turn], of[turn]
+            first = np.concatenate([[True], (grams[1:] != grams[:-1]) | (windows[1:] != windows[:-1])])[:len(turn)]
+            head = np.flatnonzero(first)[first.cumsum() - 1]
+            late = order != order[head]
+            rows = [(int(keys[t]) % buckets, int(ids[t]), int(keys[t]), at.astype(np.int32).tobytes(), None, None, None, None)
+                    for t, at in _by(of[late], order[late] & 0xFFFFFFFF)]
+            of, at = of[first], (order[first] & 0xFFFFFFFF).astype(np.int32)
+            grams, windows = grams[first], windows[first]
+            rows += [(int(b), None, None, *(c.tobytes() for c in parts)) for b, *parts in _by(
+                grams % np.uint64(buckets), at, grams, windows, ids[of], keys[of])]
+            yield _batch(rows, _PLACES)
+
+    def settle(table: pa.Table) -> pa.Table:
+        done = table.filter(table["row_key"].is_valid()).select(["place", "row_key", "firsts"])
+        sent = table.filter(table["row_key"].is_null())
+        at, grams, windows, ids, keys = (_joined(sent[c], t) for c, t in (
+            ("firsts", np.int32), ("grams", np.uint64), ("windows", np.uint64), ("places", np.int64), ("keys", np.int64)))
+        turn = np.lexsort((at, keys, ids, windows, grams))
+        at, grams, windows, ids, keys = (c[turn] for c in (at, grams, windows, ids, keys))
+        first = np.concatenate([[True], (grams[1:] != grams[:-1]) | (windows[1:] != windows[:-1])])[:len(turn)]
+        head = np.flatnonzero(first)[first.cumsum() - 1]
+        late = (ids != ids[head]) | (keys != keys[head]) | (at != at[head])
+        rows = []
+        for key, i, a in _by(keys[late], ids[late], at[late]):
+            rows += [(int(p), int(key), f.tobytes()) for p, f in _by(i, a)]
+        return pa.concat_tables([done.cast(_LATER), pa.Table.from_batches([_batch(rows, _LATER)])])
+
+    places = picked.join(known, "row_key").select("place", "row_key", "text", "grams").mapInArrow(
+        around, "bucket long, place long, row_key long, firsts binary, grams binary, windows binary, places binary, keys binary")
+    return places.groupBy("bucket").applyInArrow(settle, "place long, row_key long, firsts binary")
 
-    grams = picked.select("row_key", "text").mapInArrow(elect, "gram long, row_key long, again boolean")
-    shared = written(grams.groupBy("gram").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b"),
-                                               F.max("again").alias("again")).where("a < b or again").select("gram"), "grams")
-    known = written(grams.select("gram", "row_key").join(shared, "gram").groupBy("row_key")
-                    .agg(F.collect_set("gram").alias("grams")), "known")
 
-    def window(batches):
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, row_key, cuts``: for each text with repeated passages the [first, end) words to cut."""
+    place = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    picked = docs.select(place.alias("place"), row_key(doc_id, text).alias("row_key"), text_of(text).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+    buckets = size // PER_BUCKET + 1
+    known = written(_known(picked, buckets, min_words), "known")
+
+    def merge(batches):
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            ids, keys, texts, grams = batch.columns
-            held, n_held = [], 0
-            for k, (body, own) in enumerate(zip(texts.to_pylist(), grams)):
-                parts, own = words(body), own.values.to_numpy()
-                at = np.flatnonzero(np.isin(elected(parts, min_words)[0].view(np.int64), own))
-                hashes = _grams(parts, min_words)[at].view(np.int64)
-                _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-                again = first[place] != np.arange(len(at))
-                held.append((np.full(len(at), k), hashes, at, again))
-                n_held += len(at)
-                if n_held >= STEP:
-                    yield from rows(ids, keys, held)
-                    held, n_held = [], 0
-            yield from rows(ids, keys, held)
-
-    def rows(ids, keys, held):
-        if held:
-            of, hashes, at, again = (np.concatenate(c) for c in zip(*held))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(hashes), pa.array(at.astype(np.int32)), pa.array(again)],
-                names=["doc_id", "row_key", "window", "first", "again"])
-
-    found = written(picked.join(known, "row_key").select("doc_id", "row_key", "text", "grams").mapInArrow(
-        window, "doc_id long, row_key long, window long, first int, again boolean"), "passages")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "row_key")
-    # A window is repeated if two texts have it; the smallest id, then text hash, is the source.
-    sources = written(found.groupBy("window").agg(F.min(place).alias("source"), F.min("row_key").alias("a"),
-                                                  F.max("row_key").alias("b")).where("a < b").drop("a", "b"), "origins")
-    later = found.join(sources, "window").where(place > F.col("source")).select("doc_id", "row_key", "first")
-    later = later.unionByName(found.where("again").select("doc_id", "row_key", "first"))
-    merged = F.aggregate(
-        F.array_sort(F.collect_set("first")), F.array().cast("array<struct<first:int,end:int>>"),
-        lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1)["end"] >= x),
-                            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(
-                                F.element_at(s, -1)["first"].alias("first"), (x + min_words).alias("end")))))
-        .otherwise(F.concat(s, F.array(F.struct(x.alias("first"), (x + min_words).alias("end"))))))
-    return later.groupBy("doc_id", "row_key").agg(merged.alias("cuts"))
+            cuts = []
+            for parts in batch.column(2).to_pylist():
+                firsts = np.unique(np.frombuffer(b"".join(parts), np.int32))
+                gaps = np.flatnonzero(np.diff(firsts) > min_words)
+                cuts.append([{"first": a, "end": b + min_words} for a, b in zip(
+                    firsts[[0, *(gaps + 1)]].tolist(), firsts[[*gaps, -1]].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)],
+                                             names=["doc_id", "row_key", "cuts"])
+
+    return (_later(picked, known, buckets, min_words).groupBy("place", "row_key").agg(F.collect_list("firsts").alias("firsts"))
+            .select(F.nullif("place", F.lit(-(1 << 63))).alias("doc_id"), "row_key", "firsts")
+            .mapInArrow(merge, "doc_id long, row_key long, cuts array<struct<first:int,end:int>>"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*")
