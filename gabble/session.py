@@ -29,6 +29,7 @@ SETTINGS = {
 }
 
 _SCRATCH_KEY = "spark.checkpoint.dir"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -56,8 +57,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several steps read to the shared folder and read it back.
 
-    Cuts the lineage for good: a lost executor cannot make Spark repeat the work above.
+    Cuts the lineage for good: a lost executor cannot make Spark repeat the work above. The shuffle files of
+    that work are dropped as soon as it is written.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
