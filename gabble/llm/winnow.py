@@ -28,7 +28,6 @@ none, as they are one text; an empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
-import re
 from itertools import accumulate
 from struct import pack
 
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gabble.llm.common import SPACES, by_id, chunks, row_key, text_of, words
+from gabble.llm.common import by_id, chunks, row_key, text_of, words
 from gabble.session import written
 
 #: Words in a run of lines from which on a repetition is deleted.
@@ -52,7 +51,6 @@ PER_BUCKET = 32 << 20
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 18
 
-_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([k])) for k in range(256)], np.uint64)
 _POWERS = np.cumprod(np.full(BLOCK + 1, 0x9E3779B97F4A7C15, np.uint64))
 _INVERSES = np.cumprod(np.full(BLOCK + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
@@ -145,6 +143,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space: blanks, and 9 to 13 (smaller ones wrap to large numbers)."""
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
 def hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of some bytes that end in white space.
 
@@ -154,19 +157,21 @@ def hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         end = at + BLOCK
         if end < len(data):
-            blanks = np.flatnonzero(_SPACE[data[at:end]])
+            blanks = np.flatnonzero(_blank(data[at:end]))
             if not len(blanks):  # a word longer than a block
-                end += int(_SPACE[data[end:]].argmax())
+                end += int(_blank(data[end:]).argmax())
                 hashes.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].tobytes())], np.uint64))
                 starts.append(np.array([at]))
                 at = end
                 continue
             end = at + int(blanks[-1]) + 1
         block = data[at:end]
-        edges = np.flatnonzero(np.diff(_SPACE[block], prepend=True, append=True))
+        edges = np.flatnonzero(np.diff(_blank(block), prepend=True, append=True))
         first, last = edges[0::2], edges[1::2]
         sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(_BYTES[block] * _POWERS[:len(block)], out=sums[1:])
+        terms = _BYTES.take(block)
+        terms *= _POWERS[:len(block)]
+        np.cumsum(terms, out=sums[1:])
         hashes.append(_mixed((sums[last] - sums[first]) * _INVERSES[first]))
         starts.append(first + at)
         at = end
@@ -178,29 +183,35 @@ def _runs(one: np.ndarray, size: int, factor: int) -> np.ndarray:
     n = max(len(one) - size + 1, 0)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = out * np.uint64(factor) + one[k:k + n]
+        out *= np.uint64(factor)
+        out += one[k:k + n]
         out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
 
 
-def elected(texts: list[bytes], min_words: int) -> tuple[np.ndarray, ...]:
-    """Each window of ``min_words`` words: number of its text, first word there, the hash it elects (the leftmost of
-    the smallest), a number for the place of that hash, and the hash of the whole window."""
+def elected(texts: list[bytes], min_words: int, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Each window of ``min_words`` words: number of its text, the hash it elects (the leftmost of the smallest), its
+    first word in the text, and the hash of the whole window. With ``places`` each elected place once: text and hash."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     one, starts = hashed(data)
-    of = np.searchsorted(begins, starts, side="right") - 1
+    firsts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    of = np.repeat(np.arange(len(texts)), np.diff(firsts))
     size, n = min(GRAM, min_words), max(len(one) - min_words + 1, 0)
     grams = _runs(one, size, 0x9E3779B97F4A7C15)
-    least, place = grams[:n].copy(), np.arange(n)
+    least, ahead = grams[:n].copy(), np.zeros(n, np.int8 if min_words < 128 else np.int64)
     for k in range(1, min_words - size + 1):
         smaller = grams[k:k + n] < least
-        least[smaller] = grams[k:k + n][smaller]
-        place[smaller] = np.flatnonzero(smaller) + k
+        np.copyto(least, grams[k:k + n], where=smaller)
+        np.putmask(ahead, smaller, k)
     inside = np.flatnonzero(of[:n] == of[len(of) - n:])  # not across two texts
+    if places:  # one window for each
+        place = inside + ahead[inside]
+        inside = inside[np.diff(place, prepend=-1) != 0]
+        return of[inside], least[inside]
     of = of[inside]
-    at = inside - np.searchsorted(starts, begins[:-1])[of]
-    return of, at, least[inside], place[inside], _runs(one, min_words, 0xA0761D6478BD642F)[inside]
+    at = inside - firsts[of]
+    return of, least[inside], at, _runs(one, min_words, 0xA0761D6478BD642F)[inside]
 
 
 def _by(values: np.ndarray, *columns: np.ndarray):
@@ -246,18 +257,18 @@ def _known(picked: DataFrame, buckets: int, min_words: int) -> DataFrame:
         for batch in batches:
             keys, found = batch.column("row_key").to_numpy(), []
             for start, texts in _texts(batch):
-                of, _, least, place, _ = elected(texts, min_words)
-                new = np.flatnonzero(np.diff(place, prepend=-1))
-                found.append((least[new], keys[start + of[new]]))
+                of, grams = elected(texts, min_words, places=True)
+                found.append((grams, keys[start + of]))
             if not found:
                 continue
             grams, keys = (np.concatenate(c) for c in zip(*found))
             values, first, back, n = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
             twice, once = n[back] > 1, n == 1
             rows = [(int(key) % buckets, int(key), np.unique(g).tobytes(), None) for key, g in _by(keys[twice], grams[twice])]
-            some, of = values[once], keys[first[once]]
+            once = np.sort(first[once])  # by text, so that equal keys stand together and compress
+            some, of = grams[once], keys[once]
             rows += [(int(b), None, g.tobytes(), k.tobytes()) for b, g, k in _by(some % np.uint64(buckets), some, of)]
-            some = values[~once]
+            some = values[n > 1]
             rows += [(int(b), None, g.tobytes(), None) for b, g in _by(some % np.uint64(buckets), some)]
             yield _batch(rows, _MARKS)
 
@@ -293,7 +304,7 @@ def _later(picked: DataFrame, known: DataFrame, buckets: int, min_words: int) ->
             rank = (np.arange(len(ids)) - np.where(same, 1, 0).cumsum())[rank]
             shared = batch.column("grams")
             for start, texts in _texts(batch):
-                of, at, least, _, window = elected(texts, min_words)
+                of, least, at, window = elected(texts, min_words)
                 own = np.frombuffer(b"".join(x for g in shared[start:start + len(texts)].to_pylist() for x in g), np.uint64)
                 kept = np.isin(least, own)
                 of = of[kept] + start
@@ -308,6 +319,8 @@ def _later(picked: DataFrame, known: DataFrame, buckets: int, min_words: int) ->
             late = order != order[head]
             rows = [(int(keys[t]) % buckets, int(ids[t]), int(keys[t]), at.astype(np.int32).tobytes(), None, None, None, None)
                     for t, at in _by(of[late], order[late] & 0xFFFFFFFF)]
+            first = np.flatnonzero(first)
+            first = first[np.argsort(order[first])]  # by text, so that equal keys stand together and compress
             of, at = of[first], (order[first] & 0xFFFFFFFF).astype(np.int32)
             grams, windows = grams[first], windows[first]
             rows += [(int(b), None, None, *(c.tobytes() for c in parts)) for b, *parts in _by(
@@ -359,32 +372,34 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
             .mapInArrow(merge, "doc_id long, row_key long, cuts array<struct<first:int,end:int>>"))
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*")
-
-
 def cut(text: str, spans: list[tuple[int, int]], cuts: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the lines in ``spans`` and the words in ``cuts``, and how many words went beyond the lines."""
-    lines = text.split("\n")
-    gone = np.zeros(len(lines), bool)
-    for a, b in spans:
-        gone[a:b + 1] = True
-    counts = [len(words(line)) for line in lines]
-    dropped = np.zeros(sum(counts), bool)
+    """The text without the lines in ``spans`` and the words in ``cuts``, and how many words went beyond the lines.
+
+    A word goes with the white space after it, up to the end of its line; a line of which no word is left goes whole.
+    """
+    data = np.frombuffer(text.encode() + b"\n", np.uint8)
+    edges = np.flatnonzero(np.diff(_blank(data), prepend=True))
+    starts, ends = edges[0::2], np.flatnonzero(data == 10)
+    line = np.searchsorted(ends, starts)
+    dropped = np.zeros(len(starts), bool)
     for a, b in cuts:
         dropped[a:b] = True
-    left, at, n_cut = [], 0, 0
-    for line, n, whole in zip(lines, counts, gone.tolist()):
-        marks, at = dropped[at:at + n], at + n
-        if whole:
-            continue
-        if marks.any():
-            n_cut += int(marks.sum())
-            if marks.all():
-                continue
-            drop = iter(marks.tolist())
-            line = _WORD.sub(lambda m: "" if next(drop) else m[0], line)
-        left.append(line)
-    return "\n".join(left), n_cut
+    gone = np.zeros(len(ends), bool)
+    for a, b in spans:
+        gone[a:b + 1] = True
+    dropped &= ~gone[line]
+    n_cut = int(dropped.sum())
+    counts, lost = np.bincount(line, minlength=len(ends)), np.bincount(line[dropped], minlength=len(ends))
+    gone |= (lost > 0) & (lost == counts)
+    # What is left out, as steps up and down at its first byte and behind its last.
+    steps = np.zeros(len(data) + 1, np.int8)
+    dropped &= ~gone[line]
+    steps[starts[dropped]] += 1
+    steps[np.minimum(np.append(starts[1:], len(data)), ends[line])[dropped]] -= 1
+    steps[np.append(0, ends[:-1] + 1)[gone]] += 1
+    steps[ends[gone] + 1] -= 1
+    left = data[np.cumsum(steps[:-1], dtype=np.int8) == 0].tobytes()
+    return left[:-1].decode(), n_cut
 
 
 def _left(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
