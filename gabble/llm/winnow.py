@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gabble.llm.common import by_id, chunks, row_key, text_of, words
+from gabble.llm.common import by_id, chunks, row_key, text_of
 from gabble.session import written
 
 #: Words in a run of lines from which on a repetition is deleted.
@@ -60,7 +60,7 @@ WINDOWS = "doc_id long, row_key long, fingerprint long, window long, first int,
 
 def windows(text: str, min_words: int) -> list[tuple[int, int, int, int, bool]]:
     """(fingerprint, window hash, first line, last line, occurs further up in this text)."""
-    parts = [words(line) for line in text.split("\n")]
+    parts = [line.split() for line in text.encode().split(b"\n")]
     hashes = [xxhash.xxh3_64_intdigest(b" ".join(p)) - (1 << 63) for p in parts]
     before = [0, *accumulate(map(len, parts))]
     n, spans = len(parts), set()
@@ -214,137 +214,181 @@ def elected(texts: list[bytes], min_words: int, places: bool = False) -> tuple[n
     return of, least[inside], at, _runs(one, min_words, 0xA0761D6478BD642F)[inside]
 
 
+def _groups(grams: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in an order that puts equal ones (in all arrays) together, and where each group starts there."""
+    key = grams
+    for k in others:
+        key = key * np.uint64(0x9E3779B97F4A7C15) ^ k
+    turn = np.argsort(key)
+    new = np.diff(key[turn], prepend=~key[turn[:1]]) != 0
+    whole = (grams, *others)
+    if any(((c[turn][1:] != c[turn][:-1]) & ~new[1:]).any() for c in whole):  # two that differ share a key
+        turn = np.lexsort(whole)
+        new = np.ones(len(turn), bool)
+        new[1:] = np.any([c[turn][1:] != c[turn][:-1] for c in whole], axis=0)
+    return turn, np.flatnonzero(new)
+
+
 def _by(values: np.ndarray, *columns: np.ndarray):
     """The distinct values, each with its part of the columns."""
     order = np.argsort(values, kind="stable")
-    firsts = np.flatnonzero(np.diff(values[order], prepend=values[order][:1] ^ values.dtype.type(1))) if len(order) else []
-    columns = [c[order] for c in columns]
-    for a, b in zip(firsts, [*firsts[1:], len(order)]):
-        yield values[order[a]], *(c[a:b] for c in columns)
+    values, columns = values[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+    for a, b in zip(starts, [*starts[1:], len(values)]):
+        yield values[a], *(c[a:b] for c in columns)
 
 
-def _joined(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype)
+def _packed(buckets: np.ndarray, schema: pa.Schema, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row per bucket, with the other columns as bytes of arrays."""
+    rows = [(int(b), *(p.tobytes() for p in parts)) for b, *parts in _by(buckets, *columns.values())]
+    parts = dict(zip(["bucket", *columns], zip(*rows))) if rows else {}
+    return pa.RecordBatch.from_arrays([pa.array(parts.get(f.name) or [None] * len(rows), f.type) for f in schema], schema=schema)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _joined(column, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype)
 
 
-def _texts(batch: pa.RecordBatch):
-    """Texts of a batch as bytes, some :data:`BLOCK` at a time, with the number of the first."""
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch, order: np.ndarray):
+    """Texts of a batch in an order, as bytes, some :data:`BLOCK` at a time, with the number of the first."""
+    texts = batch.column("text").cast(pa.binary()).take(pa.array(order)).to_pylist()
     for a, b in chunks(map(len, texts), BLOCK):
         yield a, texts[a:b]
 
 
-_MARKS = pa.schema([("bucket", pa.int64()), ("row_key", pa.int64()), ("grams", pa.binary()), ("keys", pa.binary())])
-_KNOWN = pa.schema([("row_key", pa.int64()), ("grams", pa.binary())])
-_PLACES = pa.schema([("bucket", pa.int64()), ("place", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.binary()),
-                     ("grams", pa.binary()), ("windows", pa.binary()), ("places", pa.binary()), ("keys", pa.binary())])
-_LATER = pa.schema([("place", pa.int64()), ("row_key", pa.int64()), ("firsts", pa.binary())])
+_MARKS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("grams", pa.binary()), ("done", pa.binary())])
+_PLACES = pa.schema([("bucket", pa.int64()), ("places", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()),
+                     ("grams", pa.binary()), ("windows", pa.binary())])
+_CUTS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()),
+                   ("cuts", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 
 
 def _known(picked: DataFrame, buckets: int, min_words: int) -> DataFrame:
-    """``row_key, grams``: for each text the elected hashes that stand at two places or more, anywhere.
+    """``row_key, grams``: for each text the elected hashes that stand at two places or more, anywhere, as bytes of an array.
 
     A task settles what its batch has twice by itself and sends each hash of a batch once, in arrays by bucket, so that a
-    frequent hash reaches its bucket once per batch.
+    frequent hash reaches its bucket once per batch. What is settled is dealt again by text.
     """
 
     def mark(batches):
         for batch in batches:
             keys, found = batch.column("row_key").to_numpy(), []
-            for start, texts in _texts(batch):
+            for start, texts in _texts(batch, np.arange(len(keys))):
                 of, grams = elected(texts, min_words, places=True)
                 found.append((grams, keys[start + of]))
             if not found:
                 continue
             grams, keys = (np.concatenate(c) for c in zip(*found))
-            values, first, back, n = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
-            twice, once = n[back] > 1, n == 1
-            rows = [(int(key) % buckets, int(key), np.unique(g).tobytes(), None) for key, g in _by(keys[twice], grams[twice])]
-            once = np.sort(first[once])  # by text, so that equal keys stand together and compress
-            some, of = grams[once], keys[once]
-            rows += [(int(b), None, g.tobytes(), k.tobytes()) for b, g, k in _by(some % np.uint64(buckets), some, of)]
-            some = values[n > 1]
-            rows += [(int(b), None, g.tobytes(), None) for b, g in _by(some % np.uint64(buckets), some)]
-            yield _batch(rows, _MARKS)
+            turn, starts = _groups(grams)
+            n = np.diff(starts, append=len(turn))
+            twice = np.sort(turn[np.repeat(n > 1, n)])  # by text, so that equal keys stand together and compress
+            yield _packed(keys[twice] % buckets, _MARKS, keys=keys[twice], done=grams[twice])
+            once = np.sort(turn[starts[n == 1]])
+            yield _packed((grams[once] % np.uint64(buckets)).view(np.int64), _MARKS, grams=grams[once], keys=keys[once])
+            some = grams[turn[starts[n > 1]]]
+            yield _packed((some % np.uint64(buckets)).view(np.int64), _MARKS, grams=some)
 
     def settle(table: pa.Table) -> pa.Table:
-        done = table.filter(table["row_key"].is_valid()).select(["row_key", "grams"])
-        sent = table.filter(table["row_key"].is_null())
+        done = table.filter(table["done"].is_valid())
+        sent = table.filter(table["done"].is_null())
         single, double = sent.filter(sent["keys"].is_valid()), sent.filter(sent["keys"].is_null())
         grams, keys = _joined(single["grams"], np.uint64), _joined(single["keys"], np.int64)
-        values, back, n = np.unique(grams, return_inverse=True, return_counts=True)
-        shared = ((n > 1) | np.isin(values, _joined(double["grams"], np.uint64)))[back]
-        rows = [(int(key), g.tobytes()) for key, g in _by(keys[shared], grams[shared])]
-        return pa.concat_tables([done.cast(_KNOWN), pa.Table.from_batches([_batch(rows, _KNOWN)])])
-
-    marks = picked.select("row_key", "text").mapInArrow(mark, "bucket long, row_key long, grams binary, keys binary")
-    return (marks.groupBy("bucket").applyInArrow(settle, "row_key long, grams binary")
-            .groupBy("row_key").agg(F.collect_list("grams").alias("grams")))
+        n_single = len(grams)
+        grams = np.concatenate([grams, _joined(double["grams"], np.uint64)])
+        turn, starts = _groups(grams)
+        n = np.diff(starts, append=len(turn))
+        # One that was sent without a text stands at two places by itself.
+        shared = np.sort(turn[np.repeat(n > 1, n)])
+        shared = shared[shared < n_single]
+        return pa.concat_tables([done, pa.Table.from_batches([
+            _packed(keys[shared] % buckets, _MARKS, keys=keys[shared], done=grams[shared])])])
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = [(int(key), g.tobytes()) for key, g in _by(_joined(table["keys"], np.int64), _joined(table["done"], np.uint64))]
+        keys, grams = zip(*rows) if rows else ([], [])
+        return pa.table({"row_key": pa.array(keys, pa.int64()), "grams": pa.array(grams, pa.binary())})
+
+    fields = "bucket long, keys binary, grams binary, done binary"
+    marks = picked.select("row_key", "text").mapInArrow(mark, fields)
+    return (marks.groupBy("bucket").applyInArrow(settle, fields)
+            .groupBy("bucket").applyInArrow(gather, "row_key long, grams binary"))
 
 
 def _later(picked: DataFrame, known: DataFrame, buckets: int, min_words: int) -> DataFrame:
-    """``place, row_key, firsts``: first words of the windows that also occur earlier.
+    """``doc_id, row_key, cuts``: the windows that also occur earlier, merged.
 
     The windows around a joined position are those that elected it. A batch sends the earliest place of each; the others
-    are later ones already.
+    are later ones already. What is settled is dealt again by text.
     """
 
     def around(batches):
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("place", "row_key"))
-            rank = np.lexsort((keys, ids)).argsort()
-            # Equal rows are one text.
-            ordered, found = np.lexsort((keys, ids)), []
-            same = np.concatenate([[False], (np.diff(ids[ordered]) == 0) & (np.diff(keys[ordered]) == 0)])
-            rank = (np.arange(len(ids)) - np.where(same, 1, 0).cumsum())[rank]
-            shared = batch.column("grams")
-            for start, texts in _texts(batch):
+            turn = np.lexsort((keys, ids))
+            shared, found = batch.column("grams").take(pa.array(turn)).to_pylist(), []
+            ids, keys = ids[turn], keys[turn]
+            rank = np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(keys) != 0)])[:len(ids)].cumsum() - 1  # equal rows are one text
+            ids, keys = ids[np.diff(rank, prepend=-1) != 0], keys[np.diff(rank, prepend=-1) != 0]
+            for start, texts in _texts(batch, turn):
                 of, least, at, window = elected(texts, min_words)
-                own = np.frombuffer(b"".join(x for g in shared[start:start + len(texts)].to_pylist() for x in g), np.uint64)
-                kept = np.isin(least, own)
-                of = of[kept] + start
-                found.append((least[kept], window[kept], rank[of] << 32 | at[kept], of))
+                # A few others may pass; the windows themselves decide.
+                own = np.zeros(1 << 20, bool)
+                own[np.frombuffer(b"".join(shared[start:start + len(texts)]), np.uint64) & np.uint64(0xFFFFF)] = True
+                kept = np.flatnonzero(own[least & np.uint64(0xFFFFF)])
+                found.append((least[kept], window[kept], rank[of[kept] + start] << 32 | at[kept]))
             if not found:
                 continue
-            grams, windows, order, of = (np.concatenate(c) for c in zip(*found))
-            turn = np.lexsort((order, windows, grams))
-            grams, windows, order, of = grams[turn], windows[turn], order[turn], of[turn]
-            first = np.concatenate([[True], (grams[1:] != grams[:-1]) | (windows[1:] != windows[:-1])])[:len(turn)]
-            head = np.flatnonzero(first)[first.cumsum() - 1]
-            late = order != order[head]
-            rows = [(int(keys[t]) % buckets, int(ids[t]), int(keys[t]), at.astype(np.int32).tobytes(), None, None, None, None)
-                    for t, at in _by(of[late], order[late] & 0xFFFFFFFF)]
-            first = np.flatnonzero(first)
-            first = first[np.argsort(order[first])]  # by text, so that equal keys stand together and compress
-            of, at = of[first], (order[first] & 0xFFFFFFFF).astype(np.int32)
-            grams, windows = grams[first], windows[first]
-            rows += [(int(b), None, None, *(c.tobytes() for c in parts)) for b, *parts in _by(
-                grams % np.uint64(buckets), at, grams, windows, ids[of], keys[of])]
-            yield _batch(rows, _PLACES)
+            grams, windows, order = (np.concatenate(c) for c in zip(*found))
+            if not len(order):
+                continue
+            turn, starts = _groups(grams, windows)
+            head = np.minimum.reduceat(turn, starts)  # rows stand in the order of places
+            late = order[turn] != np.repeat(order[head], np.diff(starts, append=len(turn)))
+            late = np.unique(order[turn[late]])
+            of = late >> 32
+            yield _packed(keys[of] % buckets, _PLACES, places=ids[of], keys=keys[of], firsts=(late & 0xFFFFFFFF).astype(np.int32))
+            head = np.sort(head)  # by text, so that equal keys stand together and compress
+            grams, windows, of = grams[head], windows[head], order[head] >> 32
+            yield _packed((grams % np.uint64(buckets)).view(np.int64), _PLACES, places=ids[of], keys=keys[of],
+                          firsts=(order[head] & 0xFFFFFFFF).astype(np.int32), grams=grams, windows=windows)
 
     def settle(table: pa.Table) -> pa.Table:
-        done = table.filter(table["row_key"].is_valid()).select(["place", "row_key", "firsts"])
-        sent = table.filter(table["row_key"].is_null())
-        at, grams, windows, ids, keys = (_joined(sent[c], t) for c, t in (
-            ("firsts", np.int32), ("grams", np.uint64), ("windows", np.uint64), ("places", np.int64), ("keys", np.int64)))
-        turn = np.lexsort((at, keys, ids, windows, grams))
-        at, grams, windows, ids, keys = (c[turn] for c in (at, grams, windows, ids, keys))
-        first = np.concatenate([[True], (grams[1:] != grams[:-1]) | (windows[1:] != windows[:-1])])[:len(turn)]
-        head = np.flatnonzero(first)[first.cumsum() - 1]
-        late = (ids != ids[head]) | (keys != keys[head]) | (at != at[head])
-        rows = []
-        for key, i, a in _by(keys[late], ids[late], at[late]):
-            rows += [(int(p), int(key), f.tobytes()) for p, f in _by(i, a)]
-        return pa.concat_tables([done.cast(_LATER), pa.Table.from_batches([_batch(rows, _LATER)])])
-
-    places = picked.join(known, "row_key").select("place", "row_key", "text", "grams").mapInArrow(
-        around, "bucket long, place long, row_key long, firsts binary, grams binary, windows binary, places binary, keys binary")
-    return places.groupBy("bucket").applyInArrow(settle, "place long, row_key long, firsts binary")
+        done = table.filter(table["grams"].is_null())
+        sent = table.filter(table["grams"].is_valid())
+        grams, windows = _joined(sent["grams"], np.uint64), _joined(sent["windows"], np.uint64)
+        turn, starts = _groups(grams, windows)
+        n = np.diff(starts, append=len(turn))
+        group = np.repeat(np.arange(len(starts)), n)
+        some = np.repeat(n > 1, n)
+        turn, group = turn[some], group[some]
+        ids, keys, at = (_joined(sent[c], t)[turn] for c, t in (("places", np.int64), ("keys", np.int64), ("firsts", np.int32)))
+        turn = np.lexsort((at, keys, ids, group))
+        ids, keys, at, group = ids[turn], keys[turn], at[turn], group[turn]
+        new = np.diff(group, prepend=-1) != 0
+        head = np.flatnonzero(new)[new.cumsum() - 1]
+        late = np.flatnonzero((ids != ids[head]) | (keys != keys[head]) | (at != at[head]))
+        late = late[np.argsort(keys[late])]
+        return pa.concat_tables([done, pa.Table.from_batches([
+            _packed(keys[late] % buckets, _PLACES, places=ids[late], keys=keys[late], firsts=at[late])])])
+
+    def merge(table: pa.Table) -> pa.Table:
+        ids, keys, at = (_joined(table[c], t) for c, t in (("places", np.int64), ("keys", np.int64), ("firsts", np.int32)))
+        turn = np.lexsort((at, keys, ids))
+        ids, keys, at = ids[turn], keys[turn], at[turn]
+        text = (np.diff(ids, prepend=~ids[:1]) != 0) | (np.diff(keys, prepend=~keys[:1]) != 0)
+        starts = np.flatnonzero(text | (np.diff(at, prepend=at[:1]) > min_words))
+        ends = np.append(starts[1:], len(at))[:len(starts)] - 1
+        texts = np.flatnonzero(text)
+        cuts = pa.StructArray.from_arrays([pa.array(at[starts]), pa.array(at[ends] + np.int32(min_words))], names=["first", "end"])
+        bounds = pa.array(np.searchsorted(starts, np.append(texts, len(at))).astype(np.int32))
+        least = -(1 << 63)
+        return pa.Table.from_arrays([pa.array(ids[texts], mask=ids[texts] == least), pa.array(keys[texts]),
+                                     pa.ListArray.from_arrays(bounds, cuts)], names=["doc_id", "row_key", "cuts"]).cast(_CUTS)
+
+    fields = "bucket long, places binary, keys binary, firsts binary, grams binary, windows binary"
+    places = picked.join(known, "row_key").select("place", "row_key", "text", "grams").mapInArrow(around, fields)
+    return (places.groupBy("bucket").applyInArrow(settle, fields)
+            .groupBy("bucket").applyInArrow(merge, "doc_id long, row_key long, cuts array<struct<first:int,end:int>>"))
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -354,22 +398,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     size = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     buckets = size // PER_BUCKET + 1
     known = written(_known(picked, buckets, min_words), "known")
-
-    def merge(batches):
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            cuts = []
-            for parts in batch.column(2).to_pylist():
-                firsts = np.unique(np.frombuffer(b"".join(parts), np.int32))
-                gaps = np.flatnonzero(np.diff(firsts) > min_words)
-                cuts.append([{"first": a, "end": b + min_words} for a, b in zip(
-                    firsts[[0, *(gaps + 1)]].tolist(), firsts[[*gaps, -1]].tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, kind)],
-                                             names=["doc_id", "row_key", "cuts"])
-
-    return (_later(picked, known, buckets, min_words).groupBy("place", "row_key").agg(F.collect_list("firsts").alias("firsts"))
-            .select(F.nullif("place", F.lit(-(1 << 63))).alias("doc_id"), "row_key", "firsts")
-            .mapInArrow(merge, "doc_id long, row_key long, cuts array<struct<first:int,end:int>>"))
+    return _later(picked, known, buckets, min_words)
 
 
 def cut(text: str, spans: list[tuple[int, int]], cuts: list[tuple[int, int]]) -> tuple[str, int]:
@@ -416,13 +445,16 @@ def _left(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
 
     @F.pandas_udf("text string, n_cut long")
     def rest(body: pd.Series, spans: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-        pairs = [[tuple(s.values()) for s in x] if x is not None else [] for x in spans], [
-            [tuple(c.values()) for c in x] if x is not None else [] for x in cuts]
-        return pd.DataFrame([cut(b, s, c) for b, s, c in zip(body, *pairs)], columns=["text", "n_cut"])
+        pairs = ([x.reshape(-1, 2).tolist() if x is not None else [] for x in c] for c in (spans, cuts))
+        return pd.DataFrame([cut(b, s, c) if s or c else (b, 0) for b, s, c in zip(body, *pairs)], columns=["text", "n_cut"])
+
+    def flat(pairs, first, second):
+        return F.flatten(F.transform(pairs, lambda x: F.array(x[first], x[second])))
 
     touched = F.col("_spans").isNotNull() | F.col("_cuts").isNotNull()
     # Texts that stay whole do not travel to Python.
-    return joined.withColumn("_left", rest(F.when(touched, text_of(text)).otherwise(F.lit("")), "_spans", "_cuts")).withColumn(
+    return joined.withColumn("_left", rest(F.when(touched, text_of(text)).otherwise(F.lit("")),
+                                              flat("_spans", "first", "last"), flat("_cuts", "first", "end"))).withColumn(
         "_left", F.struct(F.when(touched, F.col("_left.text")).otherwise(F.col(text)).alias("text"), F.col("_left.n_cut").alias("n_cut")))
 
 
