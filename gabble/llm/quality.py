@@ -14,6 +14,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import repeat
+from math import floor
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ FUNCTION_WORDS = frozenset(
     "el los las y que se del un una por con para es al no su lo como más".split())
 SIGNS = "#*$%&|<>"
 LABELLERS = ("signs", "case", "repetition", "vocabulary", "clutter", "length", "line_ends", "word_length", "function_words")
-_SHAPE = (re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"(.)\1+"))
+_LETTER, _DIGIT, _AGAIN = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"(.)\1+")
+_MARKS = ".,;:!?"
 
 
 def _band(value: float, bad: float, good: float) -> int:
@@ -50,14 +55,14 @@ def properties(text: str) -> tuple[list[str], tuple[float, ...]]:
     words = text.split()
     n = max(len(words), 1)
     letters = sum(map(len, words)) or 1
-    upper = sum(w.isupper() and len(w) > 1 for w in words)
-    same = sum(a == b for a, b in zip(words, words[1:]))
+    upper = sum([len(w) > 1 for w in words if w.isupper()])
+    same = sum(map(eq, words, words[1:]))
     lines = [line.rstrip() for line in text.split("\n") if line.strip()]
     return words, (
         sum(map(text.count, SIGNS)) / n, upper / n, same / n, len(set(words)) / n ** 0.8,
-        sum(len(w) > 2 and not w[-1].isalnum() and not w[-2].isalnum() for w in words) / n, float(len(words)),
+        sum([len(w) > 2 and not w[-2].isalnum() for w in words if not w[-1].isalnum()]) / n, float(len(words)),
         sum(line.endswith((".", "!", "?", '"', ":", "…")) for line in lines) / max(len(lines), 1), letters / n,
-        sum(w.lower().strip(".,;:!?") in FUNCTION_WORDS for w in words) / n)
+        sum(map(FUNCTION_WORDS.__contains__, map(str.strip, text.lower().split(), repeat(_MARKS)))) / n)
 
 
 #: For each labeller the bad and the good bound.
@@ -70,9 +75,29 @@ def vote(text: str) -> list[int]:
     return votes if words else [-1] * len(votes)
 
 
+class _Kinds(dict):
+    """What stands for a character in a shape; each is looked at once."""
+
+    def __missing__(self, code: int) -> str:
+        one = chr(code)
+        kind = ("A" if one.isupper() else "a") if _LETTER.match(one) else "9" if _DIGIT.match(one) else one
+        if len(self) < 10_000:
+            self[code] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+_ASCII = bytes(ord(_KINDS[k]) for k in range(128)) + bytes(128)
+
+
+@lru_cache(10_000)
+def _shape(kinds: str) -> str:
+    return "s:" + _AGAIN.sub(r"\1+", kinds)
+
+
 def word_features(word: str) -> list[str]:
-    shape = _SHAPE[1].sub("9", _SHAPE[0].sub(lambda m: "A" if m[0].isupper() else "a", word))
-    return ["w:" + word.lower(), "s:" + _SHAPE[2].sub(r"\1+", shape)]
+    kinds = word.encode().translate(_ASCII).decode() if word.isascii() else word.translate(_KINDS)
+    return ["w:" + word.lower(), _shape(kinds)]
 
 
 def text_features(text: str) -> tuple[dict[str, float], list[str]]:
@@ -86,7 +111,7 @@ def text_features(text: str) -> tuple[dict[str, float], list[str]]:
 def _step(value: float, bounds: tuple[float, float]) -> int:
     """The place of a quantity between its bounds, in steps of a quarter."""
     low, high = min(bounds), max(bounds)
-    return int(np.clip(np.floor(4 * (value - low) / (high - low)), -4, 8))
+    return max(-4, min(8, floor(4 * (value - low) / (high - low))))
 
 
 EXTRACTOR = hashed_linear.Extractor(word_features, text_features)
