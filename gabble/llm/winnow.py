@@ -28,12 +28,14 @@ none, as they are one text; an empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 from struct import pack
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,19 +201,31 @@ def elected(texts: list[bytes], min_words: int, places: bool = False) -> tuple[n
     of = np.repeat(np.arange(len(texts)), np.diff(firsts))
     size, n = min(GRAM, min_words), max(len(one) - min_words + 1, 0)
     grams = _runs(one, size, 0x9E3779B97F4A7C15)
-    least, ahead = grams[:n].copy(), np.zeros(n, np.int8 if min_words < 128 else np.int64)
-    for k in range(1, min_words - size + 1):
-        smaller = grams[k:k + n] < least
-        np.copyto(least, grams[k:k + n], where=smaller)
-        np.putmask(ahead, smaller, k)
-    inside = np.flatnonzero(of[:n] == of[len(of) - n:])  # not across two texts
-    if places:  # one window for each
-        place = inside + ahead[inside]
-        inside = inside[np.diff(place, prepend=-1) != 0]
-        return of[inside], least[inside]
-    of = of[inside]
-    at = inside - firsts[of]
-    return of, least[inside], at, _runs(one, min_words, 0xA0761D6478BD642F)[inside]
+    least = _least(grams, min_words - size + 1)
+    inside = of[:n] == of[len(of) - n:]  # not across two texts
+    if places:  # one window for each: where the hash changes, or its leftmost place has gone
+        moved = inside.copy()
+        moved[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (grams[:n - 1] == least[:-1]) if n else True
+        at = np.flatnonzero(moved)
+        return of[at], least[at]
+    at = np.flatnonzero(inside)
+    # Its grams side by side, the last one at its end, cover a window.
+    window = np.zeros(n, np.uint64)
+    for k in (*range(0, min_words - size, size), min_words - size):
+        window *= np.uint64(0xA0761D6478BD642F)
+        window += grams[k:k + n]
+        window ^= window >> np.uint64(32)
+    window *= np.uint64(0xBF58476D1CE4E5B9)
+    return of[at], least[at], at - firsts[of[at]], window[at]
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` values in a row."""
+    n, span = max(len(values) - width + 1, 0), 1
+    while 2 * span <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[:n], values[width - span:][:n])
 
 
 def _groups(grams: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +245,8 @@ def _groups(grams: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _by(values: np.ndarray, *columns: np.ndarray):
     """The distinct values, each with its part of the columns."""
-    order = np.argsort(values, kind="stable")
+    small = len(values) > 0 and 0 <= values.min() and values.max() < 1 << 16  # numbers of buckets sort faster as such
+    order = np.argsort(values.astype(np.uint16) if small else values, kind="stable")
     values, columns = values[order], [c[order] for c in columns]
     starts = np.flatnonzero(np.diff(values, prepend=~values[:1]))
     for a, b in zip(starts, [*starts[1:], len(values)]):
@@ -246,7 +261,32 @@ def _packed(buckets: np.ndarray, schema: pa.Schema, **columns: np.ndarray) -> pa
 
 
 def _joined(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype)
+    return np.frombuffer(b"".join([x.as_buffer() for x in column.drop_null()]), dtype)
+
+
+def _chosen(n: int, rows: np.ndarray) -> np.ndarray:
+    """Distinct row numbers below ``n`` in ascending order."""
+    own = np.zeros(n, bool)
+    own[rows] = True
+    return np.flatnonzero(own)
+
+
+#: Parts of a bucket that are sorted one after the other.
+PARTS = 8
+
+
+def _repeated(grams: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are equal to another one (in all arrays), group by group, and the sizes of the groups."""
+    turns, sizes = [], []
+    part = (_mixed(grams) >> np.uint64(32)) % np.uint64(PARTS)  # of equal ones the same
+    part = part.astype(np.uint8)
+    for k in range(PARTS):
+        own = np.flatnonzero(part == k)
+        turn, starts = _groups(grams[own], *(c[own] for c in others))
+        n = np.diff(starts, append=len(turn))
+        turns.append(own[turn[np.repeat(n > 1, n)]])
+        sizes.append(n[n > 1])
+    return np.concatenate(turns), np.concatenate(sizes)
 
 
 def _texts(batch: pa.RecordBatch, order: np.ndarray):
@@ -281,27 +321,28 @@ def _known(picked: DataFrame, buckets: int, min_words: int) -> DataFrame:
             grams, keys = (np.concatenate(c) for c in zip(*found))
             turn, starts = _groups(grams)
             n = np.diff(starts, append=len(turn))
-            twice = np.sort(turn[np.repeat(n > 1, n)])  # by text, so that equal keys stand together and compress
+            twice = _chosen(len(turn), turn[np.repeat(n > 1, n)])  # by text, so that equal keys stand together and compress
             yield _packed(keys[twice] % buckets, _MARKS, keys=keys[twice], done=grams[twice])
-            once = np.sort(turn[starts[n == 1]])
+            once = _chosen(len(turn), turn[starts[n == 1]])
             yield _packed((grams[once] % np.uint64(buckets)).view(np.int64), _MARKS, grams=grams[once], keys=keys[once])
             some = grams[turn[starts[n > 1]]]
             yield _packed((some % np.uint64(buckets)).view(np.int64), _MARKS, grams=some)
 
-    def settle(table: pa.Table) -> pa.Table:
-        done = table.filter(table["done"].is_valid())
-        sent = table.filter(table["done"].is_null())
-        single, double = sent.filter(sent["keys"].is_valid()), sent.filter(sent["keys"].is_null())
-        grams, keys = _joined(single["grams"], np.uint64), _joined(single["keys"], np.int64)
-        n_single = len(grams)
-        grams = np.concatenate([grams, _joined(double["grams"], np.uint64)])
-        turn, starts = _groups(grams)
-        n = np.diff(starts, append=len(turn))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, keys, double = [], [], []
+        for batch in batches:  # one after the other, so that no task holds a bucket's rows beside its arrays
+            yield batch.filter(pc.is_valid(batch["done"]))
+            lone = batch.filter(pc.and_(pc.is_valid(batch["grams"]), pc.is_valid(batch["keys"])))
+            single.append(_joined(lone["grams"], np.uint64))
+            keys.append(_joined(lone["keys"], np.int64))
+            double.append(_joined(batch.filter(pc.and_(pc.is_valid(batch["grams"]), pc.is_null(batch["keys"])))["grams"], np.uint64))
+        n_single, grams = sum(map(len, single)), np.concatenate([*single, *double])
+        del single, double
         # One that was sent without a text stands at two places by itself.
-        shared = np.sort(turn[np.repeat(n > 1, n)])
-        shared = shared[shared < n_single]
-        return pa.concat_tables([done, pa.Table.from_batches([
-            _packed(keys[shared] % buckets, _MARKS, keys=keys[shared], done=grams[shared])])])
+        shared = _chosen(len(grams), _repeated(grams)[0])
+        shared = shared[:np.searchsorted(shared, n_single)]
+        keys = np.concatenate(keys)[shared]
+        yield _packed(keys % buckets, _MARKS, keys=keys, done=grams[shared])
 
     def gather(table: pa.Table) -> pa.Table:
         rows = [(int(key), g.tobytes()) for key, g in _by(_joined(table["keys"], np.int64), _joined(table["done"], np.uint64))]
@@ -344,32 +385,33 @@ def _later(picked: DataFrame, known: DataFrame, buckets: int, min_words: int) ->
             turn, starts = _groups(grams, windows)
             head = np.minimum.reduceat(turn, starts)  # rows stand in the order of places
             late = order[turn] != np.repeat(order[head], np.diff(starts, append=len(turn)))
-            late = np.unique(order[turn[late]])
+            late = order[_chosen(len(order), turn[late])]
+            if (np.diff(late) <= 0).any():  # of equal rows
+                late = np.unique(late)
             of = late >> 32
             yield _packed(keys[of] % buckets, _PLACES, places=ids[of], keys=keys[of], firsts=(late & 0xFFFFFFFF).astype(np.int32))
-            head = np.sort(head)  # by text, so that equal keys stand together and compress
+            head = _chosen(len(order), head)  # by text, so that equal keys stand together and compress
             grams, windows, of = grams[head], windows[head], order[head] >> 32
             yield _packed((grams % np.uint64(buckets)).view(np.int64), _PLACES, places=ids[of], keys=keys[of],
                           firsts=(order[head] & 0xFFFFFFFF).astype(np.int32), grams=grams, windows=windows)
 
-    def settle(table: pa.Table) -> pa.Table:
-        done = table.filter(table["grams"].is_null())
-        sent = table.filter(table["grams"].is_valid())
-        grams, windows = _joined(sent["grams"], np.uint64), _joined(sent["windows"], np.uint64)
-        turn, starts = _groups(grams, windows)
-        n = np.diff(starts, append=len(turn))
-        group = np.repeat(np.arange(len(starts)), n)
-        some = np.repeat(n > 1, n)
-        turn, group = turn[some], group[some]
-        ids, keys, at = (_joined(sent[c], t)[turn] for c, t in (("places", np.int64), ("keys", np.int64), ("firsts", np.int32)))
-        turn = np.lexsort((at, keys, ids, group))
-        ids, keys, at, group = ids[turn], keys[turn], at[turn], group[turn]
-        new = np.diff(group, prepend=-1) != 0
-        head = np.flatnonzero(new)[new.cumsum() - 1]
-        late = np.flatnonzero((ids != ids[head]) | (keys != keys[head]) | (at != at[head]))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"grams": np.uint64, "windows": np.uint64, "places": np.int64, "keys": np.int64, "firsts": np.int32}
+        sent = {c: [np.zeros(0, t)] for c, t in kinds.items()}
+        for batch in batches:  # one after the other, so that no task holds a bucket's rows beside its arrays
+            yield batch.filter(pc.is_null(batch["grams"]))
+            batch = batch.filter(pc.is_valid(batch["grams"]))
+            for c, t in kinds.items():
+                sent[c].append(_joined(batch[c], t))
+        turn, n = _repeated(*(np.concatenate(sent.pop(c)) for c in ("grams", "windows")))
+        ids, keys, at = (np.concatenate(sent.pop(c))[turn] for c in ("places", "keys", "firsts"))
+        # The earliest place of each group stays.
+        first = np.ones(len(turn), bool)
+        for c in (ids, keys, at) if len(turn) else ():
+            first &= c == np.repeat(np.minimum.reduceat(np.where(first, c, np.iinfo(c.dtype).max), np.cumsum(n) - n), n)
+        late = np.flatnonzero(~first)
         late = late[np.argsort(keys[late])]
-        return pa.concat_tables([done, pa.Table.from_batches([
-            _packed(keys[late] % buckets, _PLACES, places=ids[late], keys=keys[late], firsts=at[late])])])
+        yield _packed(keys[late] % buckets, _PLACES, places=ids[late], keys=keys[late], firsts=at[late])
 
     def merge(table: pa.Table) -> pa.Table:
         ids, keys, at = (_joined(table[c], t) for c, t in (("places", np.int64), ("keys", np.int64), ("firsts", np.int32)))
