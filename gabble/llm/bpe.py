@@ -3,7 +3,10 @@
 Each task splits its texts with the tokenizer's pattern and holds the distinct pieces. Their bytes become
 token-position rows. A recursive query joins neighbouring tokens with the merge table, contracts each piece's
 leftmost pair of least rank, and stops when no pair of any piece is in the table. Ordered aggregation of the
-rows gives the ids of a piece, and, for decoding, the bytes of a text from the rows of its ids.
+rows gives the ids of a piece, and, for decoding, the bytes of runs of ids from theirs.
+
+Words repeat, so both ways work on distinct ones: a text is cut at its spaces, its ids before the tokens that
+open with a space (a run), and Arrow's dictionary encoding deals the results back to the places of the text.
 
 The merge table holds every pair of tokens whose joined bytes are a token, ranked by it; a piece that is a token
 is that token. Pieces over ``LONG`` bytes contract all pairs of least rank that don't overlap in one step, from
@@ -58,8 +61,8 @@ WITH RECURSIVE s AS (
             FROM s WHERE rank IS NOT NULL GROUP BY piece) b
       JOIN s g ON g.piece = b.piece AND g.pos = b.gone) h ON s.piece = h.piece
     WHERE s.pos <> h.gone) u
-  LEFT JOIN merges m ON u.touched AND m.pair = u.token::BIGINT << 32 | u.follower),
-fixed AS (SELECT piece, max(step) AS step FROM s GROUP BY piece)
+  LEFT JOIN merges m ON m.pair = CASE WHEN u.touched THEN u.token::BIGINT << 32 | u.follower END),
+fixed AS (SELECT piece, max(step) AS step FROM s WHERE pos = 0 GROUP BY piece)
 SELECT piece, list(token ORDER BY pos) AS ids FROM s JOIN fixed USING (piece, step) GROUP BY piece ORDER BY piece
 """
 
@@ -89,12 +92,12 @@ WHERE step = last GROUP BY piece ORDER BY piece
 """
 
 _DECODE_SQL = """
-SELECT string_agg(v.hex, '' ORDER BY i.pos) AS hex, i.doc FROM ids i JOIN vocabulary v ON v.id = i.id
-GROUP BY i.doc ORDER BY i.doc
+SELECT string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v ON v.id = i.id
 """
 
-#: A space before white space joins it in one piece, so that single spaces no longer part the pieces.
-_JOINED_SPACE = re.compile(r" (?:\s|$)")
+#: A space between white space, or between it and the end, joins it in one piece. Other spaces open a piece.
+_JOINED_SPACE = re.compile(r"\s (?:\s|$)")
+_OPENING_SPACE = re.compile(r"(?<!\s) | (?=\S)")
 
 
 class Codec:
@@ -105,9 +108,12 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-        self.names = {i: str(i) for i in ranks.values()}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.names = pa.array([b"%d " % i for i in range(max(ranks.values()) + 1)], pa.large_binary())
+        self.opens, self.sizes = np.zeros(len(self.names) + 1, bool), np.zeros(len(self.names) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.opens[rank], self.sizes[rank] = token.startswith(b" "), len(token)
         pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t))
                  if t[:i] in ranks and t[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": tempfile.gettempdir()})
@@ -166,24 +172,39 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Words between single spaces are met again and remembered."""
-        split = []
-        for text in texts:
-            if _JOINED_SPACE.search(text):
-                split.append(self.pattern.findall(text))
-            else:
-                parts = text.split(" ")
-                split.append([parts[0], *[" " + p for p in parts[1:]]] if text else [])
+        """The ids of each text. Words between spaces are met again: distinct ones are encoded, and remembered."""
+        if not texts:
+            return []
+        if any(map(_JOINED_SPACE.search, texts)):
+            parts = pa.array([(_OPENING_SPACE.split(t) if _JOINED_SPACE.search(t) else t.split(" ")) for t in texts],
+                             pa.list_(pa.string()))
+        else:
+            parts = pa.compute.split_pattern(pa.array(texts, pa.string()), " ")
+        ends, parts = parts.offsets.to_numpy(), parts.flatten()
+        first = np.zeros(len(parts), bool)
+        first[ends[:-1]] = True
+        rest = parts.filter(pa.array(~first)).dictionary_encode()
+        words = [" " + w for w in rest.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        places = np.empty(len(parts), np.int32)
+        places[~first] = rest.indices.to_numpy()
+        places[first] = np.arange(len(words), len(words) + len(texts))
+        found = self.words(words + parts.filter(pa.array(first)).to_pylist())
+        data, bounds = _spread(pa.array(found, pa.large_binary()), pa.array(places))
+        ids, bounds = np.frombuffer(data, np.int32), (bounds[ends] // 4).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, as bytes: of the remembered, and of the others piece by piece."""
         known = self.new
-        unknown = self._missing(p for parts in split for p in set(parts).difference(known))
-        words = [self.pattern.findall(u) for u in unknown]
+        unknown = self._missing(w for w in words if w not in known)
+        split = [self.pattern.findall(u) for u in unknown]
         # A piece on its own is split into itself, so it is remembered like a word.
-        distinct = self._missing(p for w in words for p in w if p not in known)
+        distinct = self._missing(p for w in split for p in w if p not in known)
         known.update(zip(distinct, [x.tobytes() for x in self.pieces(distinct)]))
-        for u, w in zip(unknown, words):
+        for u, w in zip(unknown, split):
             if len(w) != 1:
                 known[u] = b"".join([known[p] for p in w])
-        out = [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32) for parts in split]
+        out = list(map(known.__getitem__, words))
         if len(known) > REMEMBERED:
             self.old, self.new = known, {}
         return out
@@ -202,15 +223,53 @@ class Codec:
         """The bytes of each list of ids."""
         out: list[bytes] = []
         for a, b in chunks(map(len, ids), QUERY_IDS):
-            part = ids[a:b]
-            sizes = [len(x) for x in part]
-            found = self._query("ids", pa.table({
-                "doc": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                "pos": np.arange(sum(sizes), dtype=np.int32), "id": np.concatenate(part)}), _DECODE_SQL)
-            texts = dict(zip(found.column("doc").to_pylist(), found.column("hex").to_pylist()))
-            out += [bytes.fromhex(texts.get(i, "")) for i in range(len(part))]
+            joined = np.concatenate(ids[a:b])
+            ends = np.cumsum([0, *map(len, ids[a:b])])
+            cut = np.append(self.opens[self._inside(joined)], True)
+            cut[ends] = True
+            starts = np.flatnonzero(cut)
+            runs = _sliced(joined, starts * 4).dictionary_encode()
+            data, bounds = _spread(self.runs(runs.dictionary), runs.indices)
+            bounds = bounds[np.searchsorted(starts, ends)].tolist()
+            out += [bytes(data[x:y]) for x, y in zip(bounds, bounds[1:])]
         return out
 
+    def runs(self, runs: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The bytes of runs of ids."""
+        data, bounds = _content(runs)
+        ids = np.frombuffer(data, np.int32)
+        found = self._query("ids", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "id": ids}), _DECODE_SQL)
+        ends = np.cumsum(np.append(0, self.sizes[self._inside(ids)]))
+        return _sliced(bytes.fromhex(found.column("hex")[0].as_py() or ""), ends[bounds // 4])
+
+    def _inside(self, ids: np.ndarray) -> np.ndarray:
+        """Ids, with a place of its own for those beyond the vocabulary, which have no bytes."""
+        return np.where((ids >= 0) & (ids < len(self.names)), ids, len(self.names))
+
+    def written(self, ids: list[np.ndarray]) -> list[memoryview]:
+        """The decimal ids of each list, joined by one space."""
+        data, bounds = _spread(self.names, pa.array(np.concatenate(ids)))
+        bounds = bounds[np.cumsum([0, *map(len, ids)])].tolist()
+        return [data[a:max(a, b - 1)] for a, b in zip(bounds, bounds[1:])]
+
+
+def _sliced(data: bytes | np.ndarray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
+def _content(values: pa.LargeBinaryArray) -> tuple[memoryview, np.ndarray]:
+    """Values of a fresh array, joined, and their bounds."""
+    if not len(values):
+        return memoryview(b""), np.zeros(1, np.int64)
+    _, bounds, data = values.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[:len(values) + 1]
+    return memoryview(data or b"")[:bounds[-1]], bounds
+
+
+def _spread(values: pa.LargeBinaryArray, places: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The values at the places, joined, and their bounds."""
+    return _content(values.take(places))
+
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     out = []
@@ -270,10 +329,9 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id
             for a, b, texts in _texts(batch.column(1)):
                 ids = own.encode(texts)
                 raw = own.decode(ids)
-                names = own.names
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(" ".join([names[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in own.written(ids)]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in raw])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
