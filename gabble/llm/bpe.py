@@ -205,6 +205,10 @@ class Codec:
             if len(w) != 1:
                 known[u] = b"".join([known[p] for p in w])
         out = list(map(known.__getitem__, words))
+        for u, w in zip(unknown, split):
+            # Lines without spaces are long and seldom repeat; their pieces are remembered.
+            if len(u) > LONG and len(w) > 1:
+                del known[u]
         if len(known) > REMEMBERED:
             self.old, self.new = known, {}
         return out

@@ -79,3 +79,11 @@ def test_forgotten_words_are_encoded_again(codec, monkeypatch):
         assert [x.tolist() for x in ids] == [tokens.encode_ordinary(t) for t in part]
         assert codec.decode(ids) == [t.encode() for t in part]
     assert len(codec.new) + len(codec.old) < 1000
+
+
+def test_only_the_pieces_of_long_words_are_remembered(codec):
+    texts = ["  ".join("字漢,".join(f"{i}{k}ü" for i in range(60)) for k in range(20))] * 2
+    tokens = data.reference_encoding()
+    for _ in range(2):
+        assert [x.tolist() for x in codec.encode(texts)] == [tokens.encode_ordinary(t) for t in texts]
+    assert max(map(len, codec.new)) <= bpe.LONG
